@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import panel_queries, signal_queries  # noqa: F401
+from . import book_queries, data_queries, measure_queries, panel_queries, signal_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+flagship = book_queries.flagship
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
