@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.elementwise import as_column
 from ..functions.timeseries import down
+from .sessions import next_weekday, period_end
 
 TRIAL: tuple[str, ...] = ("trial",)
 
@@ -48,16 +48,15 @@ class BookConfig:
         return (self.commission_bps + self.slippage_bps) / 1e4
 
 
-def flag_for(rebalance) -> Column:
-    """The calendar flag of a frequency given as text or as a per-trial column."""
-    freq = as_column(rebalance)
-    return F.when(freq == "daily", F.col("daily")).when(freq == "weekly", F.col("weekly")).otherwise(F.col("monthly"))
+def with_flags(targets: DataFrame, rebalance, by: Sequence[str] = TRIAL) -> DataFrame:
+    """+ ``flag``: is this session the last of its period? ``rebalance`` is text or a per-trial column.
 
-
-def with_flags(targets: DataFrame, flags: DataFrame, rebalance) -> DataFrame:
-    """+ ``flag``: is this a decision session? The calendar has one row per session and is broadcast."""
-    out = targets.join(F.broadcast(flags.select("date", "daily", "weekly", "monthly")), "date")
-    return out.withColumn("flag", flag_for(rebalance)).drop("daily", "weekly", "monthly")
+    On the dense grid a ticker's next row is the next session, so the calendar needs no join and the
+    flag shares the window of the holdings.
+    """
+    following = F.lead("date").over(down((*by, "ticker")))
+    out = targets.withColumn("_following", F.coalesce(following, next_weekday(F.col("date"))))
+    return out.withColumn("flag", period_end(F.col("date"), F.col("_following"), rebalance)).drop("_following")
 
 
 def equal_weight_benchmark(panel: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -67,6 +66,13 @@ def equal_weight_benchmark(panel: DataFrame, by: Sequence[str] = ()) -> DataFram
     return rows.groupBy(*by, "date", "pos").agg(F.coalesce(F.avg("_earned"), F.lit(0.0)).alias("benchmark"))
 
 
+def book_benchmark(holdings: DataFrame, by: Sequence[str] = TRIAL) -> DataFrame:
+    """(by, pos, benchmark) from kept holdings: members' mean next return, read one session later."""
+    rows = holdings.groupBy(*by, "pos").agg(F.avg(F.when(F.col("mask"), F.col("next_return"))).alias("_ahead"))
+    ahead = F.lag("_ahead").over(Window.partitionBy(*by).orderBy("pos"))
+    return rows.select(*by, "pos", F.coalesce(ahead, F.lit(0.0)).alias("benchmark"))
+
+
 # -- holdings --------------------------------------------------------------------------
 def with_holdings(targets: DataFrame, lag: int = 1, by: Sequence[str] = TRIAL, frozen: DataFrame | None = None) -> DataFrame:
     """+ segment, held (after the day's fill), drifted (before it), old_segment, next_return.
@@ -97,7 +103,7 @@ def with_holdings(targets: DataFrame, lag: int = 1, by: Sequence[str] = TRIAL, f
             # growth index that skips total losses; those are handled by their position
             "_index": F.coalesce(F.product(F.when(F.col("_move") != -1, 1 + F.col("_move"))).over(so_far), F.lit(1.0)),
             "_wiped": F.max(F.when(F.col("_move") == -1, F.col("pos"))).over(so_far),
-            "next_return": F.coalesce(F.lead("_r").over(w), F.lit(0.0)),
+            "next_return": F.lead("returns").over(w),
         }
     )
     fills = F.col("_go") & F.col("close").isNotNull()
@@ -124,6 +130,7 @@ def with_holdings(targets: DataFrame, lag: int = 1, by: Sequence[str] = TRIAL, f
 HOLDING_COLUMNS = (
     "date", "pos", "ticker", "segment", "held", "next_return", "filled", "fill_target", "old_segment", "drifted"
 )
+CARRIED = ("mask", "score", "forward")  # kept next to the holdings for benchmark and rank correlation
 
 
 def segment_sums(holdings: DataFrame, by: Sequence[str] = TRIAL) -> DataFrame:
@@ -131,7 +138,7 @@ def segment_sums(holdings: DataFrame, by: Sequence[str] = TRIAL) -> DataFrame:
     return holdings.groupBy(*by, "pos", "date", "segment").agg(
         F.sum(F.abs("held")).alias("gross"),
         F.sum(F.when(F.col("held") < 0, -F.col("held")).otherwise(0.0)).alias("short"),
-        F.sum(F.col("held") * F.col("next_return")).alias("gain"),
+        F.sum(F.col("held") * F.coalesce("next_return", F.lit(0.0))).alias("gain"),
     )
 
 
@@ -219,7 +226,8 @@ def run_book(targets: DataFrame, config: BookConfig = BookConfig(), by: Sequence
     frozen = None
     frozen_rows: set[tuple] = set()
     while True:
-        holdings = with_holdings(targets, config.execution_lag, by, frozen).select(*by, *HOLDING_COLUMNS)
+        extra = [c for c in CARRIED if c in targets.columns]
+        holdings = with_holdings(targets, config.execution_lag, by, frozen).select(*by, *HOLDING_COLUMNS, *extra)
         # read again for turnover and weights: kept, so the targets are not computed twice
         holdings = holdings.persist(StorageLevel.MEMORY_AND_DISK)
         path = equity_path(segment_sums(holdings, by), by).persist(StorageLevel.MEMORY_AND_DISK)

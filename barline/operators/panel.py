@@ -1,10 +1,10 @@
 """Long price tables -> the dense point-in-time panel (date, pos, ticker, mask, sector, fields).
 
 Shape of the plan: price rows, membership changes and published fundamentals of a ticker are put on
-one timeline, which is exchanged by ticker once. Everything after that - as-of carrying, the
-membership mask, filling the grid, returns and their breaks, rolling averages - happens inside
-that partitioning. Membership and fundamentals are therefore never joined by range, and the grid
-is grown by exploding each row up to the next one of its ticker, not by a product of dates and
+one timeline, which is exchanged by ticker and sorted once. Everything after that - as-of carrying, the
+membership mask, returns and their breaks, traded-value averages - is a window in that order over the
+rows that exist. Membership and fundamentals are therefore never joined by range. The dense grid is
+grown last, by exploding each row up to the next one of its ticker, not by a product of dates and
 tickers. Only the calendar is broadcast (see ``sessions``: bounded by the date type).
 """
 
@@ -16,11 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import div
-from ..functions.timeseries import down, ts_mean
+from ..functions.timeseries import ts_mean
 from .sessions import EARLIEST, session_calendar, session_of_day
 
 ASSUMED_DELISTING_RETURN = -0.30  # fixed value: used when a delisted ticker has no recorded return
 RAW = ("open", "high", "low", "close", "adj_close", "volume")
+PANEL_COLUMNS = (
+    "date", "pos", "ticker", "mask", "sector", "close", "raw_close", "returns", "open", "high", "low",
+    "volume", "vwap", "dollar_volume", "adv20", "last_pos",
+)
 
 
 # -- selection ------------------------------------------------------------------
@@ -133,7 +137,7 @@ def field_names(fundamentals: DataFrame) -> list[str]:
 
 
 def _timeline(px, calendar, universe, membership, fundamentals, fields, meta) -> DataFrame:
-    facts_columns = [_carry(f) for f in fields]
+    """Price rows (kind 1), membership changes and published facts (kind 0) of every ticker."""
     line = px.join(F.broadcast(calendar.select("date", "pos", "n_sessions")), "date").drop("date")
     line = line.withColumn("kind", F.lit(1))
     if universe != "all" or fields:
@@ -145,101 +149,106 @@ def _timeline(px, calendar, universe, membership, fundamentals, fields, meta) ->
             facts = published_facts(fundamentals, fields, day_map).withColumnRenamed("eff_pos", "pos")
             line = line.unionByName(facts.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     if meta is not None:
-        line = line.join(meta.select("ticker", "sector", "delisted_date", "delisting_return"), "ticker", "left")
-    else:
-        line = line.withColumns(
-            {
-                "sector": F.lit(None).cast("string"),
-                "delisted_date": F.lit(None).cast("date"),
-                "delisting_return": F.lit(None).cast("double"),
-            }
-        )
-
-    by_name = Window.partitionBy("ticker")
-    order = by_name.orderBy("pos", "kind")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = line.withColumns(
+        return line.join(meta.select("ticker", "sector", "delisted_date", "delisting_return"), "ticker", "left")
+    return line.withColumns(
         {
-            "_member": (F.sum("delta").over(so_far) > 0) if universe != "all" else F.lit(True),
-            "_from": F.when(F.lag("pos").over(order).isNull(), 0).otherwise(F.col("pos")),
-            "_to": F.coalesce(F.lead("pos").over(order) - 1, F.col("n_sessions") - 1),
-            "_priced": F.max("kind").over(by_name) == 1,
-            **{c: F.last(c, ignorenulls=True).over(so_far) for c in facts_columns},
+            "sector": F.lit(None).cast("string"),
+            "delisted_date": F.lit(None).cast("date"),
+            "delisting_return": F.lit(None).cast("double"),
         }
-    ).where(F.col("_priced") & (F.col("_to") >= F.col("_from")))
-
-    cell = F.explode(F.sequence("_from", "_to")).alias("cell")
-    line = line.select("*", cell)
-    here = (F.col("cell") == F.col("pos")) & (F.col("kind") == 1)
-    reached = F.col("cell") >= F.col("pos")
-    return line.select(
-        F.col("cell").alias("pos"),
-        "ticker",
-        "sector",
-        "delisted_date",
-        "delisting_return",
-        (reached & F.coalesce(F.col("_member"), F.lit(False))).alias("_member"),
-        *[F.when(here, F.col(c)).alias(c) for c in RAW],
-        *[F.when(reached, F.col(c)).alias(c) for c in facts_columns],
     )
 
 
-# -- columns of the grid -----------------------------------------------------------
-def with_returns(grid: DataFrame, max_gap_sessions: int = 20, max_daily_gain: float = 9.0) -> DataFrame:
-    """Adjusted close, the price carried through halts, and returns with artefacts broken out."""
-    w = down()
+def _at_events(line: DataFrame, universe: str, fields, max_gap_sessions: int, max_daily_gain: float) -> DataFrame:
+    """What each event row knows: state carried so far, its return with artefacts broken out, adv20.
+
+    Everything is a window down the ticker in (pos, kind) order: one exchange, one sort. Sessions a
+    ticker did not trade have no row yet; frames that must count them are ranges over ``pos``.
+    """
     name = Window.partitionBy("ticker")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    g = grid.withColumnRenamed("close", "raw_close")
-    g = g.withColumn("close", F.coalesce("adj_close", "raw_close"))
-    print_pos = F.when(F.col("close").isNotNull(), F.col("pos"))
-    g = g.withColumns(
+    order = name.orderBy("pos", "kind")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    line = line.withColumn("adj", F.coalesce("adj_close", "close"))
+    print_pos = F.when(F.col("adj").isNotNull(), F.col("pos"))
+    line = line.withColumns(
         {
-            "_factor": div(F.col("close"), F.col("raw_close")),
-            "_carried": F.last("close", ignorenulls=True).over(upto),
-            "last_pos": F.max(print_pos).over(name),
+            "_member": (F.sum("delta").over(so_far) > 0) if universe != "all" else F.lit(True),
+            "_from": F.when(F.lag("pos").over(order).isNull(), 0).otherwise(F.col("pos")),
+            "_to": F.coalesce(F.lead("pos").over(order) - 1, F.col("n_sessions") - 1),
+            "_carried": F.last("adj", ignorenulls=True).over(so_far),
+            "_earlier": F.last("adj", ignorenulls=True).over(before),
             "_printed": F.last(print_pos, ignorenulls=True).over(before),
+            "_priced": F.max("kind").over(name) == 1,
+            "last_pos": F.max(print_pos).over(name),
+            **{_carry(f): F.last(_carry(f), ignorenulls=True).over(so_far) for f in fields},
         }
     )
-    g = g.withColumn("_px", F.when(F.col("pos") <= F.col("last_pos"), F.col("_carried")))
-    g = g.withColumn("returns", div(F.col("_px"), F.lag("_px").over(w)) - 1.0)
-    rejoined = F.col("close").isNotNull() & (F.col("pos") - F.col("_printed") > max_gap_sessions)
-    g = g.withColumn("returns", F.when(F.coalesce(rejoined, F.lit(False)), None).otherwise(F.col("returns")))
-    g = g.withColumn("_jump", F.coalesce(F.col("returns") > max_daily_gain, F.lit(False)))
-    undone = (F.col("returns") < -0.9) & F.coalesce(F.lead("_jump").over(w), F.lit(False))
-    g = g.withColumn(
-        "returns", F.when(F.col("_jump") | F.coalesce(undone, F.lit(False)), None).otherwise(F.col("returns"))
-    )
-    booked = F.col("delisted_date").isNotNull() & (F.col("pos") == F.col("last_pos") + 1)
-    g = g.withColumn(
-        "returns",
-        F.when(booked, F.coalesce("delisting_return", F.lit(ASSUMED_DELISTING_RETURN))).otherwise(F.col("returns")),
+    change = F.when(F.col("adj").isNotNull(), div(F.col("adj"), F.col("_earlier")) - 1.0)
+    rejoined = F.col("pos") - F.col("_printed") > max_gap_sessions
+    line = line.withColumn("_return", F.when(~F.coalesce(rejoined, F.lit(False)), change))
+    line = line.withColumns(
+        {
+            "_jump": F.when(F.col("_return") > max_daily_gain, 1),
+            "_traded": F.col("close") * F.col("volume"),
+        }
     )
-    return g.drop("_carried", "_printed", "_px", "_jump", "adj_close")
-
-
-def with_price_fields(grid: DataFrame) -> DataFrame:
-    """Adjusted open/high/low, the typical price, traded value and its 20-session mean."""
-    g = grid.withColumns({c: F.col(c) * F.col("_factor") for c in ("open", "high", "low")})
-    typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
-    g = g.withColumns(
+    sessions = name.orderBy("pos")
+    month = sessions.rangeBetween(-19, Window.currentRow)
+    line = line.withColumns(
         {
-            "vwap": F.coalesce(typical, F.col("close")),
-            "dollar_volume": F.col("raw_close") * F.col("volume"),
+            "_jump_next": F.max("_jump").over(sessions.rangeBetween(1, 1)),
+            "adv20": F.when(F.count("_traded").over(month) == 20, F.avg("_traded").over(month)),
         }
     )
-    return g.withColumn("adv20", ts_mean(F.col("dollar_volume"), 20))
+    # a jump is a break; a crash that the very next session undoes by a jump was a bad print
+    undone = (F.col("_return") < -0.9) & F.col("_jump_next").isNotNull()
+    broken = F.col("_jump").isNotNull() | F.coalesce(undone, F.lit(False))
+    return line.withColumn("_return", F.when(~broken, F.col("_return")))
+
+
+def _on_grid(line: DataFrame, fields) -> DataFrame:
+    """One row per session: each event row is unfolded up to the session before the ticker's next event."""
+    rows = line.where(F.col("_priced") & (F.col("_to") >= F.col("_from")))
+    rows = rows.select("*", F.explode(F.sequence("_from", "_to")).alias("cell"))
+    cell = F.col("cell")
+    here = (cell == F.col("pos")) & (F.col("kind") == 1)
+    reached = cell >= F.col("pos")
+    factor = div(F.col("adj"), F.col("close"))
+    on_day = lambda c: F.when(here, c)
+    # halted inside its life: the price is carried, so the return is zero
+    carried = F.when(reached & F.col("_carried").isNotNull() & (cell <= F.col("last_pos")), 0.0)
+    traded = F.when(here & F.col("adj").isNotNull(), F.col("_return")).otherwise(carried)
+    booked = F.col("delisted_date").isNotNull() & (cell == F.col("last_pos") + 1)
+    high, low = F.col("high") * factor, F.col("low") * factor
+    return rows.select(
+        cell.alias("pos"),
+        "ticker",
+        (here & F.col("close").isNotNull() & F.coalesce("_member", F.lit(False))).alias("mask"),
+        "sector",
+        on_day(F.col("adj")).alias("close"),
+        on_day(F.col("close")).alias("raw_close"),
+        F.when(booked, F.coalesce("delisting_return", F.lit(ASSUMED_DELISTING_RETURN))).otherwise(traded).alias("returns"),
+        on_day(F.col("open") * factor).alias("open"),
+        on_day(high).alias("high"),
+        on_day(low).alias("low"),
+        on_day(F.col("volume")).alias("volume"),
+        on_day(F.coalesce((high + low + F.col("adj")) / 3.0, F.col("adj"))).alias("vwap"),
+        on_day(F.col("_traded")).alias("dollar_volume"),
+        on_day(F.col("adv20")).alias("adv20"),
+        "last_pos",
+        *[F.when(reached, F.col(_carry(f))).alias(_carry(f)) for f in fields],
+    )
 
 
 def with_known_fields(grid: DataFrame, fields: Sequence[str], max_staleness_days: int = 400) -> DataFrame:
     """Value of each field as known on the date, null once its publication is too old."""
-    out = grid
+    known = {}
     for f in fields:
         carried = F.col(_carry(f))
         fresh = F.datediff(F.col("date"), carried["stamp"]) <= max_staleness_days
-        out = out.withColumn(f, F.when(fresh, carried["value"]))
-    return out.drop(*[_carry(f) for f in fields])
+        known[f] = F.when(fresh, carried["value"])
+    return grid.withColumns(known).drop(*[_carry(f) for f in fields]) if fields else grid
 
 
 def build_panel(
@@ -262,44 +271,26 @@ def build_panel(
 
     A ticker's missing day is a row of nulls, because a session counts for shifts and windows whether
     or not the ticker printed. ``start`` is cut off last: returns, adv20 and as-of values are warm.
+    The calendar is read several times by the plan and is kept: a row per session.
     """
     px = select_prices(prices, end, tickers, universe, membership, min_dollar_volume)
-    calendar = session_calendar(px, start)
+    calendar = session_calendar(px, start).persist()
     if fundamentals is None:
         fields = []
     elif fields is None:
         fields = field_names(fundamentals)
-    grid = _timeline(px, calendar, universe, membership, fundamentals, list(fields), meta)
-    grid = with_price_fields(with_returns(grid, max_gap_sessions, max_daily_gain))
-    grid = grid.withColumn("mask", F.col("raw_close").isNotNull() & F.col("_member"))
+    line = _timeline(px, calendar, universe, membership, fundamentals, list(fields), meta)
+    line = _at_events(line, universe, fields, max_gap_sessions, max_daily_gain)
+    grid = _on_grid(line, fields)
 
     wanted = calendar.select("pos", "date", *(["cut_pos"] if start is not None else []))
     if start is not None:
         wanted = wanted.where(F.col("cut_pos") >= 0)
     grid = grid.join(F.broadcast(wanted), "pos")
     if start is not None:
-        grid = grid.withColumn("last_pos", F.col("last_pos") - F.col("pos") + F.col("cut_pos"))
-        grid = grid.withColumn("pos", F.col("cut_pos")).drop("cut_pos")
+        grid = grid.withColumns({"last_pos": F.col("last_pos") - F.col("pos") + F.col("cut_pos"), "pos": F.col("cut_pos")})
     grid = with_known_fields(grid, fields, max_staleness_days)
-    return grid.select(
-        "date",
-        "pos",
-        "ticker",
-        "mask",
-        "sector",
-        "close",
-        "raw_close",
-        "returns",
-        "open",
-        "high",
-        "low",
-        "volume",
-        "vwap",
-        "dollar_volume",
-        "adv20",
-        "last_pos",
-        *fields,
-    )
+    return grid.select(*PANEL_COLUMNS, *fields)
 
 
 # -- on a finished panel -------------------------------------------------------------

@@ -48,15 +48,25 @@ def month_key(date: Column) -> Column:
     return F.to_date(F.date_trunc("month", date))
 
 
+def period_end(date: Column, following: Column, freq) -> Column:
+    """Does the next session belong to another period? ``freq``: daily, weekly, monthly, or a column of them."""
+    if not isinstance(freq, Column):
+        if freq not in ("daily", "weekly", "monthly"):
+            raise ValueError(f"unknown rebalance frequency {freq!r}")
+        freq = F.lit(freq)
+    return (
+        F.when(freq == "daily", F.lit(True))
+        .when(freq == "weekly", week_key(following) != week_key(date))
+        .otherwise(month_key(following) != month_key(date))
+    )
+
+
 def rebalance_flags(calendar: DataFrame) -> DataFrame:
     """calendar + (daily, weekly, monthly): is this session the last of its period?
 
     The final session counts only if the next weekday already belongs to a new period.
     """
-    order = Window.orderBy("date")
-    out = calendar
-    following = F.coalesce(F.lead("date").over(order), next_weekday(F.col("date")))
-    out = out.withColumn("_next", following).withColumn("daily", F.lit(True))
-    out = out.withColumn("weekly", week_key(F.col("_next")) != week_key(F.col("date")))
-    out = out.withColumn("monthly", month_key(F.col("_next")) != month_key(F.col("date")))
-    return out.drop("_next")
+    following = F.coalesce(F.lead("date").over(Window.orderBy("date")), next_weekday(F.col("date")))
+    out = calendar.withColumn("_next", following)
+    flags = {f: period_end(F.col("date"), F.col("_next"), f) for f in ("daily", "weekly", "monthly")}
+    return out.withColumns(flags).drop("_next")

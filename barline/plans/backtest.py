@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import elementwise as el
 from ..operators import construct, metrics, overlay, tuning
 from ..operators import panel as P
-from ..operators.book import Book, BookConfig, equal_weight_benchmark, run_book, with_flags
-from ..operators.sessions import rebalance_flags
+from ..operators.book import Book, BookConfig, book_benchmark, equal_weight_benchmark, run_book, with_flags
+from ..session import checkpointed
 from .strategy import Strategy
 
 MAX_BROADCAST_TRIALS = 100_000  # a trial row is a handful of numbers
@@ -27,7 +27,6 @@ class Backtest:
     targets: DataFrame
     book: Book
     daily: DataFrame
-    benchmark: DataFrame
     trials: DataFrame
     config: BookConfig
 
@@ -39,7 +38,8 @@ class Backtest:
     def ic(self) -> DataFrame:
         """Daily rank correlation from each trial's first live session on."""
         start = overlay.live_from(self.daily)
-        rows = self.targets.join(start, "trial").where(F.col("pos") >= F.col("live_pos"))
+        rows = self.book.holdings.select("trial", "date", "pos", "score", "forward")
+        rows = rows.join(start, "trial").where(F.col("pos") >= F.col("live_pos"))
         return metrics.daily_ic(rows)
 
     def metrics(self, n_trials: int = 1, variance: float = 0.0) -> DataFrame:
@@ -169,17 +169,18 @@ def run_backtest(
     panel = narrow(panel, strategy)
     trials = trial_frame(panel, rows)
     targets = build_targets(panel, strategy, rows, trials, config.ic_horizon)
-    flags = rebalance_flags(P.panel_calendar(panel))
     knobs = [c for c in trials.columns if c in BookConfig.__dataclass_fields__]
     lags = {int(r.get("execution_lag", config.execution_lag)) for r in rows}
     if len(lags) > 1:
         raise ValueError("trials of one run share one execution_lag: it is a window offset")
     config = BookConfig(**{**config.__dict__, "execution_lag": lags.pop()})
-    book = run_book(with_flags(targets, flags, F.col("rebalance")), config, knobs=trials.select("trial", *knobs) if knobs else None)
-    benchmark = equal_weight_benchmark(panel)
+    targets = with_flags(targets, F.col("rebalance"))
+    book = run_book(targets, config, knobs=trials.select("trial", *knobs) if knobs else None)
     daily = overlay.apply_overlay(book.daily, config)
-    daily = overlay.equity_curve(daily.join(benchmark.select("pos", "benchmark"), "pos"), config.initial_capital)
-    return Backtest(targets, book, daily, benchmark, trials, config)
+    daily = daily.join(book_benchmark(book.holdings), ["trial", "pos"])
+    # a row per trial and session, read by every report: written once, so later plans start from it
+    daily = checkpointed(overlay.equity_curve(daily, config.initial_capital))
+    return Backtest(targets, book, daily, trials, config)
 
 
 def run_sweep(

@@ -12,7 +12,6 @@ from ..functions import elementwise as el
 from ..functions import timeseries as ts
 from ..operators import book as bk
 from ..operators import construct, overlay, reports
-from ..operators.sessions import rebalance_flags
 from ..plans.backtest import run_backtest
 from ..plans.strategy import dip_buyer, momentum
 from . import market as mk
@@ -174,7 +173,7 @@ CONFIG = bk.BookConfig(commission_bps=2, slippage_bps=8, borrow_bps_annual=100,
 
 def targets(spark, sf):
     rows = construct.target_weights(scored(spark, sf)).withColumn("trial", F.lit(0).cast("bigint"))
-    return bk.with_flags(rows, rebalance_flags(mk.calendar(spark, sf)), "monthly")
+    return bk.with_flags(rows, "monthly")
 
 
 def book(spark, sf, **changes):
