@@ -57,14 +57,16 @@ def intervals_from_flags(panel: DataFrame, flag: str, universe: str) -> DataFram
 def reconstituted(panel: DataFrame, size: str, top: int, every: int = 63, listed: str = "mask") -> DataFrame:
     """panel + ``member``: the ``top`` largest by ``size`` every ``every`` sessions, held in between.
 
-    Ranked over the date on all sessions' rows; the pick is then carried down each ticker's block, so
-    nothing is joined back. Equal sizes are taken in ticker order.
+    Only the rows of reconstitution sessions are ranked, and the limit right above the ranking lets Spark
+    keep just ``top`` rows per date and task before their shuffle. Equal sizes go in ticker order.
     """
-    block = F.floor(F.col("pos") / every)
-    place = F.row_number().over(Window.partitionBy("date").orderBy(F.col(size).desc_nulls_last(), "ticker"))
-    out = panel.withColumns({"_block": block, "_pick": place <= top})
-    held = F.first("_pick").over(Window.partitionBy("ticker", "_block").orderBy("pos"))
-    return out.withColumn("member", held & F.col(listed)).drop("_block", "_pick")
+    out = panel.withColumn("_block", F.floor(F.col("pos") / every))
+    chosen = out.where(F.col("pos") == F.col("_block") * every)
+    best = Window.partitionBy("date").orderBy(F.col(size).desc_nulls_last(), "ticker")
+    picks = chosen.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= top)
+    picks = picks.select("ticker", "_block", F.lit(True).alias("_pick"))
+    out = out.join(picks, ["ticker", "_block"], "left")
+    return out.withColumn("member", F.coalesce("_pick", F.lit(False)) & F.col(listed)).drop("_block", "_pick")
 
 
 def concat_memberships(*parts: DataFrame) -> DataFrame:

@@ -346,9 +346,10 @@ TRAIN, TEST = 104, 26
 def full_series(spark, sf):
     """Every session of every ticker, missing returns as 0, so all trials span the same sessions."""
     grid = mk.panel(spark, sf, universe="all")
-    return grid.select(
+    rows = grid.select(
         F.col("ticker").alias("trial"), "date", "pos", F.coalesce("returns", F.lit(0.0)).alias("net"), F.col("mask").cast("double").alias("gross")
     )
+    return rows.persist()  # read for the fold geometry, the training scores and the test windows
 
 
 FULL = mk.panel_ctes(universe=None) + [

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from barline import schema
 from barline.operators import adjust, cleaning, intervals, relate, reports
+from barline.plans import refresh
 from barline.sources import constituents, files, landed, runs
 from barline.sources.warehouse import Warehouse, canonical, merge_upsert
+from barline.streaming import landing
 
 from .conftest import bars, weekdays
 
@@ -281,3 +283,43 @@ def test_joins(spark):
     assert {tuple(r) for r in relate.carry_sectors(new, old).collect()} == {("A", "x"), ("B", "z"), ("C", "q")}
     assert {tuple(r) for r in relate.meta_for_priced(new, old).collect()} == {("A", "x"), ("B", None), ("C", None)}
     assert [r[0] for r in relate.without_prices(new, old).collect()] == ["C"]
+
+
+# -- refresh --------------------------------------------------------------------------------
+def test_refresh_rebases_history_and_keeps_sectors(spark, tmp_path):
+    wh = Warehouse(spark, str(tmp_path / "wh"))
+    layout = "date date, ticker string, open double, high double, low double, close double, volume double"
+    d = weekdays(6)
+    rows = lambda dates, t, c: [(x, t, c, c, c, c, 10.0) for x in dates]
+    none = spark.createDataFrame([], "ticker string, execution_date date, split_from double, split_to double")
+    reference = spark.createDataFrame(
+        [("A", "a", None, None, None), ("B", "b", None, d[5], None)], schema.META
+    )
+    first = spark.createDataFrame(rows(d[:3], "A", 100.0) + rows(d[:3], "B", 10.0) + rows(d[:3], "X", 1.0), layout)
+    refresh.refresh(wh, first, none, reference, "all_listed", ["close"])
+    known = [("A", "a", "tech", None, None)]
+    wh.write("meta", spark.createDataFrame(known, schema.META))
+    assert refresh.next_start(wh) == str(d[2] + dt.timedelta(days=1))
+    split = spark.createDataFrame([("A", d[4], 1.0, 2.0)], none.schema)
+    more = spark.createDataFrame(rows(d[3:4], "A", 100.0) + rows(d[4:], "A", 50.0), layout)
+    refresh.refresh(wh, more, split, reference, "all_listed", ["close"], since=str(d[3]))
+    stored = wh.read("prices").where("ticker = 'A'").orderBy("date").collect()
+    assert [r["adj_close"] for r in stored] == [50.0] * 6 and [r["close"] for r in stored] == [100.0] * 4 + [50.0] * 2
+    assert wh.read("prices").where("ticker = 'X'").count() == 0
+    assert wh.read("meta").where("ticker = 'A'").first()["sector"] == "tech"
+    spans = {r["ticker"]: (r["start_date"], r["end_date"]) for r in wh.read("membership").collect()}
+    assert spans == {"A": (d[0], None), "B": (d[0], d[5])}
+    assert refresh.rebuild_adjusted(wh, split) == 9 and refresh.missing_constituents(wh, "all_listed").count() == 0
+
+
+def test_landing_folder_is_upserted_once_per_file(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    wh = Warehouse(spark, str(tmp_path / "wh"))
+    splits = spark.createDataFrame([], "ticker string, execution_date date, split_from double, split_to double")
+    for i, page in enumerate(([bar(T0, 100.0, "A")], [bar(T0 + DAY_MS, 101.0, "A"), bar(T0, 7.0, "B")])):
+        (folder / f"{i}.json").write_text(json.dumps({"status": "OK", "results": page}))
+        landing.watch_bars(spark, str(folder), wh, splits, str(tmp_path / "done")).awaitTermination(120)
+    got = [(str(r["date"]), r["ticker"], r["close"]) for r in wh.read("prices").orderBy("ticker", "date").collect()]
+    assert got == [("2024-01-02", "A", 100.0), ("2024-01-03", "A", 101.0), ("2024-01-02", "B", 7.0)]
+    assert [r["source"] for r in wh.ingest_log().orderBy("at").collect()] == ["landing batch 0", "landing batch 1"]
