@@ -41,14 +41,15 @@ def friday(column: str):
 def prices(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly bars per supplier. Close and sides come from discounts and taxes, so they stay near 100.
 
-    Rounded like quoted prices, so that equal bars are equal whatever order their lines were added in.
+    All are extremes or mid-points, rounded like quotes: equal bars are equal whatever order their lines
+    were read in, and later means and ratios do not fall on rounding ties.
     """
     line = table(spark, sf, "lineitem")
     bars = line.groupBy(friday("l_shipdate").alias("date"), F.col("l_suppkey").alias("k")).agg(
         F.round(100 * (1 + F.min("l_discount") - F.max("l_tax")), 6).alias("o"),
         F.round(100 * (1 + F.max("l_discount")), 6).alias("h"),
         F.round(100 * (1 - F.max("l_tax")), 6).alias("l"),
-        F.round(100 * (1 + F.avg("l_discount") - F.avg("l_tax")), 6).alias("c"),
+        F.round(100 * (1 + (F.min("l_discount") + F.max("l_discount") - F.min("l_tax") - F.max("l_tax")) / 2), 6).alias("c"),
         F.sum("l_quantity").alias("volume"),
     )
     who = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), "s_acctbal")
@@ -205,7 +206,7 @@ CTE: dict[str, str] = {
     "bars": """
   SELECT date_trunc('week', l_shipdate)::DATE + 4 AS date, l_suppkey AS k,
          round(100 * (1 + min(l_discount) - max(l_tax)), 6) AS o, round(100 * (1 + max(l_discount)), 6) AS h,
-         round(100 * (1 - max(l_tax)), 6) AS l, round(100 * (1 + avg(l_discount) - avg(l_tax)), 6) AS c,
+         round(100 * (1 - max(l_tax)), 6) AS l, round(100 * (1 + (min(l_discount) + max(l_discount) - min(l_tax) - max(l_tax)) / 2), 6) AS c,
          sum(l_quantity) AS volume
   FROM lineitem GROUP BY 1, 2""",
     "prices": f"""
