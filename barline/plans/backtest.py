@@ -56,15 +56,22 @@ def narrow(panel: DataFrame, strategy: Strategy) -> DataFrame:
     return P.liquid_mask(panel, strategy.min_adv)
 
 
-def trial_rows(strategy: Strategy, overrides: Sequence[Mapping[str, object]]) -> list[dict]:
-    """Complete knob values of every trial; unknown names are refused."""
+def trial_rows(
+    strategy: Strategy, overrides: Sequence[Mapping[str, object]], config: BookConfig = BookConfig()
+) -> list[dict]:
+    """Complete knob values of every trial; unknown names are refused.
+
+    A book setting that only some trials change keeps its configured value in the others.
+    """
     extra = {"rebalance", *BookConfig.__dataclass_fields__}
+    changed = {name for change in overrides for name in change if name in BookConfig.__dataclass_fields__}
+    settings = {name: getattr(config, name) for name in changed}
     rows = []
     for i, change in enumerate(overrides):
         unknown = set(change) - set(strategy.knobs) - extra
         if unknown:
             raise KeyError(f"unknown knobs {sorted(unknown)}; known: {sorted(strategy.knobs)}")
-        rows.append({"trial": i, "rebalance": strategy.rebalance, **strategy.knobs, **change})
+        rows.append({"trial": i, "rebalance": strategy.rebalance, **strategy.knobs, **settings, **change})
     return rows
 
 
@@ -165,7 +172,7 @@ def run_backtest(
     overrides: Sequence[Mapping[str, object]] = ({},),
 ) -> Backtest:
     """Backtest one strategy, or every variant in ``overrides`` (knobs, rebalance, config names) at once."""
-    rows = trial_rows(strategy, overrides)
+    rows = trial_rows(strategy, overrides, config)
     panel = narrow(panel, strategy)
     trials = trial_frame(panel, rows)
     targets = build_targets(panel, strategy, rows, trials, config.ic_horizon)

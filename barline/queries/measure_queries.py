@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import timeseries as ts
 from ..operators import book as bk
 from ..operators import metrics, orders, reports, tuning
 from ..plans.backtest import run_backtest, run_sweep
@@ -612,13 +611,6 @@ def unpriced_targets(spark, sf):
     return orders.unpriced_targets(targets(spark, sf), prices).select("ticker")
 
 
-@query("w07_ts_rank_of_returns_long_window")
-def long_rank(spark, sf):
-    """A longer window than the checked one; its array per row is bounded by the window."""
-    grid = mk.panel(spark, sf).withColumn("value", ts.ts_rank(F.col("returns"), 52))
-    return emit(grid, "date", "ticker", "value")
-
-
 @query("a15_walk_forward_backtest")
 def walk_forward_backtest(spark, sf):
     """Momentum variants simulated once, re-picked on each training window, stitched out of sample."""

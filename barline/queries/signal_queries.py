@@ -50,6 +50,16 @@ rolling(
         5,
     ),
 )
+rolling(
+    "w07_ts_rank_of_returns_long_window",
+    lambda: ts.ts_rank(F.col(RET), 52),
+    whole(
+        "(len(list_filter(list(returns) OVER {w}, lambda y: y < returns)) + "
+        "(len(list_filter(list(returns) OVER {w}, lambda y: y = returns)) + 1) / 2) / 52.0::DOUBLE",
+        RET,
+        52,
+    ),
+)
 rolling(
     "w08_ts_zscore",
     lambda: ts.ts_zscore(F.col(CLOSE), 6),
