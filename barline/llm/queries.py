@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op10_repeated_passages")
 def repeated_passages(spark, sf):
     return substring_dedup.dedup_passages(table(spark, sf, "documents"), with_text=False)
+
+
+@query("op4_near_duplicates")
+def near_duplicates(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id", "n_copies")
