@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup, substring_dedup
+from . import near_dedup, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +35,19 @@ def repeated_passages(spark, sf):
 @query("op4_near_duplicates")
 def near_duplicates(spark, sf):
     return near_dedup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id", "n_copies")
+
+
+@query("op1_toxicity")
+def toxicity_scores(spark, sf):
+    docs = table(spark, sf, "documents")
+    net = toxicity.fit(docs, table(spark, sf, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), net)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_quality")
+def quality_scores(spark, sf):
+    docs = table(spark, sf, "documents")
+    held = toxicity.held_out(F.col("doc_id"), 5, 0)
+    model = quality.fit(docs, table(spark, sf, "labels"), ~held)
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
