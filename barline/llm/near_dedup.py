@@ -162,7 +162,7 @@ def _verify(threshold: float):
     return verify
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = 8_000_000, bucket_items: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = 4_000_000, bucket_items: int = 4_000_000) -> DataFrame:
     """One row per input row: doc_id, row_key (of id and text), class_id, n_copies, keeper.
 
     class_id is the least doc_id of the class (null only if all its ids are), keeper marks the rows whose

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, quality, substring_dedup, toxicity
+from . import exact_search, html_extraction, mixing, near_dedup, near_search, packing, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +52,29 @@ def quality_scores(spark, sf):
     held = toxicity.held_out(F.col("doc_id"), 5, 0)
     model = quality.fit(docs, table(spark, sf, "labels"), ~held)
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op5_mixing")
+def mixing_sources(spark, sf):
+    documents, draws = mixing.mix(table(spark, sf, "documents"))
+    return mixing.taken(documents, draws).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_packing")
+def packing_documents(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_tokens=False)
+
+
+@query("op7_exact_top_k")
+def exact_top_k(spark, sf):
+    return exact_search.top_k(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op9_multi_index")
+def multi_index(spark, sf):
+    return near_search.nearest_neighbours(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op6_wrapper_extraction")
+def wrapper_extraction(spark, sf):
+    return html_extraction.extract(table(spark, sf, "pages"))
