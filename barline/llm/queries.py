@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_search, html_extraction, mixing, near_dedup, near_search, packing, quality, substring_dedup, toxicity
+from . import exact_search, html_extraction, mixing, near_dedup, near_search, packing, quality, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,9 @@ def multi_index(spark, sf):
 @query("op6_wrapper_extraction")
 def wrapper_extraction(spark, sf):
     return html_extraction.extract(table(spark, sf, "pages"))
+
+
+@query("op3_secrets")
+def secret_findings(spark, sf):
+    found = secrets.scan(table(spark, sf, "documents"))
+    return found.select("doc_id", "start", "length", "key", F.sha2("value", 256).alias("value_sha256"), "score")
