@@ -2,8 +2,8 @@
 
 A chunk sends each of its distinct items once, with its own count: sorted, cut into buckets by hash
 range, packed. So the commonest item costs one entry a chunk, and a bucket's size follows the number
-of distinct items alone. A bucket adds up and answers each chunk only where the corpus has more than
-the chunk itself.
+of distinct items alone. A bucket adds up and answers each chunk with those of its items that the corpus
+holds more than once.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PACKS = "chunk int, bucket int, n int, items binary, counts binary"
-ANSWERS = "chunk int, bucket int, places binary, totals binary"
+ANSWERS = "chunk int, bucket int, items binary, totals binary"
 _PACKS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
-_ANSWERS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("places", pa.binary()), ("totals", pa.binary())])
+_ANSWERS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("items", pa.binary()), ("totals", pa.binary())])
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -59,23 +59,27 @@ def _merge(table: pa.Table) -> pa.Table:
     totals[order] = np.add.reduceat(own[order].astype(np.uint64), np.flatnonzero(new))[group] if len(items) else 0
     bucket, rows, first = table["bucket"][0].as_py(), [], 0
     for c, k in zip(chunks, n):
-        t, o = totals[first : first + k], own[first : first + k]
-        more = np.flatnonzero(t > o)
-        if len(more):
-            rows.append((c, bucket, planes(deltas(more.astype(np.uint32))), planes(t[more])))
+        t = totals[first : first + k]
+        again = np.flatnonzero(t > 1)
+        if len(again):
+            rows.append((c, bucket, planes(deltas(items[first : first + k][again])), planes(t[again])))
         first += k
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ANSWERS)], schema=_ANSWERS) if rows else _ANSWERS.empty_table()
 
 
 def answers(packed: DataFrame) -> DataFrame:
-    """One row per chunk and bucket in which the corpus has more than the chunk."""
+    """One row per chunk and bucket in which an item of the chunk is held more than once."""
     return packed.groupBy("bucket").applyInArrow(_merge, ANSWERS)
 
 
-def totals(table: pa.Table, items: np.ndarray, counts: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    """Corpus counts of a chunk's sorted distinct items, from its own counts and the answers."""
-    out = counts.astype(np.uint64)
-    at = bounds(items, buckets, bits)
-    for b, places, more in zip(table["bucket"].to_pylist(), table["places"].to_pylist(), table["totals"].to_pylist()):
-        out[at[b] + np.cumsum(unplanes(places, np.uint32), dtype=np.int64)] = unplanes(more, np.uint64)
+def totals(table: pa.Table, items: np.ndarray) -> np.ndarray:
+    """Corpus counts of a chunk's items, in any order, from the answers to the chunk."""
+    out = np.ones(len(items), np.uint64)
+    rows = sorted(zip(table["bucket"].to_pylist(), table["items"].to_pylist(), table["totals"].to_pylist()))
+    if rows:
+        known = np.concatenate([np.cumsum(unplanes(i, np.uint64), dtype=np.uint64) for _, i, _ in rows])
+        many = np.concatenate([unplanes(t, np.uint64) for *_, t in rows])
+        at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+        hit = known[at] == items
+        out[hit] = many[at[hit]]
     return out

@@ -5,7 +5,7 @@
 2. Improved consistent weighted sampling draws ``bands * rows`` samples of each weighted set; two
    documents agree in a sample with a probability equal to their weighted Jaccard similarity.
 3. Documents with equal words form one class at once, with one representative. Representatives that
-   agree in all samples of a band meet in a bucket. A bucket links its members to one centre, not to
+   agree in all samples of a band meet in a bucket. A bucket's members meet a few centres, not
    each other; pairs whose samples agree too seldom are let go, the rest are verified on the weighted sets.
 4. Classes are the components of verified links. Where a bucket still holds members of different
    classes, one member of each meets another centre, and so on until a round finds no link.
@@ -29,9 +29,13 @@ from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DAMP = 5, 0.8, 12, 3, 0.1
 BITS = 48
-#: Share of agreeing samples below which a pair is let go: 36 samples of a pair at 0.8 agree so seldom once in 10**8.
-LEAST_AGREEING = 0.4
+#: Share of agreeing samples below which a pair is let go: 36 samples of a pair at 0.8 agree so seldom once in 30,000 times.
+LEAST_AGREEING = 0.5
 BLOCK = 50_000
+#: Members of a bucket that are compared with each other.
+MEETING = 512
+#: Characters of a word, roughly; sets the size of buckets, no result.
+WORD_CHARS = 6
 
 
 def _shingles(texts_: list[str], n: int):
@@ -56,10 +60,8 @@ def _shingles(texts_: list[str], n: int):
     return digests, doc[at], hashes[at], np.diff(np.append(at, len(doc)))
 
 
-def _weights(hashes, tf, replies: pa.Table, buckets: int, n_docs: int) -> np.ndarray:
-    items, place, own = np.unique(hashes, return_inverse=True, return_counts=True)
-    df = C.totals(replies, items, own, buckets, BITS)[place]
-    idf = np.log1p(n_docs / df) / np.log1p(n_docs)
+def _weights(hashes: np.ndarray, tf: np.ndarray, replies: pa.Table, n_docs: int) -> np.ndarray:
+    idf = np.log1p(n_docs / C.totals(replies, hashes)) / np.log1p(n_docs)
     return ((1 + np.log(tf)) * (1 - DAMP + DAMP * idf)).astype(np.float32)
 
 
@@ -112,12 +114,12 @@ def _send(buckets: int):
     return send
 
 
-def _sketch(buckets: int, n_docs: int):
+def _sketch(n_docs: int):
     def sketch(docs: pa.Table, replies: pa.Table) -> pa.Table:
         digests, doc, hashes, tf = _shingles(docs["text"].to_pylist(), SHINGLE)
         drawn: list = [None] * docs.num_rows
         if len(doc):
-            which, found = samples(doc, hashes, _weights(hashes, tf, replies, buckets, n_docs), BANDS * ROWS)
+            which, found = samples(doc, hashes, _weights(hashes, tf, replies, n_docs), BANDS * ROWS)
             for d, s in zip(which.tolist(), found.tolist()):
                 drawn[d] = s
         return pa.table({"row_key": docs["row_key"], "doc_id": docs["doc_id"], "chunk": docs["chunk"], "digest": pa.array(digests, pa.binary()), "samples": pa.array(drawn, pa.list_(pa.int32()))})
@@ -125,23 +127,19 @@ def _sketch(buckets: int, n_docs: int):
     return sketch
 
 
-def _vectors(buckets: int, n_docs: int):
-    """Weighted sets of the wanted rows of a chunk; weights need all its rows."""
+def _vectors(n_docs: int):
+    """Weighted sets of the wanted rows of a chunk."""
 
     def vectors(docs: pa.Table, asked: pa.Table) -> pa.Table:
         wanted = set(asked["row_key"].drop_null().to_pylist())
-        keys = docs["row_key"].to_pylist()
-        _, doc, hashes, tf = _shingles(docs["text"].to_pylist(), SHINGLE)
         replies = asked.filter(pa.compute.is_null(asked["row_key"]))
-        weights = _weights(hashes, tf, replies, buckets, n_docs) if len(doc) else np.empty(0, np.float32)
-        at = np.searchsorted(doc, np.arange(len(keys) + 1))
-        rows = []
-        for i, key in enumerate(keys):
-            if key in wanted:
-                wanted.discard(key)  # a repeated row once
-                h, w = hashes[at[i] : at[i + 1]], weights[at[i] : at[i + 1]]
-                rows.append((key, h.tobytes(), w.tobytes()))
-        return pa.table({"row_key": pa.array([x[0] for x in rows], pa.int64()), "items": pa.array([x[1] for x in rows], pa.binary()), "weights": pa.array([x[2] for x in rows], pa.binary())})
+        texts_ = {k: t.as_py() for k, t in zip(docs["row_key"].to_pylist(), docs["text"]) if k in wanted}
+        _, doc, hashes, tf = _shingles(list(texts_.values()), SHINGLE)
+        weights = _weights(hashes, tf, replies, n_docs)
+        at = np.searchsorted(doc, np.arange(len(texts_) + 1))
+        short = (hashes >> np.uint64(BITS - 32)).astype(np.uint32)  # enough to tell the shingles of two documents apart
+        rows = [(k, short[a:b].tobytes(), weights[a:b].tobytes()) for k, a, b in zip(texts_, at[:-1], at[1:])]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["row_key", "items", "weights"])
 
     return vectors
 
@@ -151,7 +149,7 @@ def _verify(threshold: float):
         for batch in batches:
             found = []
             for a, b, ai, aw, bi, bw in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "a_items", "a_weights", "b_items", "b_weights"))):
-                x, y = np.frombuffer(ai, np.uint64), np.frombuffer(bi, np.uint64)
+                x, y = np.frombuffer(ai, np.uint32), np.frombuffer(bi, np.uint32)
                 u, v = np.frombuffer(aw, np.float32).astype(np.float64), np.frombuffer(bw, np.float32).astype(np.float64)
                 _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                 common = np.minimum(u[i], v[j]).sum()
@@ -162,6 +160,74 @@ def _verify(threshold: float):
     return verify
 
 
+def forest(agree: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of the spanning forest of greatest agreement, none below ``least``."""
+    n = len(agree)
+    out, best, near = [], agree[0].astype(float), np.zeros(n, np.int64)
+    best[0] = -1
+    for _ in range(n - 1):
+        i = int(best.argmax())
+        if best[i] >= least:
+            out.append((int(near[i]), i))
+        row = np.where(best < 0, -1.0, agree[i])
+        row[i] = best[i] = -1
+        better = row > best
+        best[better], near[better] = row[better], i
+    return out
+
+
+def _propose(width: int):
+    """Pairs of every block; rows come sorted by block."""
+
+    def pairs(block, key, drawn):
+        first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1)]))
+        sizes = np.diff(np.append(first, len(block)))
+        least = LEAST_AGREEING * width
+        two = first[sizes == 2]
+        two = two[(drawn[two] == drawn[two + 1]).sum(axis=1) >= least]
+        found = [(key[two], key[two + 1])]
+        for a, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            own = drawn[a : a + n]
+            edges = forest((own[:, None] == own[None]).sum(axis=2), least)
+            if edges:
+                i, j = np.array(edges).T
+                found.append((key[a + i], key[a + j]))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def propose(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = np.stack([batch.column("bucket").to_numpy(), batch.column("part").to_numpy()], axis=1)
+            own = (block, batch.column("row_key").to_numpy(), batch.column("samples").flatten().to_numpy().reshape(-1, width))
+            own = own if rest is None else tuple(np.concatenate(x) for x in zip(rest, own))
+            last = int(np.flatnonzero((own[0] != own[0][-1]).any(axis=1))[-1]) + 1 if (own[0] != own[0][-1]).any() else 0
+            rest = tuple(x[last:] for x in own)
+            if last:
+                yield pairs(*(x[:last] for x in own))
+        if rest is not None:
+            yield pairs(*rest)
+
+    return propose
+
+
+def _meetings(members: DataFrame, classes: DataFrame | None, sides: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) to verify: in each bucket, of one member of each class so far."""
+    if classes is None:
+        one = members
+    else:
+        open_ = members.join(classes, members["row_key"] == classes["node"], "left").select("bucket", "row_key", F.coalesce("component", "row_key").alias("component"))
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "row_key"), "row_key")).alias("r")
+        one = open_.groupBy("bucket", "component").agg(first).select("bucket", "r.row_key")
+    sizes = one.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    part = F.pmod(F.xxhash64(F.lit(turn), "row_key"), F.ceil(F.col("n") / MEETING).cast("long")).alias("part")
+    dealt = one.join(sizes, "bucket").join(sides, "row_key").select("bucket", part, "row_key", "samples")
+    dealt = dealt.repartition(F.col("bucket"), F.col("part")).sortWithinPartitions("bucket", "part")
+    return dealt.mapInArrow(_propose(BANDS * ROWS), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = 4_000_000, bucket_items: int = 4_000_000) -> DataFrame:
     """One row per input row: doc_id, row_key (of id and text), class_id, n_copies, keeper.
 
@@ -172,13 +238,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     plain = texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    chars, n_docs, words = plain.agg(F.sum(F.length("text")), F.count("*"), F.sum(F.size(F.split("text", " ")))).first()
-    n_chunks, buckets = parts_for(chars, chunk_chars), parts_for(words, bucket_items)
+    chars, n_docs = plain.agg(F.sum(F.length("text")), F.count("*")).first()
+    n_chunks, buckets = parts_for(chars, chunk_chars), parts_for(chars, bucket_items * WORD_CHARS)
     rows = plain.select(F.pmod("row_key", F.lit(n_chunks)).cast("int").alias("chunk"), "row_key", "doc_id", "text")
     packed = rows.groupBy("chunk").applyInArrow(_send(buckets), C.PACKS)
     replies = kept(C.answers(packed), "frequencies")
     schema = f"row_key long, doc_id {key}, chunk int, digest binary, samples array<int>"
-    sketches = kept(rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_sketch(buckets, n_docs), schema), "sketches")
+    sketches = kept(rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_sketch(n_docs), schema), "sketches")
 
     first = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "row_key", "chunk", "samples")).alias("r")
     copies = kept(sketches.groupBy("digest").agg(first, F.count("*").alias("n")).select("digest", "r.*", "n"), "copies")
@@ -190,36 +256,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
     members = kept(spread.join(shared, "bucket"), "members")
     wanted = members.select("row_key").distinct().join(copies.select("row_key", "chunk", "samples"), "row_key")
     asked = replies.withColumn("row_key", F.lit(None).cast("long")).unionByName(wanted.select("chunk", "row_key"), allowMissingColumns=True)
-    vectors = kept(rows.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_vectors(buckets, n_docs), "row_key long, items binary, weights binary"), "vectors")
+    vectors = kept(rows.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_vectors(n_docs), "row_key long, items binary, weights binary"), "vectors")
     sides = kept(wanted.select("row_key", "samples"), "samples")
 
-    links, tested, classes, turn = None, None, None, 0
+    classes, turn = None, 0
     while True:
-        if classes is None:
-            open_ = members.withColumn("component", F.col("row_key"))
-        else:
-            open_ = members.join(classes, members["row_key"] == classes["node"], "left").select("bucket", "row_key", F.coalesce("component", "row_key").alias("component"))
-        rank = F.struct(F.xxhash64(F.lit(turn), "row_key").alias("h"), "row_key", "component")
-        one = open_.groupBy("bucket", "component").agg(F.min(rank).alias("r")) if turn else open_.select("bucket", "component", rank.alias("r"))
-        centre = one.groupBy("bucket").agg(F.min("r").alias("c"), F.count("*").alias("n")).where("n > 1")
-        met = one.join(centre, "bucket").where("r.component != c.component").select(F.least("r.row_key", "c.row_key").alias("a"), F.greatest("r.row_key", "c.row_key").alias("b")).distinct()
-        if tested is not None:
-            met = met.join(tested, ["a", "b"], "left_anti")
-        met = kept(met, "met")
-        agree = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v)
-        likely = (
-            met.join(sides.select(F.col("row_key").alias("a"), F.col("samples").alias("x")), "a")
-            .join(sides.select(F.col("row_key").alias("b"), F.col("samples").alias("y")), "b")
-            .where(agree >= LEAST_AGREEING * BANDS * ROWS)
-            .select("a", "b")
-        )
-        paired = likely.join(vectors.select(F.col("row_key").alias("a"), F.col("items").alias("a_items"), F.col("weights").alias("a_weights")), "a")
+        met = kept(_meetings(members, classes, sides, turn), "met")
+        paired = met.join(vectors.select(F.col("row_key").alias("a"), F.col("items").alias("a_items"), F.col("weights").alias("a_weights")), "a")
         paired = paired.join(vectors.select(F.col("row_key").alias("b"), F.col("items").alias("b_items"), F.col("weights").alias("b_weights")), "b")
         new = kept(paired.mapInArrow(_verify(similarity), "a long, b long"), "links")
         if new.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
-        tested = met if tested is None else tested.unionByName(met)
+        # what is linked so far is named by its classes: as many links as members
+        links = new if classes is None else new.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
         classes = components(links)
         turn += 1
 

@@ -26,7 +26,9 @@ from .common import Rolling, chunked, ident, parts_for, texts, window_starts, wo
 
 #: Symbols of an automaton: a word is four letters of six bits, each place with letters of its own.
 PLACES = np.array([0x100, 0x140, 0x180, 0x1C0], np.uint32)
-SPAN, STRIDE = 64, 30
+SPAN = 64
+#: Characters of a word, roughly; sets the size of buckets, no result.
+WORD_CHARS = 6
 
 
 def _words(table: pa.Table, width: int):
@@ -110,11 +112,10 @@ def _send(buckets: int, width: int):
     return send
 
 
-def _clean(buckets: int, width: int, with_text: bool):
+def _clean(width: int, with_text: bool):
     def clean(docs: pa.Table, replies: pa.Table) -> pa.Table:
         words, numbers, lengths, starts, doc, hashes = _words(docs, width) if docs.num_rows else ([], *[np.empty(0, np.int64)] * 4, np.empty(0, np.uint64))
-        items, place, own = np.unique(hashes, return_inverse=True, return_counts=True)
-        again = C.totals(replies, items, own, buckets, 64)[place] > 1 if len(items) else np.empty(0, bool)
+        again = C.totals(replies, hashes) > 1
         gone = covered(numbers, lengths, _runs(again, starts, doc, width), width)
         removed, digests, kept_texts, at = [], [], [], 0
         for w in words:
@@ -145,9 +146,8 @@ def dedup_passages(docs: DataFrame, width: int = 35, with_text: bool = True, chu
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = chunked(texts(docs), chunk_chars)
-    total = rows.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
-    buckets = parts_for(total, bucket_items)
+    buckets = parts_for(rows.agg(F.sum(F.length("text"))).first()[0], bucket_items * WORD_CHARS)
     packed = rows.groupBy("chunk").applyInArrow(_send(buckets, width), C.PACKS)
     replies = C.answers(packed)
     schema = f"doc_id {key}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_clean(buckets, width, with_text), schema)
+    return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_clean(width, with_text), schema)
