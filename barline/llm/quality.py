@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STATISTICS = (
     "words", "word_length", "word_spread", "distinct", "top_word", "adjacent", "upper", "digits", "symbols",
@@ -80,7 +81,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             x = [statistics(t or "") for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 
-    return docs.select(*keep, text).mapInArrow(run, docs.select(*keep).schema.add("x", "array<double>"))
+    return docs.select(*keep, text).mapInArrow(run, docs.select(*keep).schema.add("x", T.ArrayType(T.DoubleType())))
 
 
 @dataclass(frozen=True)

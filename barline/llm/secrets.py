@@ -134,15 +134,15 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every finding replaced by ``mark``; n_chars, where there, is that of the new text."""
-    spans = findings.groupBy(F.col("row_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))
-    joined = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(spans, F.col("_row") == F.col("_key"), "left")
+    spans = findings.groupBy(F.col("row_key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__spans"))
+    joined = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(spans, F.col("__row") == F.col("__key"), "left")
     begin = F.struct(F.lit("").alias("out"), F.lit(1).cast("long").alias("at"))
     made = F.aggregate(
-        "_spans",
+        "__spans",
         begin,
         lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col("text"), a["at"], s["start"] - a["at"]), F.lit(mark)).alias("out"), (s["start"] + s["length"]).alias("at")),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"], F.length("text"))),
     )
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(made)
-    columns = [new.alias("text") if c == "text" else F.when(F.col("_spans").isNull(), F.col(c)).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    new = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(made)
+    columns = [new.alias("text") if c == "text" else F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*columns)

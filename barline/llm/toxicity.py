@@ -240,8 +240,9 @@ def blocks(texts: list[str]):
         yield part
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, batch: int = 64, rate: float = 4e-3) -> Network:
-    """Fit by Adam on documents; only the window that speaks loudest of each document learns.
+def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, batch: int = 64, rate: float = 4e-3, least: int = 200) -> Network:
+    """Fit by Adam on documents; only the window that speaks loudest of each document learns. Few documents are
+    seen more often, so that there are ``least`` steps.
 
     Without examples of both labels the network keeps its start and answers with the share of ones.
     """
@@ -256,6 +257,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, b
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     weight = np.where(y == 1, 0.5 / prior, 0.5 / (1 - prior)).astype(np.float32)
+    epochs = max(epochs, -(-least // max(1, -(-len(texts) // batch))))
     for epoch in range(epochs):
         order = g.permutation(len(texts))
         for i in range(0, len(order), batch):
@@ -274,7 +276,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, b
             own = pick[doc[loud]]
             grads, d_table = backward(net, table, ids[loud], memory, ((_sigmoid(z) - y[own]) * weight[own] / len(loud)).astype(np.float32))
             step += 1
-            scale = rate * (0.5 ** (epoch / 4)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            scale = rate * 0.25 ** (epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             used = np.flatnonzero(np.abs(d_table).sum(axis=1))
             sparse = {"word": (row[used], d_table[used])}
             per_run = np.vstack([np.repeat(d_table * share, many, axis=0) for _, many in runs])

@@ -27,9 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id of each class of near duplicates; of identical rows one."""
-    heads = near_dedup.near_duplicates(docs).where("keeper").select(F.col("row_key").alias("_head")).distinct()
-    named = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return named.join(heads, F.col("_key") == F.col("_head"), "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    heads = near_dedup.near_duplicates(docs).where("keeper").select(F.col("row_key").alias("__head")).distinct()
+    named = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return named.join(heads, F.col("__key") == F.col("__head"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,17 +41,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass of the mix over a document: its whole text, or in a last pass the blocks taken."""
     documents, draws = mixing.mix(docs)
     passes = draws.groupBy("row_key", "i", "copy", "pass").agg(F.sum("words").alias("w"), F.sort_array(F.collect_list(F.struct("block", "words"))).alias("blocks"))
-    sizes = documents.select("row_key", "i", "copy", "size", F.col("source").alias("_source"))
-    chosen = passes.join(sizes, ["row_key", "i", "copy"]).select("row_key", "_source", "size", "w", F.when(F.col("w") < F.col("size"), F.col("blocks")).alias("blocks"))
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).dropDuplicates(["_key", "source"])
-    met = rows.join(chosen, (F.col("_key") == F.col("row_key")) & F.col("source").eqNullSafe(F.col("_source"))).select(*docs.columns, "blocks")
+    sizes = documents.select("row_key", "i", "copy", "size", "source")
+    part = F.when(F.col("w") < F.col("size"), F.col("blocks"))
+    chosen = passes.join(sizes, ["row_key", "i", "copy"]).select(F.col("row_key").alias("__chosen"), F.col("source").alias("__source"), part.alias("__blocks"))
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text")).dropDuplicates(["__key", "source"])
+    met = rows.join(chosen, (F.col("__key") == F.col("__chosen")) & F.col("source").eqNullSafe(F.col("__source"))).select(*docs.columns, "__blocks")
 
     columns, size = docs.columns, mixing.BLOCK_WORDS
 
     def cut(batches):
         for b in batches:
             texts = []
-            for t, blocks in zip(b.column("text").to_pylist(), b.column("blocks").to_pylist()):
+            for t, blocks in zip(b.column("text").to_pylist(), b.column("__blocks").to_pylist()):
                 if blocks is None:
                     texts.append(t)
                 else:

@@ -1,0 +1,178 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from barline.llm import dom, exact_search, html_extraction, near_search, secrets
+
+from . import cases
+
+VECTORS = "vec_id long, embedding array<float>, id long, x string, part int, cell int"
+
+
+def vectors(spark, n, d, seed, extra=()):
+    g = np.random.default_rng(seed)
+    centres = g.standard_normal((6, d))
+    x = (centres[g.integers(0, 6, n)] + 0.4 * g.standard_normal((n, d))).astype(np.float32)
+    x[5] = x[7] = x[40]  # ties
+    rows = [(i, [float(v) for v in x[i]]) for i in range(n)] + list(extra)
+    return spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows], VECTORS)
+
+
+ODD = [(500, None), (520, [None, 1.0, 2.0, 3.0]), (540, [float("nan"), 1.0, 2.0, 3.0]), (560, [float("inf"), 1.0, 2.0, 3.0]), (580, []), (600, [1.0]), (None, [1.0, 1.0, 1.0, 1.0]), (620, [0.0] * 4)]
+
+
+def brute(df, every, k, score, best, nonzero):
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.vec_id is not None and r.embedding and len(r.embedding) == 4 and None not in r.embedding and np.isfinite(r.embedding).all()]
+    rows = [(i, np.array(v, float)) for i, v in rows if not nonzero or any(v)]
+    out = []
+    for q, x in rows:
+        if q % every == 0:
+            others = sorted(((best * score(x, y), i) for i, y in rows if i != q))[:k]
+            out += [(q, n + 1, i, best * s) for n, (s, i) in enumerate(others)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n, extra", [(300, ODD), (8, ())])
+def test_exact_top_k(spark, monkeypatch, n, extra):
+    monkeypatch.setattr(exact_search, "BLOCK", 40)
+    monkeypatch.setattr(exact_search, "GROUP", 8)
+    df = vectors(spark, max(n, 41), 4, 3, extra).where(F.col("vec_id").isNull() | (F.col("vec_id") < n) | (F.col("vec_id") >= 500))
+    found = sorted(map(tuple, exact_search.top_k(df, F.col("id") % 20 == 0, k=20).collect()))
+    assert found == brute(df, 20, 20, lambda x, y: int(np.floor(64 * x).astype(np.int64) @ np.floor(64 * y).astype(np.int64)), -1, False)
+
+
+def test_exact_top_k_of_large_numbers():
+    q = np.array([[3 * 10**8, 1]])
+    assert exact_search.products(q, np.array([[3 * 10**8 + 1, 1]])).tolist() == [[9 * 10**16 + 3 * 10**8 + 1]]
+
+
+def test_multi_index_finds_every_code_in_the_radius():
+    g = np.random.default_rng(1)
+    codes = g.integers(0, 1 << 63, 500).astype(np.uint64)
+    codes[250:] = codes[:250] ^ (np.uint64(1) << g.integers(0, 64, 250).astype(np.uint64))
+    index = near_search.Index(codes)
+    for r in (0, 1, 9, 24, 64):
+        assert index.within(codes[3], r).tolist() == np.flatnonzero(near_search.ones(codes ^ codes[3]) <= r).tolist()
+
+
+def test_nearest_neighbours(spark):
+    df = vectors(spark, 400, 4, 8, ODD)
+    distance = lambda x, y: float(np.sqrt(((x - y) ** 2).sum()))
+    want = brute(df, 100, 10, distance, 1, True)
+    whole = sorted(map(tuple, near_search.nearest_neighbours(df, F.col("id") % 100 == 0, within=64).collect()))
+    assert [r[:3] for r in whole] == [r[:3] for r in want] and np.allclose([r[3] for r in whole], [r[3] for r in want], rtol=1e-12)
+    found = near_search.nearest_neighbours(df, F.col("id") % 100 == 0).collect()
+    hits = {r[:3:2] for r in want} & {(r.query_id, r.vec_id) for r in found}
+    assert len(hits) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("search", [exact_search.top_k, near_search.nearest_neighbours])
+def test_searches_of_awkward_tables(spark, search):
+    query = F.col("id") % 20 == 0
+    assert search(vectors(spark, 41, 4, 1).limit(0), query).count() == 0
+    assert search(spark.createDataFrame([(20, None, 1, "", 1, 1)], VECTORS), query).count() == 0
+    assert search(spark.createDataFrame([(20, [1.0, 2.0], 1, "", 1, 1)], VECTORS), query).count() == 0
+    twins = [(20, [1.0, 2.0], 1, "", 1, 1), (20, [1.0, 2.0], 1, "", 1, 1), (3, [1.0, 2.0], 1, "", 1, 1)]
+    assert {(r.query_id, r.vec_id) for r in search(spark.createDataFrame(twins, VECTORS), query).collect()} == {(20, 3)}
+
+
+def page(text: str, menu: str = "home", more: str = "") -> str:
+    return (
+        f"<!doctype html><html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li><a href='/'>{menu}</a></ul></nav>"
+        f"<div class=ad>buy</div><article><h1>T &amp; U</h1><p>{text}<br>end<p><b>bold</b>er&nbsp;x &lt;y&gt;<script>var t='</p>';</script>{more}</article>"
+        "<div id='comments'><p>first!</p></div><footer>&copy; us</footer></body></html>"
+    )
+
+
+def test_extraction_keeps_the_article(spark):
+    rows = [(1, "http://a.example/1", page("one  two")), (2, "http://a.example/1", page("one  two")), (3, None, page("x\ny")), (4, "bad", None), (5, "http://b.example", ""), (None, "http://b.example", "just <i>te</i>xt"), (6, "http://b.example", "<p>a<div>b</p>c")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, slot int")
+    found = {(r.page_id): r for r in html_extraction.extract(docs).collect()}
+    assert found[1].text == found[2].text == "T & U\n\none two end\n\nbolder x <y>"
+    assert found[3].text == "T & U\n\nx y end\n\nbolder x <y>"
+    assert found[4].text == found[5].text == "" and found[None].text == "just text" and found[6].text == "a\n\nb\n\nc"
+    assert all(r.n_chars == len(r.text) for r in found.values()) and found[4].url == "bad"
+    assert html_extraction.extract(docs.limit(0)).count() == 0
+
+
+def test_wrapper_drops_what_a_host_repeats(spark):
+    """A host without telling tags: constant slots go, varying slots stay, copies of one page prove nothing."""
+    g = random.Random(1)
+
+    def bare(i):
+        return f"<body><div>Menu one two</div><div class=text><p>{' '.join(cases.prose(g, 12))}</p><p>{i}</p></div><table><tr><td>All rights</td><td>reserved</td></tr></table></body>"
+
+    rows = [(i, f"https://C.example:80/{i}", bare(i)) for i in range(14)]
+    copy = "<body><div>Same</div><section><p>text of all copies</p></section></body>"
+    rows += [(100 + i, f"https://d.example/{i}", copy) for i in range(14)]
+    found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(14):
+        assert "Menu" not in found[i] and "rights" not in found[i] and found[i].endswith(f"\n\n{i}")
+        assert found[100 + i] == "Same\n\ntext of all copies"
+
+
+def test_tree_matching():
+    a = dom.Slot("#root", [], dom.slots(dom.parse("<ul><li>1<li>2</ul><p>x</p><p>y</p><div class='b a'>z</div>").blocks))
+    b = dom.wrapper(dom.skeleton(dom.parse("<div class='a b'>q</div><ul><li>1</ul><h2>k</h2><p>x</p>")))
+    size, pairs = dom.match(a, b)
+    assert size == 4 and {x.label for x, _ in pairs} == {"#root", "ul", "li", "p"}
+
+
+def planted():
+    g = random.Random(7)
+    rows, want = [], set()
+    for i in range(120):
+        words = cases.prose(g, 60)
+        kind = i % 4
+        if kind == 0:
+            value = "".join(g.choice("0123456789abcdef") for _ in range(40))
+            words[20:20] = [g.choice(["token", "api_key", "SECRET"]), "=", f'"{value}"']
+        elif kind == 1:
+            value = "".join(g.choice("0123456789") for _ in range(16))
+            words[20] = value
+        elif kind == 2:
+            words[20:20] = ["commit", ":", "".join(g.choice("0123456789abcdef") for _ in range(40))]
+        text = " ".join(words)
+        rows.append((i, text))
+        if kind == 0:
+            want.add((i, text.index(value) + 1, 40, value))
+    return rows, want
+
+
+def test_secrets_are_told_from_numbers(spark):
+    rows, want = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.scan(docs)
+    assert {(r.doc_id, r.start, r.length, r.value) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, found).collect()}
+    values = {i: v for i, _, _, v in want}
+    for i, t in rows:
+        assert clean[i] == (t.replace(values[i], "[SECRET]") if i in values else t)
+
+
+def test_forest_learns_reviewed_findings(spark):
+    """Labels that no rule knows: values of this corpus with capital letters are secrets."""
+    g = random.Random(3)
+    rows = [(i, "see " + "".join(g.choice("ABCDEFGH0123456789" if i % 2 else "abcdefgh0123456789") for _ in range(30)) + "9 there") for i in range(200)]
+    found = secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string"))
+    labelled = found.where("doc_id < 120").withColumn("label", (F.col("doc_id") % 2).cast("double"))
+    kept = {r.doc_id for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), labelled).collect()}
+    assert kept == set(range(1, 200, 2))
+
+
+def test_secrets_of_awkward_documents(spark):
+    more = [(30, 'password="hunter2hunter2" ' * 3, None, None, None), (31, "A1" * 30_000, None, None, 60_000)]
+    docs = cases.documents(spark, more)
+    found = secrets.scan(docs)
+    assert sorted((r.start, r.value) for r in found.where("doc_id = 30").collect()) == [(11 + 26 * k, "hunter2hunter2") for k in range(3)]
+    clean = secrets.redact(docs, found)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert clean.where("doc_id = 30").first().text == 'password="[SECRET]" ' * 3
+    assert clean.where("text IS NULL").count() == 2
+    assert secrets.scan(cases.nothing(spark)).count() == 0 and secrets.redact(cases.nothing(spark), found).count() == 0
