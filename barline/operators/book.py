@@ -78,7 +78,7 @@ def with_holdings(targets: DataFrame, lag: int = 1, by: Sequence[str] = TRIAL, f
     """+ segment, held (after the day's fill), drifted (before it), old_segment, next_return.
 
     ``targets`` needs weight (null = no decision), flag, close, returns, pos on the dense grid. A
-    ticker without a price on the fill date is not traded and keeps its segment; after a ticker's
+    ticker without a price on the fill date is not traded and keeps its segment; a name that is not held has none; after a ticker's
     last print and the return booked then, its holding is cash. ``frozen`` lists (by, pos) on which
     weights did not drift (see ``run_book``).
     """
@@ -115,6 +115,8 @@ def with_holdings(targets: DataFrame, lag: int = 1, by: Sequence[str] = TRIAL, f
     )
     alive = F.col("segment").isNotNull() & (F.col("pos") <= F.col("_end"))
     rows = rows.withColumn("held", F.when(alive, F.col("_units") * growth).otherwise(0.0))
+    # what holds nothing dates from no fill: sold and dead names add no rows to the sums
+    rows = rows.withColumn("segment", F.when(F.col("held") != 0, F.col("segment")))
     rows = rows.withColumns(
         {
             "old_segment": F.lag("segment").over(w),

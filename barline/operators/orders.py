@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,5 +93,40 @@ def plan_orders(
 ) -> DataFrame:
     """Latest decision, scaled by the overlay, sized to capital, as orders against managed holdings."""
     prices = last_prices(panel)
+    decided = targets.where(F.col("flag") & F.col("weight").isNotNull()).select(*by).distinct()
     want = target_shares(latest_decision(targets, by), prices, capital, by, final_scale(daily, by))
-    return diff_orders(managed_holdings(current, panel), want, prices, min_notional, by)
+    # a book without a decision is left as it is
+    have = managed_holdings(current, panel).join(decided, list(by), "left_semi")
+    return diff_orders(have, want, prices, min_notional, by)
+
+
+def undecided(targets: DataFrame, current: DataFrame, by: Sequence[str] = TRIAL) -> DataFrame:
+    """Books (by) that hold something and whose targets hold no decision: no orders are planned for them."""
+    decided = targets.where(F.col("flag") & F.col("weight").isNotNull()).select(*by)
+    return current.select(*by).distinct().join(decided, list(by), "left_anti")
+
+
+@dataclass(frozen=True)
+class OrderPlan:
+    """Orders with what a reader of them should know."""
+
+    orders: DataFrame
+    decisions: DataFrame
+    scale: DataFrame
+    unpriced: DataFrame
+    foreign: DataFrame
+    undecided: DataFrame
+
+
+def order_plan(
+    targets: DataFrame, panel: DataFrame, daily: DataFrame, current: DataFrame, capital: float, by: Sequence[str] = TRIAL, min_notional: float = 200.0
+) -> OrderPlan:
+    """Orders of all books, the date each was decided, its overlay scale, and notes on unpriced targets, holdings
+    the data does not know, and books without a decision. Refused if no book has a decision."""
+    weights = latest_decision(targets, by)
+    dates = targets.where(F.col("flag") & F.col("weight").isNotNull()).groupBy(*by).agg(F.max("date").alias("decided_on"))
+    if not dates.head(1):
+        raise ValueError("no decision in the targets: nothing to trade towards")
+    prices = last_prices(panel)
+    orders = plan_orders(targets, panel, daily, current, capital, by, min_notional)
+    return OrderPlan(orders, dates, final_scale(daily, by), unpriced_targets(weights, prices, by), outside_data(current, panel), undecided(targets, current, by))

@@ -1,8 +1,7 @@
 """Risk controls above the book: volatility target and drawdown breaker.
 
-The volatility target alone is a window expression. The breaker is a fold over a scalar path (equity
-depends on whether the breaker was on), so it walks each trial's sessions in pandas: one group per
-trial, one row per session.
+The volatility target alone is a window expression. With a breaker, or with settings that differ between
+trials, each trial's sessions (one row each) are one group of arrays.
 """
 
 from __future__ import annotations
@@ -47,25 +46,37 @@ def _wanted_leverage(base: np.ndarray, target: float, lookback: int, cap: float,
 
 
 def _breaker(base, gross, wanted, limit, cooldown, rate):
-    """Walk the sessions: scale in force, net return, whether the breaker is on, resizing cost."""
+    """(scale in force, net return, whether the breaker is on, resizing cost) of each session.
+
+    Between two trips the path is a running product, so the next trip is found by an array search over the
+    rest of the path and the sessions up to the restart are filled at once.
+    """
     days = len(base)
-    scale, net, cost = np.ones(days), np.zeros(days), np.zeros(days)
+    scale = np.concatenate([[1.0], wanted[:-1]])[:days]
+    held = np.concatenate([[0.0], gross[:-1]])[:days]  # gross exposure that a resize applies to
     active = np.zeros(days, dtype=bool)
-    equity = high = 1.0
-    sit_out = 0
-    for t in range(days):
-        if t:
-            scale[t] = 0.0 if sit_out else wanted[t - 1]
-            cost[t] = abs(scale[t] - scale[t - 1]) * gross[t - 1] * rate
-        net[t] = scale[t] * base[t] - cost[t]
-        equity *= 1.0 + net[t]
-        high = max(high, equity)
-        if sit_out:
-            sit_out -= 1
-            high = equity if sit_out == 0 else high
-        elif not np.isnan(limit) and equity / high - 1.0 <= -limit:
-            sit_out = cooldown
-        active[t] = sit_out > 0
+    cost = np.abs(np.diff(scale, prepend=1.0)) * held * rate
+    net = scale * base - cost
+    start, value, peak = 0, 1.0, 1.0
+    while not np.isnan(limit) and cooldown > 0 and start < days:
+        path = value * np.cumprod(1.0 + net[start:])
+        high = np.maximum.accumulate(np.maximum(path, peak))
+        trips = np.flatnonzero(path / high - 1.0 <= -limit)
+        if not len(trips):
+            break
+        trip = start + int(trips[0])
+        restart = trip + cooldown + 1
+        flat = slice(trip + 1, restart)
+        value = path[trip - start]
+        resized = np.zeros(len(scale[flat]))
+        resized[:1] = np.abs(scale[trip]) * held[flat][:1] * rate
+        scale[flat], cost[flat], net[flat] = 0.0, resized, -resized
+        active[trip : restart - 1] = True
+        if restart < days:  # back from nothing to what is wanted then
+            cost[restart] = np.abs(scale[restart]) * held[restart] * rate
+            net[restart] = scale[restart] * base[restart] - cost[restart]
+        value = peak = value * float(np.prod(1.0 + net[flat]))
+        start = restart
     return scale, net, active, cost
 
 
@@ -75,7 +86,7 @@ KNOBS = ("vol_target", "vol_lookback", "max_leverage", "dd_limit", "dd_cooldown_
 def apply_overlay(daily: DataFrame, config: BookConfig = BookConfig(), by: Sequence[str] = TRIAL) -> DataFrame:
     """daily + scale, breaker, overlay_cost, net. Knobs come from columns of ``daily`` or the config."""
     keys = list(by)
-    per_trial = any(k in daily.columns for k in ("vol_target", "dd_limit"))
+    per_trial = any(k in daily.columns for k in KNOBS)
     if not per_trial and config.vol_target is None and config.dd_limit is None:
         return daily.withColumns(
             {"scale": F.lit(1.0), "breaker": F.lit(False), "overlay_cost": F.lit(0.0), "net": F.col("base")}
@@ -121,7 +132,7 @@ def apply_overlay(daily: DataFrame, config: BookConfig = BookConfig(), by: Seque
     return rows.groupBy(*keys).applyInPandas(one_trial, schema)
 
 
-def equity_curve(daily: DataFrame, capital: float = 1_000_000.0, by: Sequence[str] = TRIAL) -> DataFrame:
+def equity_curve(daily: DataFrame, capital: float | Column = 1_000_000.0, by: Sequence[str] = TRIAL) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("pos")
     return daily.withColumn("equity_value", capital * F.product(1 + F.col("net")).over(w))
 

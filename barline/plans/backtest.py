@@ -1,4 +1,4 @@
-"""Panel + strategy (+ trials) -> targets, book, risk overlay, benchmark, metrics: one lazy plan.
+"""Panel + strategy (+ trials) -> targets, book, risk overlay, benchmark, metrics.
 
 Exchanges of the price-sized rows: by ticker (panel and signal), by (trial, date) (ranks and weights),
 by (trial, ticker) (holdings). Everything after the holdings works on one row per trial and session.
@@ -6,8 +6,10 @@ by (trial, ticker) (holdings). Everything after the holdings works on one row pe
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +17,10 @@ from pyspark.sql import functions as F
 from ..functions import elementwise as el
 from ..operators import construct, metrics, overlay, tuning
 from ..operators import panel as P
-from ..operators.book import Book, BookConfig, book_benchmark, equal_weight_benchmark, run_book, with_flags
+from ..operators.book import Book, BookConfig, book_benchmark, equal_weight_benchmark, knob, run_book, with_flags
 from ..session import checkpointed
 from .strategy import Strategy
 
-MAX_BROADCAST_TRIALS = 100_000  # a trial row is a handful of numbers
-
-
 @dataclass(frozen=True)
 class Backtest:
     targets: DataFrame
@@ -29,6 +28,7 @@ class Backtest:
     daily: DataFrame
     trials: DataFrame
     config: BookConfig
+    parts: tuple["Backtest", ...] = ()  # trials that share the settings a window or a formula needs as a number
 
     @property
     def live(self) -> DataFrame:
@@ -43,12 +43,21 @@ class Backtest:
         return metrics.daily_ic(rows)
 
     def metrics(self, n_trials: int = 1, variance: float = 0.0) -> DataFrame:
+        if self.parts:
+            return _union([p.metrics(n_trials, variance) for p in self.parts])
         c = self.config
         return metrics.summarize(
             self.live, ("trial",), c.periods_per_year, self.ic, c.ic_horizon, n_trials, variance
         )
 
 
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def narrow(panel: DataFrame, strategy: Strategy) -> DataFrame:
     """The strategy's own universe: ticker list and liquidity floor."""
     if strategy.tickers:
@@ -131,9 +140,8 @@ def build_targets(
         panel = panel.withColumn("inverse_vol", construct.inverse_vol(F.col("returns"), strategy.vol_lookback))
         keep.append("inverse_vol")
     out = fan_out_trials(panel, strategy, rows, keep)
-    small = F.broadcast(trials) if len(rows) <= MAX_BROADCAST_TRIALS else trials
     needed = [n for n in (strategy.long_quantile, strategy.short_quantile, strategy.max_weight, strategy.gross_exposure) if isinstance(n, str)]
-    out = out.join(small.select("trial", "rebalance", *dict.fromkeys(needed)), "trial")
+    out = out.join(trials.select("trial", "rebalance", *dict.fromkeys(needed)), "trial")
     if strategy.rules is not None:
         out = _positions(out, strategy)
     cross = ("trial", "date")
@@ -174,30 +182,75 @@ def run_backtest(
     """Backtest one strategy, or every variant in ``overrides`` (knobs, rebalance, config names) at once."""
     rows = trial_rows(strategy, overrides, config)
     panel = narrow(panel, strategy)
+    apart: dict[tuple, list[dict]] = {}
+    for r in rows:
+        apart.setdefault(tuple(int(r.get(k, getattr(config, k))) for k in APART), []).append(r)
+    parts = [_run(panel, strategy, replace(config, **dict(zip(APART, values))), some) for values, some in apart.items()]
+    if len(parts) == 1:
+        return parts[0]
+    book = Book(*(_union([getattr(p.book, f) for p in parts]) for f in ("holdings", "path", "daily")), parts[0].book.by)
+    return Backtest(_union([p.targets for p in parts]), book, _union([p.daily for p in parts]), _union([p.trials for p in parts]), config, tuple(parts))
+
+
+#: Settings that are window offsets or formula constants: trials that differ in them are computed side by side.
+APART = ("execution_lag", "ic_horizon", "periods_per_year")
+
+
+def _run(panel: DataFrame, strategy: Strategy, config: BookConfig, rows: list[dict]) -> Backtest:
     trials = trial_frame(panel, rows)
     targets = build_targets(panel, strategy, rows, trials, config.ic_horizon)
     knobs = [c for c in trials.columns if c in BookConfig.__dataclass_fields__]
-    lags = {int(r.get("execution_lag", config.execution_lag)) for r in rows}
-    if len(lags) > 1:
-        raise ValueError("trials of one run share one execution_lag: it is a window offset")
-    config = BookConfig(**{**config.__dict__, "execution_lag": lags.pop()})
     targets = with_flags(targets, F.col("rebalance"))
     book = run_book(targets, config, knobs=trials.select("trial", *knobs) if knobs else None)
     daily = overlay.apply_overlay(book.daily, config)
     daily = daily.join(book_benchmark(book.holdings), ["trial", "pos"])
     # a row per trial and session, read by every report: written once, so later plans start from it
-    daily = checkpointed(overlay.equity_curve(daily, config.initial_capital))
+    daily = checkpointed(overlay.equity_curve(daily, knob(daily, "initial_capital", config)))
     return Backtest(targets, book, daily, trials, config)
 
 
+def grid_overrides(strategy: Strategy, grid: Mapping[str, Sequence] | None = None, max_trials: int | None = None, seed: int = 0, n: int = 3) -> list[dict]:
+    """Knob settings of a sweep: every combination of ``grid``, or of ``n`` points of each knob's range.
+
+    Knobs without a range (``strategy.ranges``) stay as they are. Beyond ``max_trials`` the combinations of
+    the least hash of (seed, number) are taken, in order of their number.
+    """
+    if grid is None:
+        grid = {}
+        for name, (low, high) in strategy.ranges.items():
+            now = strategy.knobs[name]
+            whole = isinstance(now, int)
+            points = {now, *((low + i * (high - low) / (n - 1)) for i in range(n) if n > 1 and low != high)}
+            grid[name] = sorted({round(p) if whole else float(p) for p in points})
+    if not all(len(v) for v in grid.values()):
+        raise ValueError("a knob of the grid has no values")
+    numbered = list(enumerate(dict(zip(grid, values)) for values in itertools.product(*grid.values())))
+    if max_trials is not None and len(numbered) > max_trials:
+        draw = lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest()
+        numbered = sorted(sorted(numbered, key=lambda t: draw(t[0]))[:max_trials])
+    return [change for _, change in numbered]
+
+
+def _overrides(strategy: Strategy, given, max_trials: int | None, seed: int) -> list[Mapping[str, object]]:
+    if given is None or isinstance(given, Mapping):
+        return grid_overrides(strategy, given, max_trials, seed)
+    return list(given)
+
+
 def run_sweep(
     panel: DataFrame,
     strategy: Strategy,
-    overrides: Sequence[Mapping[str, object]],
+    overrides: Sequence[Mapping[str, object]] | Mapping[str, Sequence] | None = None,
     config: BookConfig = BookConfig(),
     objective: str = "sharpe",
+    max_trials: int | None = None,
+    seed: int = 0,
 ) -> tuple[Backtest, DataFrame, DataFrame]:
-    """(backtest of all trials, trials with their metrics best first, winner with its deflated Sharpe)."""
+    """(backtest of all trials, trials with their metrics best first, winner with its deflated Sharpe).
+
+    ``overrides`` lists the trials, or is a grid of values by knob; None is the strategy's default grid.
+    """
+    overrides = _overrides(strategy, overrides, max_trials, seed)
     bt = run_backtest(panel, strategy, config, overrides)
     table = bt.trials.join(bt.metrics(), "trial")
     ranked = tuning.rank_trials(table, objective)
@@ -207,14 +260,17 @@ def run_sweep(
 def run_walk_forward(
     panel: DataFrame,
     strategy: Strategy,
-    overrides: Sequence[Mapping[str, object]],
+    overrides: Sequence[Mapping[str, object]] | Mapping[str, Sequence] | None = None,
     config: BookConfig = BookConfig(),
     train: int = 756,
     test: int = 252,
     expanding: bool = False,
     objective: str = "sharpe",
+    max_trials: int | None = None,
+    seed: int = 0,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(folds, stitched out-of-sample rows, their metrics). The benchmark is the un-narrowed panel's."""
+    overrides = _overrides(strategy, overrides, max_trials, seed)
     bt = run_backtest(panel, strategy, config, overrides)
     first, sessions = tuning.common_start(overlay.live_from(bt.daily), bt.daily)
     span = tuning.Span(first, sessions, train, test, expanding)

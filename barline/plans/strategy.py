@@ -53,6 +53,7 @@ class Strategy:
     rebalance: str = "weekly"
     min_adv: float | None = None
     tickers: Sequence[str] = field(default_factory=tuple)
+    ranges: Mapping[str, tuple[float, float]] = field(default_factory=dict)  # of knobs, for a default grid
 
     @property
     def mode(self) -> str:
@@ -67,13 +68,14 @@ def momentum(lookback: int = 120, skip: int = 5, top_quantile: float = 0.2, **ch
         return el.div(ts.ts_delay(F.col("close"), near), ts.ts_delay(F.col("close"), far)) - 1.0
 
     settings = dict(
-        name="momentum_12_1",
+        name="trailing_return_rank",
         knobs={"lookback": lookback, "skip": skip, "top_quantile": top_quantile},
         raw=raw,
         signal_knobs=("lookback", "skip"),
         finish=lambda x, by: xs.rank(x, by),
         long_quantile="top_quantile",
         short_quantile="top_quantile",
+        ranges={"lookback": (40, 260), "skip": (0, 20)},
     )
     return Strategy(**{**settings, **changes})
 
@@ -90,7 +92,7 @@ def dip_buyer(
     rsi = lambda k: F.col(f"rsi_{int(round(k['rsi_window']))}")
     trend = lambda k: ts.ts_mean(F.col("close"), k["trend_window"])
     settings = dict(
-        name="rsi_dip_buyer",
+        name="oversold_in_uptrend",
         knobs={
             "rsi_window": rsi_window,
             "oversold": oversold,
@@ -108,5 +110,6 @@ def dip_buyer(
         direction="long_only",
         max_weight="position_cap",
         rebalance="daily",
+        ranges={"rsi_window": (5, 25), "oversold": (15, 40), "trend_window": (50, 250)},
     )
     return Strategy(**{**settings, **changes})

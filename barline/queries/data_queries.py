@@ -10,7 +10,7 @@ from ..operators import adjust, cleaning, intervals, relate
 from ..operators import panel as P
 from ..schema import FUNDAMENTALS, MEMBERSHIP, PRICES
 from ..sources import constituents, files, landed
-from ..sources.warehouse import canonical, merge_upsert, read_or_empty
+from ..sources.warehouse import Warehouse, canonical, merge_upsert, read_or_empty
 from . import market as mk
 from .registry import d, emit, n, query, r
 
@@ -22,20 +22,33 @@ BAR_SQL = ", ".join(r(c) for c in BARS)
 # -- scans -------------------------------------------------------------------------------
 @query(
     "s01_scan_with_projection_and_filter",
-    "SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, "
-    + r("l_extendedprice", "close")
-    + " FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND l_quantity > 10",
+    mk.sql(mk.with_tables("prices"), f"SELECT {KEY}, {r('close')} FROM prices WHERE date >= DATE '1999-01-01' AND volume > 10"),
 )
 def scan(spark, sf):
-    line = mk.table(spark, sf, "lineitem")
-    picked = line.where((F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz")) & (F.col("l_quantity") > 10))
-    return emit(
-        picked.select(
-            F.col("l_suppkey").cast("string").alias("ticker"),
-            F.to_date("l_shipdate").alias("date"),
-            F.col("l_extendedprice").alias("close"),
-        )
-    )
+    """Prices stored by year, read back with columns and a row filter."""
+    wh = Warehouse(spark, mk.folder(spark))
+    wh.write("prices", mk.prices(spark, sf), "lines")
+    recent = (F.col("date") >= F.lit("1999-01-01").cast("date")) & (F.col("volume") > 10)
+    return emit(wh.read("prices", ["date", "ticker", "close"], recent))
+
+
+@query(
+    "s03_text_files_of_two_headers",
+    mk.sql(
+        mk.with_tables("prices"),
+        f"SELECT {KEY}, {r('close')}, {r('CASE WHEN volume >= 20 THEN volume END', 'volume')} FROM prices",
+    ),
+)
+def text_files(spark, sf):
+    """One folder, two kinds of files: month-name dates with commas, month-first dates with semicolons."""
+    rows = mk.prices(spark, sf)
+    root = mk.folder(spark)
+    busy, quiet = rows.where("volume >= 20"), rows.where("NOT coalesce(volume >= 20, false)")
+    busy.select(F.date_format("date", "d-MMM-yyyy").alias("Trade Date"), F.col("ticker").alias("Symbol"), F.col("close").alias("PX_LAST"), F.col("volume").alias("Vol")).write.option("header", True).csv(f"{root}/a")
+    quiet.select(F.col("ticker").alias("sym"), F.date_format("date", "MM/dd/yyyy").alias("day"), F.col("close").alias("price")).write.option("header", True).option("sep", ";").csv(f"{root}/b")
+    groups = files.read_raw_groups(spark, f"{root}/*")
+    parts = [files.apply_mapping(g, files.infer_mapping(g)) for g in groups]
+    return emit(parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0], "date", "ticker", "close", "volume")
 
 
 @query(
@@ -247,11 +260,46 @@ def keyed_upsert(spark, sf):
 )
 def touched_years(spark, sf):
     """New rows replace their keys inside the years they touch; other years' rows stay as stored."""
-    old = mk.prices(spark, sf)
-    new = old.where(F.year("date").isin(1998, 1999)).withColumn("close", F.col("close") * 2)
-    inside = F.year("date").isin(1998, 1999)
-    merged = merge_upsert(old.where(inside), new, ["date", "ticker"]).unionByName(old.where(~inside))
-    return emit(merged, "date", "ticker", "close")
+    wh = Warehouse(spark, mk.folder(spark))
+    wh.write("prices", mk.prices(spark, sf), "first")
+    new = mk.prices(spark, sf).where(F.year("date").isin(1998, 1999)).withColumn("close", F.col("close") * 2)
+    wh.write("prices", new, "correction")
+    return emit(wh.read("prices", ["date", "ticker", "close"]))
+
+
+@query(
+    "k02_null_keys_are_kept",
+    mk.sql(
+        mk.with_tables("meta"),
+        "SELECT CASE WHEN ends_with(ticker, '1') THEN NULL ELSE sector END AS universe, ticker, "
+        "CASE WHEN ends_with(ticker, '2') THEN '2001-01-01' END AS end_date FROM meta",
+    ),
+)
+def null_keys(spark, sf):
+    """Membership rows of a null universe survive the writing of others; null matches null."""
+    wh = Warehouse(spark, mk.folder(spark))
+    start, none = F.lit("1995-01-06").cast("date"), F.lit(None).cast("date")
+    universe = F.when(~F.endswith(F.col("ticker"), F.lit("1")), F.col("sector"))
+    rows = mk.meta(spark, sf).select(universe.alias("universe"), "ticker", start.alias("start_date"), none.alias("end_date"))
+    wh.write("membership", rows, "first")
+    ended = rows.where(F.endswith(F.col("ticker"), F.lit("2")) | F.endswith(F.col("ticker"), F.lit("1")))
+    end = F.when(F.endswith(F.col("ticker"), F.lit("2")), F.lit("2001-01-01").cast("date"))
+    wh.write("membership", ended.withColumn("end_date", end), "second")
+    return emit(wh.read("membership"), "universe", "ticker", "end_date")
+
+
+@query(
+    "k05_ingest_log",
+    mk.sql(
+        mk.with_tables("meta", "fundamentals"),
+        "SELECT 'meta' AS table, count(*)::BIGINT AS rows, 'one' AS source FROM meta UNION ALL SELECT 'fundamentals', count(*)::BIGINT, 'two' FROM fundamentals",
+    ),
+)
+def ingest_log(spark, sf):
+    wh = Warehouse(spark, mk.folder(spark))
+    wh.write("meta", mk.meta(spark, sf), "one")
+    wh.write("fundamentals", mk.fundamentals(spark, sf), "two")
+    return wh.ingest_log().select("table", "rows", "source")
 
 
 # -- mapping raw files --------------------------------------------------------------------------

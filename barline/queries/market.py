@@ -7,11 +7,14 @@ balance stop trading at the end of 1999, rich ones carry a 2:1 split, regions ar
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.panel import build_panel
 from ..operators.sessions import session_calendar
+from ..session import checkpoint_folder
 
 
 # Known layouts: Spark need not open a file to plan a query.
@@ -30,6 +33,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(LAYOUTS[name]).parquet(f"{sf}/{name}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder of the session's shared checkpoint folder, for what one run of a query stores."""
+    return f"{checkpoint_folder(spark)}/query-{uuid.uuid4().hex}"
+
+
 def ticker(key: str):
     return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 6, "0"))
 

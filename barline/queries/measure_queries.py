@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import book as bk
 from ..operators import metrics, orders, reports, tuning
 from ..plans.backtest import run_backtest, run_sweep
-from ..sources.runs import list_runs
+from ..sources import runs
 from . import market as mk
 from .book_queries import (
     CONFIG,
@@ -502,32 +502,39 @@ def top_trials(spark, sf):
     return emit(reports.top_rows(metrics.return_measures(series(spark, sf), ppy=PPY), "sharpe", 10, "trial"), "trial", "sharpe")
 
 
+RUN_OF = "CASE (substr(trial, 2)::BIGINT) % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'swept' ELSE 'walked' END"
+
+
 @query(
     "s12_k06_stored_runs",
     mk.sql(
         SERIES
         + [
-            "runs AS (SELECT trial AS run, CASE WHEN min(drawdown) < -0.25 THEN 'walk-forward' ELSE 'backtest' END AS kind, "
-            f"{MEASURES['sharpe']} AS sharpe, arg_max(eqv, pos) AS stored, product(1 + benchmark) AS grown FROM dd GROUP BY trial)"
+            f"runs AS (SELECT {RUN_OF} AS run, substr(trial, 2)::BIGINT AS trial, {MEASURES['sharpe']} AS sharpe, {MEASURES['hit_rate']} AS hit_rate, "
+            "max(date) AS ended, arg_max(eqv, pos) AS stored FROM dd GROUP BY dd.trial)",
+            "grown AS (SELECT product(1 + benchmark) AS g FROM bench)",
         ],
-        f"SELECT run, kind, {r('sharpe')}, {r('CASE WHEN kind = $$walk-forward$$ THEN grown ELSE stored END', 'last_equity')} FROM runs",
+        f"SELECT run, {n('trial')}, CASE run WHEN 'plain' THEN 'backtest' WHEN 'swept' THEN 'sweep' ELSE 'walk-forward' END AS kind, "
+        f"{r('sharpe')}, {r('hit_rate')}, {d('ended', 'end')}, {r('CASE WHEN run = $$walked$$ THEN g ELSE stored END', 'last_equity')} FROM runs, grown",
     ),
 )
 def stored_runs(spark, sf):
-    """Each ticker as a run; those with deep losses as walk-forward runs whose path is the benchmark's."""
-    rows = series(spark, sf)
-    table = metrics.return_measures(rows, ppy=PPY).select(
-        F.col("trial").alias("run"),
-        F.lit(0).cast("bigint").alias("trial"),
-        F.when(F.col("max_drawdown") < -0.25, "walk-forward").otherwise("backtest").alias("kind"),
-        "sharpe",
-    )
-    path = reports.growth_paths(rows).groupBy(F.col("trial").alias("run")).agg(
-        F.max_by("growth", "pos").alias("stored_equity"), F.max_by("benchmark_growth", "pos").alias("oos_growth")
+    """Tickers as trials of three runs that are stored and listed: a plain one, a swept one, a walked one."""
+    root = mk.folder(spark)
+    rows = reports.growth_paths(series(spark, sf)).withColumns(
+        {"equity_value": F.col("growth"), "base": F.col("net"), "scale": F.lit(1.0), "number": F.substring("trial", 2, 20).cast("bigint")}
     )
-    oos = table.where(F.col("kind") == "walk-forward").select("run").join(path.select("run", "oos_growth"), "run")
-    out = list_runs(table, path.select("run", F.lit(0).cast("bigint").alias("trial"), "stored_equity"), oos)
-    return emit(out, "run", "kind", "sharpe", "last_equity")
+    measures = metrics.return_measures(series(spark, sf), ppy=PPY).withColumn("number", F.substring("trial", 2, 20).cast("bigint"))
+    bench = bk.equal_weight_benchmark(mk.panel(spark, sf, universe="all")).select("date", "pos", F.col("benchmark").alias("net"))
+    for i, run in enumerate(("plain", "swept", "walked")):
+        mine = F.col("number") % 3 == i
+        table = measures.where(mine).drop("trial").withColumnRenamed("number", "trial")
+        runs.save_run(root, run, rows.where(mine).drop("trial").withColumnRenamed("number", "trial"), table, {"part": i, "limit": None})
+        if run == "swept":
+            runs.save_sweep(root, run, table.select("trial", "sharpe"))
+        if run == "walked":
+            runs.save_folds(root, run, table.select("trial"), bench)
+    return emit(runs.stored_runs(spark, root), "run", "trial", "kind", "sharpe", "hit_rate", "end", "last_equity")
 
 
 # -- orders ---------------------------------------------------------------------------------------------

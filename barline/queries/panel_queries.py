@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import panel as P
 from ..operators import reports
 from ..operators.sessions import rebalance_flags, session_calendar
+from ..sources.warehouse import Warehouse
 from . import market as mk
 from .registry import d, emit, n, query, r
 
@@ -176,11 +177,12 @@ def liquidity_floor(spark, sf):
     ),
 )
 def catalogue(spark, sf):
-    universes = mk.membership(spark, sf).select(F.lit("universe").alias("kind"), F.col("universe").alias("name"))
-    fields = mk.fundamentals(spark, sf).select(F.lit("field").alias("kind"), F.col("field").alias("name"))
-    groups = mk.meta(spark, sf).where(F.col("sector").isNotNull())
-    groups = groups.select(F.lit("group").alias("kind"), F.lit("sector").alias("name"))
-    return universes.distinct().unionByName(fields.distinct()).unionByName(groups.distinct())
+    wh = Warehouse(spark, mk.folder(spark))
+    wh.write("membership", mk.membership(spark, sf))
+    wh.write("fundamentals", mk.fundamentals(spark, sf))
+    wh.write("meta", mk.meta(spark, sf))
+    found = [("universe", n) for n in wh.universes() if n != "all"] + [("field", n) for n in wh.fundamental_fields()]
+    return spark.createDataFrame(found + [("group", n) for n in wh.groups()], "kind string, name string")
 
 
 @query(

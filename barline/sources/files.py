@@ -26,8 +26,9 @@ SYNONYMS = {
     "volume": ["volume", "vol", "v", "px_volume", "shares_traded", "qty"],
 }
 
-# fixed values: date layouts tried in turn when a mapping names none
-ISO_DATES = ["yyyy-M-d", "yyyy-M-d H:mm:ss", "yyyy-M-d'T'H:mm:ss", "yyyy/M/d", "yyyyMMdd"]
+# fixed values: date layouts tried in turn when a mapping names none; a file keeps to one order of day and month
+PLAIN_DATES = ["yyyy-M-d", "yyyy-M-d H:mm:ss", "yyyy-M-d'T'H:mm:ss", "yyyy/M/d", "yyyyMMdd"]
+NAMED_MONTHS = ["d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "d-MMMM-yyyy", "d MMMM yyyy", "MMMM d, yyyy", "MMMM d yyyy"]
 DAY_FIRST = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy"]
 MONTH_FIRST = ["M/d/yyyy", "M-d-yyyy", "M.d.yyyy"]
 
@@ -48,7 +49,7 @@ class Mapping:
     wide: bool = False
     wide_field: str = "adj_close"
     date_format: str | None = None
-    day_first: bool = False
+    day_first: bool | None = None  # None: the order that reads more of a file's dates
     price_scale: float = 1.0
 
     def with_(self, **changes) -> "Mapping":
@@ -56,7 +57,8 @@ class Mapping:
 
 
 def normalise(name: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_")
+    """A column name as its lower-case words."""
+    return "_".join(re.findall("[a-z0-9]+", name.lower()))
 
 
 def header_separator(header: str) -> str:
@@ -66,18 +68,29 @@ def header_separator(header: str) -> str:
     return best if counts[best] else ","
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, or delimited text with a header (all columns as text), plus the ORDER columns.
+def _is_parquet(path: str) -> bool:
+    return bool(re.search(r"\.(parquet|pq)/?$", path.lower()))
 
-    A folder is read as many files of one layout. Row numbers restart in every input split, and the
-    split's offset orders the splits of a file.
-    """
-    if re.search(r"\.(parquet|pq)/?$", path.lower()):
-        df = spark.read.parquet(path)
-    else:
-        header = spark.read.text(path).head()
-        line = (header[0] if header else "").lstrip("\ufeff")
-        df = spark.read.option("header", True).option("sep", header_separator(line)).csv(path)
+
+def text_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """First line -> the files that begin with it. One row per file comes to the driver, as its listing does."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    first = lines.where("b = 0").groupBy("f").agg(F.min_by("value", "i").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in first.orderBy("f").collect():
+        found.setdefault(row["header"].lstrip("\ufeff"), []).append(row["f"])
+    return found
+
+
+def read_raw_groups(spark: SparkSession, path: str) -> list[DataFrame]:
+    """One frame per header among the files of ``path`` (see :func:`read_raw` for its columns)."""
+    if _is_parquet(path):
+        return [_placed(spark.read.parquet(path))]
+    groups = text_headers(spark, path) or {"": [path]}
+    return [_placed(spark.read.option("header", True).option("sep", header_separator(h)).csv(files)) for h, files in groups.items()]
+
+
+def _placed(df: DataFrame) -> DataFrame:
     df = df.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
@@ -87,6 +100,18 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
 
 
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet, or delimited text with a header (all columns as text), plus the ORDER columns.
+
+    All files must share one header. Row numbers restart in every input split, and the split's offset
+    orders the splits of a file.
+    """
+    groups = read_raw_groups(spark, path)
+    if len(groups) > 1:
+        raise ValueError(f"the files of {path} have {len(groups)} different headers; read them with read_raw_groups")
+    return groups[0]
+
+
 def source_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in ORDER]
 
@@ -117,24 +142,59 @@ def as_number(c: Column, strip_commas: bool = False) -> Column:
     return finite(F.when(~text.rlike("[dDfF]$"), text.try_cast("double")))
 
 
-def as_date(c: Column, date_format: str | None, day_first: bool) -> Column:
-    """Text to date by one format or the usual layouts; time of day and zone are dropped."""
+def _read_date(c: Column, layouts: list[str]) -> Column:
+    """Text to date by the first layout that fits; time of day and zone are dropped."""
     text = F.regexp_replace(F.trim(c.cast("string")), r"(\d{1,2}:\d{2}(:\d{2})?)(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?$", "$1")
-    layouts = [date_format] if date_format else ISO_DATES + (DAY_FIRST if day_first else MONTH_FIRST + DAY_FIRST)
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in layouts]
-    return F.coalesce(*tries).cast("date")
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in layouts)).cast("date")
+
+
+def as_date(c: Column, date_format: str | None, day_first: bool | Column) -> Column:
+    """Text to date by one format or the usual layouts; ``day_first`` says how a column of numbers reads."""
+    if date_format:
+        return _read_date(c, [date_format])
+    by_day, by_month = _read_date(c, DAY_FIRST), _read_date(c, MONTH_FIRST)
+    if isinstance(day_first, Column):
+        numeric = F.when(day_first, by_day).otherwise(by_month)
+    else:
+        numeric = by_day if day_first else by_month
+    return F.coalesce(_read_date(c, PLAIN_DATES), numeric, _read_date(c, NAMED_MONTHS))
+
+
+def with_day_first(df: DataFrame, column: str) -> DataFrame:
+    """+ ``_day_first``: whether day/month/year reads more of the column's texts in the row's file than
+    month/day/year does. Files in which both read alike are taken month first."""
+    c = F.col(f"`{column}`")
+    more = F.count(_read_date(c, DAY_FIRST)) > F.count(_read_date(c, MONTH_FIRST))
+    if "_file" in df.columns:
+        orders = df.groupBy(F.col("_file").alias("_f")).agg(more.alias("_day_first"))
+        return df.join(orders, F.col("_file") == F.col("_f")).drop("_f")
+    return df.withColumn("_day_first", F.lit(df.agg(more).head()[0]))
+
+
+def unreadable_dates(raw: DataFrame, m: Mapping) -> DataFrame:
+    """(_file, n_rows, n_unreadable): texts of the date column that no layout of their file reads."""
+    rows = _dated(raw, m)
+    stated = F.col(f"`{m.date}`").isNotNull() & (F.trim(F.col(f"`{m.date}`").cast("string")) != "")
+    name = F.col("_file") if "_file" in raw.columns else F.lit("")
+    return rows.groupBy(name.alias("_file")).agg(F.count("*").alias("n_rows"), F.count(F.when(stated & F.col("_date").isNull(), 1)).alias("n_unreadable"))
+
+
+def _dated(df: DataFrame, m: Mapping) -> DataFrame:
+    """+ ``_date``."""
+    raw = F.col(f"`{m.date}`")
+    if dict(df.dtypes)[m.date] in ("date", "timestamp", "timestamp_ntz"):
+        return df.withColumn("_date", raw.cast("date"))
+    if m.date_format or m.day_first is not None:
+        return df.withColumn("_date", as_date(raw, m.date_format, bool(m.day_first)))
+    return with_day_first(df, m.date).withColumn("_date", as_date(raw, None, F.col("_day_first"))).drop("_day_first")
 
 
 def apply_mapping(df: DataFrame, m: Mapping, default_ticker: str | Column | None = None) -> DataFrame:
     """Canonical price columns (not cleaned yet) plus the ORDER columns the input has."""
     keep = [c for c in ORDER if c in df.columns]
-    date_type = dict(df.dtypes)[m.date]
-    raw_date = F.col(f"`{m.date}`")
-    date = raw_date.cast("date") if date_type in ("date", "timestamp", "timestamp_ntz") else as_date(
-        raw_date, m.date_format, m.day_first
-    )
+    names = [c for c in source_columns(df) if c != m.date]
+    df, date = _dated(df, m), F.col("_date")
     if m.wide:
-        names = [c for c in source_columns(df) if c != m.date]
         body = df.select(date.alias("date"), *keep, *[(as_number(F.col(f"`{c}`")) * m.price_scale).alias(c) for c in names])
         return as_prices(body.unpivot(["date", *keep], [f"`{c}`" for c in names], "ticker", m.wide_field))
     if m.ticker:
@@ -160,9 +220,15 @@ def file_stem() -> Column:
 
 def ingest_prices(
     spark: SparkSession, path: str, mapping: Mapping | None = None, spike: float = 0.5
-) -> tuple[DataFrame, Mapping, DataFrame]:
-    """Raw file or folder -> (clean canonical prices, mapping used, cleaning report)."""
-    raw = read_raw(spark, path)
-    mapping = mapping or infer_mapping(raw)
-    rows = apply_mapping(raw, mapping, default_ticker=file_stem())
-    return clean_prices(rows, ORDER, spike), mapping, cleaning_report(rows, ORDER, spike)
+) -> tuple[DataFrame, Mapping | list[Mapping], DataFrame]:
+    """Raw file or folder -> (clean canonical prices, mapping used, cleaning report).
+
+    Files of different headers are mapped apart (the mappings then come as a list) and cleaned together.
+    """
+    groups = read_raw_groups(spark, path)
+    used = [mapping or infer_mapping(raw) for raw in groups]
+    parts = [apply_mapping(raw, m, default_ticker=file_stem()) for raw, m in zip(groups, used)]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return clean_prices(rows, ORDER, spike), used[0] if len(used) == 1 else used, cleaning_report(rows, ORDER, spike)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from .warehouse import read_or_empty
 SERIES = ("net", "base", "benchmark", "equity_value", "turnover", "scale")
 RETURNS_LAYOUT = "trial bigint, date date, pos int, " + ", ".join(f"{c} double" for c in SERIES) + ", run string"
 OOS_LAYOUT = "date date, pos int, oos_return double, run string"
-METRICS_LAYOUT = "trial bigint, kind string, sharpe double, max_drawdown double, annualised_return double, psr double, run string"
+METRICS_LAYOUT = "trial bigint, sharpe double, max_drawdown double, annualised_return double, psr double, run string"
 
 
 def _put(df: DataFrame, root: str, table: str, run: str) -> None:
@@ -22,13 +23,13 @@ def _put(df: DataFrame, root: str, table: str, run: str) -> None:
     writer.partitionBy("run").parquet(f"{root}/{table}")
 
 
-def save_run(
-    root: str, run: str, daily: DataFrame, metrics: DataFrame, config: Mapping[str, object], kind: str = "backtest"
-) -> None:
+def save_run(root: str, run: str, daily: DataFrame, metrics: DataFrame, config: Mapping[str, object]) -> None:
+    """Store a run: its daily series, every metric as it is with the first and last date, and its configuration."""
     columns = [F.col("trial").cast("bigint"), "date", "pos", *SERIES]
     _put(daily.select(*columns), root, "run_returns", run)
-    keep = [F.col(c).cast("double").alias(c) for c in ("sharpe", "max_drawdown", "annualised_return", "psr")]
-    _put(metrics.select(F.col("trial").cast("bigint"), F.lit(kind).alias("kind"), *keep), root, "run_metrics", run)
+    span = daily.groupBy(F.col("trial").cast("bigint").alias("trial")).agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    table = metrics.withColumn("trial", F.col("trial").cast("bigint")).drop("start", "end").join(span, "trial", "left")
+    _put(table, root, "run_metrics", run)
     rows = [(str(k), None if v is None else str(v)) for k, v in config.items()]
     _put(daily.sparkSession.createDataFrame(rows, "name string, value string"), root, "run_config", run)
 
@@ -45,14 +46,29 @@ def save_folds(root: str, run: str, folds: DataFrame, oos: DataFrame) -> None:
 def stored_runs(spark: SparkSession, root: str) -> DataFrame:
     """(run, kind, trial, metrics..., last_equity) best Sharpe first, runs without one last.
 
-    Equity of a walk-forward run is the compounded out-of-sample path, of any other run the stored one.
+    What is stored makes the kind: out-of-sample rows a walk-forward, else a sweep table a sweep, else a
+    backtest. Equity of a walk-forward run is the compounded out-of-sample path, of any other run the stored one.
     """
-    metrics = read_or_empty(spark, f"{root}/run_metrics", METRICS_LAYOUT)
+    metrics = _table(spark, f"{root}/run_metrics", METRICS_LAYOUT)
     returns = read_or_empty(spark, f"{root}/run_returns", RETURNS_LAYOUT)
     oos = read_or_empty(spark, f"{root}/run_oos", OOS_LAYOUT)
+    swept = _table(spark, f"{root}/run_sweep", "run string").select("run").distinct()
     path = returns.groupBy("run", "trial").agg(F.max_by("equity_value", "pos").alias("stored_equity"))
     oos_end = oos.groupBy("run").agg(F.product(1 + F.col("oos_return")).alias("oos_growth"))
-    return list_runs(metrics, path, oos_end)
+    kinds = oos_end.select("run", F.lit(2).alias("_k")).unionByName(swept.withColumn("_k", F.lit(1))).groupBy("run").agg(F.max("_k").alias("_k"))
+    kind = F.when(F.col("_k") == 2, "walk-forward").when(F.col("_k") == 1, "sweep").otherwise("backtest")
+    named = metrics.drop("kind").join(kinds, "run", "left").withColumn("kind", kind).drop("_k")
+    return list_runs(named, path, oos_end)
+
+
+def _table(spark: SparkSession, path: str, empty: str) -> DataFrame:
+    """A stored table with whatever columns its runs have, or no rows."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path).withColumn("run", F.col("run").cast("string"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], empty)
 
 
 def list_runs(metrics: DataFrame, path: DataFrame, oos_end: DataFrame) -> DataFrame:

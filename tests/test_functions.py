@@ -162,3 +162,25 @@ def test_overflow_and_nan_become_null(spark):
     df = spark.createDataFrame([(1e308, float("nan"))], "a double, b double")
     row = df.select(el.mul(F.col("a"), 10), el.finite(F.col("b")), el.div(F.col("a"), 1e-10)).first()
     assert list(row) == [None, None, None]
+
+
+@pytest.mark.parametrize("n", [2, 5, 40, 700])
+def test_averages_equal_pandas_over_long_and_broken_histories(spark, n):
+    """Thousands of sessions, gaps of one and of hundreds, values that jump by orders of magnitude."""
+    from barline.functions.recursive import with_averages
+
+    g = np.random.default_rng(n)
+    x = np.exp(np.cumsum(g.normal(0, 0.05, 3000)))
+    x[g.random(3000) < 0.1] = np.nan
+    x[1200:1650] = np.nan
+    x[:7] = np.nan
+    rows = [(t, i, None if np.isnan(v) else float(v * s)) for t, s in (("A", 1.0), ("B", 1e-6)) for i, v in enumerate(x)]
+    out = with_averages(spark.createDataFrame(rows, "ticker string, pos int, close double"), {"e": ("ema", "close", n), "r": ("rsi", "close", n)})
+    s = pd.Series(x)
+    move = s.diff()
+    smooth = lambda y: y.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
+    rise, fall = smooth(move.clip(lower=0)), smooth((-move).clip(lower=0))
+    for t, scale in (("A", 1.0), ("B", 1e-6)):
+        got = out.where(F.col("ticker") == t).orderBy("pos").toPandas()
+        np.testing.assert_allclose(got["e"].to_numpy(float), (s * scale).ewm(span=n, adjust=False, min_periods=n).mean(), rtol=1e-9)
+        np.testing.assert_allclose(got["r"].to_numpy(float), (100 * rise / (rise + fall)).where(fall > 0), rtol=1e-6, atol=1e-6)
