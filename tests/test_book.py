@@ -335,3 +335,29 @@ def test_rules_and_per_trial_settings(market):
     assert sides[0] < 0 < sides[1]
     with pytest.raises(KeyError):
         run_backtest(market, plan, overrides=[{"nope": 1}])
+
+
+def test_trials_may_differ_in_every_setting(market):
+    other = {"execution_lag": 2, "periods_per_year": 52, "ic_horizon": 3, "initial_capital": 5.0}
+    together = run_backtest(market, momentum(lookback=10, skip=2), overrides=[{}, other])
+    alone = [run_backtest(market, momentum(lookback=10, skip=2)), run_backtest(market, momentum(lookback=10, skip=2), bk.BookConfig(**other))]
+    found = {r["trial"]: r.asDict() for r in together.metrics().collect()}
+    for i, one in enumerate(alone):
+        want = one.metrics().first().asDict()
+        assert {k: v for k, v in found[i].items() if k != "trial"} == pytest.approx({k: v for k, v in want.items() if k != "trial"}, nan_ok=True)
+        ends = [b.daily.where(F.col("trial") == t).orderBy(F.desc("pos")).first()["equity_value"] for b, t in ((together, i), (one, 0))]
+        assert ends[0] == pytest.approx(ends[1])
+
+
+def test_grids_of_a_sweep():
+    from barline.plans.backtest import grid_overrides
+
+    plan = momentum(lookback=90, skip=5)
+    whole = grid_overrides(plan)
+    assert len(whole) == 4 * 4 and {c["lookback"] for c in whole} == {40, 90, 150, 260} and {c["skip"] for c in whole} == {0, 5, 10, 20}
+    assert grid_overrides(plan, {"skip": [1, 2], "rebalance": ["daily", "weekly"]})[1] == {"skip": 1, "rebalance": "weekly"}
+    some = grid_overrides(plan, max_trials=6, seed=3)
+    assert len(some) == 6 and some == grid_overrides(plan, max_trials=6, seed=3) != grid_overrides(plan, max_trials=6, seed=4)
+    assert [c for c in whole if c in some] == some
+    with pytest.raises(ValueError, match="no values"):
+        grid_overrides(plan, {"skip": []})
