@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import kept
+
 RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 QUOTED = r"""(?<=[=:][ \t]{0,1}["'`])[^\s"'`]{8,200}(?=["'`])"""
 #: left neighbour, separator, value
@@ -25,7 +27,8 @@ HINT = rf"""{RUN}|[=:][ \t]{{0,1}}["'`][^\s"'`]{{8,}}["'`]"""
 TRAIN_FINDINGS, TREES, DEPTH = 20_000, 20, 6
 NEAR = 60
 
-# Words that stand by secrets, by stand-ins, by digests; common English letter groups.
+# Forms in which providers issue keys, words that stand by secrets, by stand-ins, by digests; common English letter groups.
+ISSUED = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9\-]{10}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{17})"
 CREDENTIAL = "token|secret|passw|pwd|api.?key|apikey|access.?key|auth|credential|private|bearer|signature"
 STAND_IN = "example|sample|dummy|placeholder|changeme|your|test|fake|xxxx|redacted"
 DIGEST = "sha1|sha256|md5|commit|checksum|digest|integrity|etag|uuid|guid|revision|isbn|phone|card|order"
@@ -56,7 +59,8 @@ def features() -> dict[str, Column]:
         "path": (v.contains("/") | F.col("before").rlike("(?:://|/)\\S*$") | F.col("after").rlike("^\\.[a-z]{2,4}\\b")).cast("int"),
         "assigned": F.col("separator").rlike("[=:]").cast("int"),
         "quoted": F.col("separator").rlike("[\"'`]$").cast("int"),
-        "credential": left.rlike(f"(?:{CREDENTIAL})\\W*$").cast("int"),
+        "credential": left.rlike(rf"(?:{CREDENTIAL})\w*\W*$").cast("int"),
+        "issued": v.rlike(ISSUED).cast("int"),
         "stand_in": (near.rlike(rf"(?<![\w.@])(?:{STAND_IN})(?![\w.@])") | F.lower(v).rlike(STAND_IN)).cast("int"),
         "digest": left.rlike(rf"\b(?:{DIGEST})\b").cast("int"),
     }
@@ -87,15 +91,16 @@ def candidates(docs: DataFrame) -> DataFrame:
     return placed.withColumns({n: c.cast("double") for n, c in features().items()}).drop("all", "gap", "at")
 
 
-FEATURES = ["size", "digits", "uppers", "lowers", "others", "turns", "variety", "hexadecimal", "numeric", "vowels", "covered", "path", "assigned", "quoted", "credential", "stand_in", "digest"]
+FEATURES = ["size", "digits", "uppers", "lowers", "others", "turns", "variety", "hexadecimal", "numeric", "vowels", "covered", "path", "assigned", "quoted", "credential", "issued", "stand_in", "digest"]
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """``label`` by rule, for corpora without reviewed findings: 1 for a varied value assigned to a credential's name, 0 for
-    numbers, digests, stand-ins and paths that no such name precedes; others are left out."""
+    """``label`` by rule, for corpora without reviewed findings: 1 for a form that providers issue and for a varied value assigned to a
+    credential's name, 0 for what no such name precedes and is assigned to nothing, or is a number, digest, stand-in or path; others are left out."""
     named = (F.col("credential") == 1) & (F.col("assigned") == 1)
-    sure = named & (F.col("numeric") == 0) & (F.col("stand_in") == 0) & (F.col("variety") * F.col("size") >= 6)
-    not_so = (F.col("credential") == 0) & ((F.col("numeric") == 1) | (F.col("digest") == 1) | (F.col("stand_in") == 1) | (F.col("path") == 1))
+    issued = F.col("issued") == 1
+    sure = issued | named & (F.col("numeric") == 0) & (F.col("stand_in") == 0) & (F.col("variety") * F.col("size") >= 6)
+    not_so = ~issued & (F.col("credential") == 0) & ((F.col("assigned") == 0) | (F.col("numeric") == 1) | (F.col("digest") == 1) | (F.col("stand_in") == 1) | (F.col("path") == 1))
     return found.withColumn("label", F.when(sure, 1.0).when(not_so | (named & (F.col("stand_in") == 1)), 0.0)).where("label IS NOT NULL")
 
 
@@ -127,7 +132,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     provides them. ``start`` counts characters from 1. Null and empty texts have no findings; a text that occurs in
     several rows of equal doc_id is scanned once (row_key, of id and text, names them all); a null doc_id stays null.
     """
-    found = candidates(docs)
+    found = kept(candidates(docs), "candidates")  # read for fitting and for scoring
     forest = fit(weak_labels(found) if labelled is None else labelled)
     return score(found, forest).where(F.col("score") >= threshold).select("doc_id", "row_key", "start", "length", "key", "value", "score")
 
