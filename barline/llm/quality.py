@@ -84,6 +84,11 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*keep, text).mapInArrow(run, docs.select(*keep).schema.add("x", T.ArrayType(T.DoubleType())))
 
 
+def _statistics_of(docs: DataFrame) -> DataFrame:
+    """Statistics as they are, or those of documents with a text."""
+    return with_statistics(docs) if "text" in docs.columns else docs
+
+
 @dataclass(frozen=True)
 class Discriminant:
     means: np.ndarray
@@ -116,9 +121,12 @@ def discriminant(counts, sums, products) -> Discriminant:
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Discriminant:
-    """From all labelled texts for which ``allowed`` (over doc_id) holds; labels other than 0 and 1 are not used."""
+    """From all labelled texts for which ``allowed`` (over doc_id) holds; labels other than 0 and 1 are not used.
+
+    ``docs`` holds texts, or what :func:`with_statistics` made of them; statistics, not texts, meet the labels.
+    """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & allowed)
-    found = with_statistics(known.join(docs.select("doc_id", "text"), "doc_id").select("y", "text"))
+    found = known.join(_statistics_of(docs).select("doc_id", "x"), "doc_id").select("y", "x")
     d = len(STATISTICS)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     x = F.col("x")
@@ -133,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Discriminant:
 
 
 def score(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """``docs`` without the text, with ``score`` in [0, 1]; null and empty texts have the score of the zero counts."""
+    """``docs`` (texts or statistics) with ``score`` in [0, 1] in their place; null and empty texts have the score of
+    the zero counts."""
     keep = [c for c in docs.columns if c not in ("text", "x", "score")]
 
     def run(batches):
@@ -141,5 +150,5 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
             x = np.array(b.column("x").to_pylist(), float).reshape(b.num_rows, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(model.score(x), pa.float64())], names=[*keep, "score"])
 
-    seen = with_statistics(docs)
+    seen = _statistics_of(docs)
     return seen.select(*keep, "x").mapInArrow(run, seen.select(*keep).schema.add("score", "double"))

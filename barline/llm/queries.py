@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import kept
 from . import exact_search, html_extraction, mixing, near_dedup, near_search, packing, quality, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,10 +49,10 @@ def toxicity_scores(spark, sf):
 
 @query("op2_quality")
 def quality_scores(spark, sf):
-    docs = table(spark, sf, "documents")
+    seen = kept(quality.with_statistics(table(spark, sf, "documents").select("doc_id", "text")), "statistics")
     held = toxicity.held_out(F.col("doc_id"), 5, 0)
-    model = quality.fit(docs, table(spark, sf, "labels"), ~held)
-    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    model = quality.fit(seen, table(spark, sf, "labels"), ~held)
+    return quality.score(seen, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 @query("op5_mixing")
