@@ -2,13 +2,15 @@
 
 1. Shingles of five words; their document frequencies are counted exactly over the corpus
    (:mod:`counts`), so each chunk of documents knows the weights of its own shingles.
-2. Improved consistent weighted sampling draws ``bands * rows`` samples of each weighted set; two
+2. Only documents whose weight lies mostly on shingles of several documents can have a partner. For these
+   improved consistent weighted sampling draws SAMPLES samples of each weighted set; two
    documents agree in a sample with a probability equal to their weighted Jaccard similarity.
 3. Documents with equal words form one class at once, with one representative. Representatives that
-   agree in all samples of a band meet in a bucket. A bucket's members meet a few centres, not
-   each other; pairs whose samples agree too seldom are let go, the rest are verified on the weighted sets.
-4. Classes are the components of verified links. Where a bucket still holds members of different
-   classes, one member of each meets another centre, and so on until a round finds no link.
+   agree in all samples of a band meet in a bucket, cut into blocks of bounded size. A block proposes the
+   spanning forest of most agreeing samples, one pair less than it has members; pairs that agree too seldom
+   are let go, the proposed ones are verified on the weighted sets.
+4. Classes are the components of verified links. A bucket that still holds several classes is dealt to blocks
+   anew, and every member meets the most agreeing one of each other class, until a round finds no link.
 
 Weight of a shingle: (1 + ln tf) * (1 - DAMP + DAMP * idf), idf = ln(1 + N/df) / ln(1 + N). The idf is
 damped because a large group of near copies lowers the idf of what its members share, though not of
@@ -29,8 +31,9 @@ from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DAMP = 5, 0.8, 12, 3, 0.1
 BITS = 48
-#: Share of agreeing samples below which a pair is let go: 36 samples of a pair at 0.8 agree so seldom once in 30,000 times.
-LEAST_AGREEING = 0.5
+#: Samples of a document (the first BANDS * ROWS make the bands), and the share of agreeing ones below which a pair is
+#: let go: those of a pair at 0.8 agree so seldom less than once in 2,000 times.
+SAMPLES, LEAST_AGREEING = 128, 0.68
 BLOCK = 50_000
 #: Members of a bucket that are compared with each other.
 MEETING = 512
@@ -60,9 +63,11 @@ def _shingles(texts_: list[str], n: int):
     return digests, doc[at], hashes[at], np.diff(np.append(at, len(doc)))
 
 
-def _weights(hashes: np.ndarray, tf: np.ndarray, replies: pa.Table, n_docs: int) -> np.ndarray:
-    idf = np.log1p(n_docs / C.totals(replies, hashes)) / np.log1p(n_docs)
-    return ((1 + np.log(tf)) * (1 - DAMP + DAMP * idf)).astype(np.float32)
+def _weights(hashes: np.ndarray, tf: np.ndarray, replies: pa.Table, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of shingles, and whether the corpus holds each in several documents."""
+    df = C.totals(replies, hashes)
+    idf = np.log1p(n_docs / df) / np.log1p(n_docs)
+    return ((1 + np.log(tf)) * (1 - DAMP + DAMP * idf)).astype(np.float32), df > 1
 
 
 def _draws(k: int) -> tuple[np.uint64, np.uint64]:
@@ -114,36 +119,29 @@ def _send(buckets: int):
     return send
 
 
-def _sketch(n_docs: int):
+def _sketch(n_docs: int, similarity: float):
+    """Samples and weighted sets of the documents that can have a partner: what two documents share occurs in
+    both, so shingles of several documents must hold ``similarity`` of the weight."""
+
     def sketch(docs: pa.Table, replies: pa.Table) -> pa.Table:
         digests, doc, hashes, tf = _shingles(docs["text"].to_pylist(), SHINGLE)
-        drawn: list = [None] * docs.num_rows
+        drawn, items, weighed = ([None] * docs.num_rows for _ in range(3))
         if len(doc):
-            which, found = samples(doc, hashes, _weights(hashes, tf, replies, n_docs), BANDS * ROWS)
-            for d, s in zip(which.tolist(), found.tolist()):
-                drawn[d] = s
-        return pa.table({"row_key": docs["row_key"], "doc_id": docs["doc_id"], "chunk": docs["chunk"], "digest": pa.array(digests, pa.binary()), "samples": pa.array(drawn, pa.list_(pa.int32()))})
+            weights, again = _weights(hashes, tf, replies, n_docs)
+            share = np.bincount(doc, weights * again, docs.num_rows) >= (similarity - 1e-6) * np.bincount(doc, weights, docs.num_rows)
+            some = share[doc]
+            doc, hashes, weights = doc[some], hashes[some], weights[some]
+            which, found = samples(doc, hashes, weights, SAMPLES)
+            short = (hashes >> np.uint64(BITS - 32)).astype(np.uint32)  # enough to tell the shingles of two documents apart
+            at = np.searchsorted(doc, np.append(which, docs.num_rows))
+            for d, s, a, b in zip(which.tolist(), found.tolist(), at[:-1].tolist(), at[1:].tolist()):
+                drawn[d], items[d], weighed[d] = s, short[a:b].tobytes(), weights[a:b].tobytes()
+        made = {"digest": pa.array(digests, pa.binary()), "samples": pa.array(drawn, pa.list_(pa.int32())), "items": pa.array(items, pa.binary()), "weights": pa.array(weighed, pa.binary())}
+        return pa.table({"row_key": docs["row_key"], "doc_id": docs["doc_id"], **made})
 
     return sketch
 
 
-def _vectors(n_docs: int):
-    """Weighted sets of the wanted rows of a chunk."""
-
-    def vectors(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        wanted = set(asked["row_key"].drop_null().to_pylist())
-        replies = asked.filter(pa.compute.is_null(asked["row_key"]))
-        texts_ = {k: t.as_py() for k, t in zip(docs["row_key"].to_pylist(), docs["text"]) if k in wanted}
-        _, doc, hashes, tf = _shingles(list(texts_.values()), SHINGLE)
-        weights = _weights(hashes, tf, replies, n_docs)
-        at = np.searchsorted(doc, np.arange(len(texts_) + 1))
-        short = (hashes >> np.uint64(BITS - 32)).astype(np.uint32)  # enough to tell the shingles of two documents apart
-        rows = [(k, short[a:b].tobytes(), weights[a:b].tobytes()) for k, a, b in zip(texts_, at[:-1], at[1:])]
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["row_key", "items", "weights"])
-
-    return vectors
-
-
 def _verify(threshold: float):
     def verify(batches):
         for batch in batches:
@@ -176,24 +174,37 @@ def forest(agree: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def _propose(width: int):
+def _class_pairs(own: np.ndarray, classes: np.ndarray, least: float) -> np.ndarray:
+    """Of a block of several classes: each member and the one of every other class that agrees most with it."""
+    order = np.argsort(classes, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(classes[order]) != 0]))
+    agree = (own[:, None] == own[order][None]).sum(axis=2)
+    best = np.maximum.reduceat(agree * len(own) + np.arange(len(own)), first, axis=1)
+    i, c = np.nonzero((best >= least * len(own)) & (classes[:, None] != classes[order][first][None]))
+    return np.stack([i, order[best[i, c] % len(own)]], axis=1)
+
+
+def _propose(width: int, first_round: bool):
     """Pairs of every block; rows come sorted by block."""
+    least = LEAST_AGREEING * width
 
-    def pairs(block, key, drawn):
+    def pairs(block, key, component, drawn):
         first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1)]))
         sizes = np.diff(np.append(first, len(block)))
-        least = LEAST_AGREEING * width
         two = first[sizes == 2]
         two = two[(drawn[two] == drawn[two + 1]).sum(axis=1) >= least]
+        two = two[component[two] != component[two + 1]]
         found = [(key[two], key[two + 1])]
         for a, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             own = drawn[a : a + n]
-            edges = forest((own[:, None] == own[None]).sum(axis=2), least)
-            if edges:
-                i, j = np.array(edges).T
-                found.append((key[a + i], key[a + j]))
+            if first_round:
+                edges = np.array(forest((own[:, None] == own[None]).sum(axis=2), least), np.int64).reshape(-1, 2)
+            else:
+                edges = _class_pairs(own, component[a : a + n], least)
+            found.append((key[a + edges[:, 0]], key[a + edges[:, 1]]))
         a, b = (np.concatenate(x) for x in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def propose(batches):
         rest = None
@@ -201,9 +212,11 @@ def _propose(width: int):
             if not batch.num_rows:
                 continue
             block = np.stack([batch.column("bucket").to_numpy(), batch.column("part").to_numpy()], axis=1)
-            own = (block, batch.column("row_key").to_numpy(), batch.column("samples").flatten().to_numpy().reshape(-1, width))
+            drawn = batch.column("samples").flatten().to_numpy().reshape(-1, width)
+            own = (block, batch.column("row_key").to_numpy(), batch.column("component").to_numpy(), drawn)
             own = own if rest is None else tuple(np.concatenate(x) for x in zip(rest, own))
-            last = int(np.flatnonzero((own[0] != own[0][-1]).any(axis=1))[-1]) + 1 if (own[0] != own[0][-1]).any() else 0
+            earlier = np.flatnonzero((own[0] != own[0][-1]).any(axis=1))
+            last = int(earlier[-1]) + 1 if len(earlier) else 0
             rest = tuple(x[last:] for x in own)
             if last:
                 yield pairs(*(x[:last] for x in own))
@@ -214,18 +227,16 @@ def _propose(width: int):
 
 
 def _meetings(members: DataFrame, classes: DataFrame | None, sides: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) to verify: in each bucket, of one member of each class so far."""
+    """Pairs (a, b) to verify, of members of a bucket that are not of one class yet."""
     if classes is None:
-        one = members
+        open_ = members.withColumn("component", F.col("row_key"))
     else:
         open_ = members.join(classes, members["row_key"] == classes["node"], "left").select("bucket", "row_key", F.coalesce("component", "row_key").alias("component"))
-        first = F.min(F.struct(F.xxhash64(F.lit(turn), "row_key"), "row_key")).alias("r")
-        one = open_.groupBy("bucket", "component").agg(first).select("bucket", "r.row_key")
-    sizes = one.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
     part = F.pmod(F.xxhash64(F.lit(turn), "row_key"), F.ceil(F.col("n") / MEETING).cast("long")).alias("part")
-    dealt = one.join(sizes, "bucket").join(sides, "row_key").select("bucket", part, "row_key", "samples")
+    dealt = open_.join(sizes, "bucket").join(sides, "row_key").select("bucket", part, "row_key", "component", "samples")
     dealt = dealt.repartition(F.col("bucket"), F.col("part")).sortWithinPartitions("bucket", "part")
-    return dealt.mapInArrow(_propose(BANDS * ROWS), "a long, b long").distinct()
+    return dealt.mapInArrow(_propose(SAMPLES, classes is None), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = 4_000_000, bucket_items: int = 4_000_000) -> DataFrame:
@@ -242,11 +253,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
     n_chunks, buckets = parts_for(chars, chunk_chars), parts_for(chars, bucket_items * WORD_CHARS)
     rows = plain.select(F.pmod("row_key", F.lit(n_chunks)).cast("int").alias("chunk"), "row_key", "doc_id", "text")
     packed = rows.groupBy("chunk").applyInArrow(_send(buckets), C.PACKS)
-    replies = kept(C.answers(packed), "frequencies")
-    schema = f"row_key long, doc_id {key}, chunk int, digest binary, samples array<int>"
-    sketches = kept(rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_sketch(n_docs), schema), "sketches")
+    replies = C.answers(packed)
+    schema = f"row_key long, doc_id {key}, digest binary, samples array<int>, items binary, weights binary"
+    sketches = kept(rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_sketch(n_docs, similarity), schema), "sketches")
 
-    first = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "row_key", "chunk", "samples")).alias("r")
+    first = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "row_key", "samples")).alias("r")
     copies = kept(sketches.groupBy("digest").agg(first, F.count("*").alias("n")).select("digest", "r.*", "n"), "copies")
 
     # representatives that share a band with another
@@ -254,14 +265,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
     spread = copies.where("samples IS NOT NULL").select("row_key", F.explode(bands).alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = kept(spread.join(shared, "bucket"), "members")
-    wanted = members.select("row_key").distinct().join(copies.select("row_key", "chunk", "samples"), "row_key")
-    asked = replies.withColumn("row_key", F.lit(None).cast("long")).unionByName(wanted.select("chunk", "row_key"), allowMissingColumns=True)
-    vectors = kept(rows.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_vectors(n_docs), "row_key long, items binary, weights binary"), "vectors")
-    sides = kept(wanted.select("row_key", "samples"), "samples")
+    wanted = members.select("row_key").distinct()
+    sides = kept(wanted.join(copies.select("row_key", "samples"), "row_key"), "samples")
+    # identical rows share a row_key: one of them
+    vectors = kept(sketches.where("items IS NOT NULL").join(wanted, "row_key", "left_semi").groupBy("row_key").agg(F.first("items").alias("items"), F.first("weights").alias("weights")), "vectors")
 
-    classes, turn = None, 0
+    classes, tested, turn = None, None, 0
     while True:
-        met = kept(_meetings(members, classes, sides, turn), "met")
+        met = _meetings(members, classes, sides, turn)
+        met = kept(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met")
+        tested = met if tested is None else tested.unionByName(met)
         paired = met.join(vectors.select(F.col("row_key").alias("a"), F.col("items").alias("a_items"), F.col("weights").alias("a_weights")), "a")
         paired = paired.join(vectors.select(F.col("row_key").alias("b"), F.col("items").alias("b_items"), F.col("weights").alias("b_weights")), "b")
         new = kept(paired.mapInArrow(_verify(similarity), "a long, b long"), "links")
