@@ -81,10 +81,9 @@ def candidates(docs: DataFrame) -> DataFrame:
         ),
     )
     each = cut.where(F.size("found") > 0).select("doc_id", "row_key", F.posexplode(one).alias("at", "m")).select("doc_id", "row_key", "at", "m.*")
-    parts = {"key": 1, "separator": 2, "value": 3}
-    each = each.withColumns({n: F.regexp_extract(F.concat(F.col("before"), F.col("all"), F.substring("after", 1, 1)), CANDIDATE, g) for n, g in parts.items()})
-    # the context may shift a match; the whole match alone decides then
-    each = each.withColumns({n: F.when(F.endswith(F.col("all"), F.col("value")) & (F.col("value") != ""), F.col(n)).otherwise(F.regexp_extract(F.col("all"), CANDIDATE, g) if n != "value" else F.col("all")) for n, g in list(parts.items())[:2] + [("value", 3)]})
+    # a quoted value ends before its quote, which is the character after the match
+    whole = F.concat(F.col("all"), F.left("after", F.lit(1)))
+    each = each.withColumns({n: F.regexp_extract(whole, CANDIDATE, g) for n, g in (("key", 1), ("separator", 2), ("value", 3))})
     upto = W.partitionBy("row_key").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("all")).over(upto)
     placed = each.withColumn("start", (end - F.length("value") + 1).cast("long")).withColumn("length", F.length("value").cast("long"))
