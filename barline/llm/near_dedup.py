@@ -10,7 +10,7 @@
    spanning forest of most agreeing samples, one pair less than it has members; pairs that agree too seldom
    are let go, the proposed ones are verified on the weighted sets.
 4. Classes are the components of verified links. A bucket that still holds several classes is dealt to blocks
-   anew, and every member meets the most agreeing one of each other class, until a round finds no link.
+   anew, and each class meets its nearest other ones by a pair that agrees most, until a round finds no link.
 
 Weight of a shingle: (1 + ln tf) * (1 - DAMP + DAMP * idf), idf = ln(1 + N/df) / ln(1 + N). The idf is
 damped because a large group of near copies lowers the idf of what its members share, though not of
@@ -37,6 +37,8 @@ SAMPLES, LEAST_AGREEING = 128, 0.68
 BLOCK = 50_000
 #: Members of a bucket that are compared with each other.
 MEETING = 512
+#: Other classes that a class of a block meets in a round, and the samples by which its choice of a pair may err.
+NEAREST, NOISE = 8, 8
 #: Characters of a word, roughly; sets the size of buckets, no result.
 WORD_CHARS = 6
 
@@ -174,17 +176,22 @@ def forest(agree: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def _class_pairs(own: np.ndarray, classes: np.ndarray, least: float) -> np.ndarray:
-    """Of a block of several classes: each member and the one of every other class that agrees most with it."""
-    order = np.argsort(classes, kind="stable")
+def _class_pairs(own: np.ndarray, classes: np.ndarray, least: float, g: np.random.Generator) -> np.ndarray:
+    """Of a block of several classes: for each class and its NEAREST other ones a pair of members that agrees most,
+    but for a little noise: so the buckets of two classes put forward different pairs of them."""
+    n, order = len(own), np.argsort(classes, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(classes[order]) != 0]))
-    agree = (own[:, None] == own[order][None]).sum(axis=2)
-    best = np.maximum.reduceat(agree * len(own) + np.arange(len(own)), first, axis=1)
-    i, c = np.nonzero((best >= least * len(own)) & (classes[:, None] != classes[order][first][None]))
-    return np.stack([i, order[best[i, c] % len(own)]], axis=1)
+    agree = (own[order][:, None] == own[order][None]).sum(axis=2)
+    rank = np.where(agree >= least, agree + g.integers(0, NOISE, (n, n)), 0)
+    best = np.maximum.reduceat(rank * (n * n) + np.arange(n * n).reshape(n, n), first, axis=1)
+    best = np.maximum.reduceat(best, first, axis=0)
+    np.fill_diagonal(best, -1)
+    near = np.take_along_axis(best, np.argsort(-best, axis=1)[:, :NEAREST], axis=1).ravel()
+    pair = near[near >= n * n] % (n * n)
+    return np.stack([order[pair // n], order[pair % n]], axis=1)
 
 
-def _propose(width: int, first_round: bool):
+def _propose(width: int, first_round: bool, turn: int):
     """Pairs of every block; rows come sorted by block."""
     least = LEAST_AGREEING * width
 
@@ -200,7 +207,7 @@ def _propose(width: int, first_round: bool):
             if first_round:
                 edges = np.array(forest((own[:, None] == own[None]).sum(axis=2), least), np.int64).reshape(-1, 2)
             else:
-                edges = _class_pairs(own, component[a : a + n], least)
+                edges = _class_pairs(own, component[a : a + n], least, np.random.default_rng([turn, *(block[a] & 0x7FFFFFFF).tolist()]))
             found.append((key[a + edges[:, 0]], key[a + edges[:, 1]]))
         a, b = (np.concatenate(x) for x in zip(*found))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
@@ -236,7 +243,7 @@ def _meetings(members: DataFrame, classes: DataFrame | None, sides: DataFrame, t
     part = F.pmod(F.xxhash64(F.lit(turn), "row_key"), F.ceil(F.col("n") / MEETING).cast("long")).alias("part")
     dealt = open_.join(sizes, "bucket").join(sides, "row_key").select("bucket", part, "row_key", "component", "samples")
     dealt = dealt.repartition(F.col("bucket"), F.col("part")).sortWithinPartitions("bucket", "part")
-    return dealt.mapInArrow(_propose(SAMPLES, classes is None), "a long, b long").distinct()
+    return dealt.mapInArrow(_propose(SAMPLES, classes is None, turn), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = 4_000_000, bucket_items: int = 4_000_000) -> DataFrame:
