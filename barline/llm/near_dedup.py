@@ -112,6 +112,17 @@ def samples(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, k: int) ->
     return doc[starts], out
 
 
+def _narrow(hashes: np.ndarray) -> bytes:
+    """Shingles in their BITS bits: fewer would name two shingles of a long document alike."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes()
+
+
+def _wide(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) * 8 // BITS, 8), np.uint8)
+    out[:, : BITS // 8] = np.frombuffer(b, np.uint8).reshape(-1, BITS // 8)
+    return out.view(np.uint64).ravel()
+
+
 def _send(buckets: int):
     def send(table: pa.Table) -> pa.Table:
         _, _, hashes, _ = _shingles(table["text"].to_pylist(), SHINGLE)
@@ -134,10 +145,9 @@ def _sketch(n_docs: int, similarity: float):
             some = share[doc]
             doc, hashes, weights = doc[some], hashes[some], weights[some]
             which, found = samples(doc, hashes, weights, SAMPLES)
-            short = (hashes >> np.uint64(BITS - 32)).astype(np.uint32)  # enough to tell the shingles of two documents apart
             at = np.searchsorted(doc, np.append(which, docs.num_rows))
             for d, s, a, b in zip(which.tolist(), found.tolist(), at[:-1].tolist(), at[1:].tolist()):
-                drawn[d], items[d], weighed[d] = s, short[a:b].tobytes(), weights[a:b].tobytes()
+                drawn[d], items[d], weighed[d] = s, _narrow(hashes[a:b]), weights[a:b].tobytes()
         made = {"digest": pa.array(digests, pa.binary()), "samples": pa.array(drawn, pa.list_(pa.int32())), "items": pa.array(items, pa.binary()), "weights": pa.array(weighed, pa.binary())}
         return pa.table({"row_key": docs["row_key"], "doc_id": docs["doc_id"], **made})
 
@@ -149,7 +159,7 @@ def _verify(threshold: float):
         for batch in batches:
             found = []
             for a, b, ai, aw, bi, bw in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "a_items", "a_weights", "b_items", "b_weights"))):
-                x, y = np.frombuffer(ai, np.uint32), np.frombuffer(bi, np.uint32)
+                x, y = _wide(ai), _wide(bi)
                 u, v = np.frombuffer(aw, np.float32).astype(np.float64), np.frombuffer(bw, np.float32).astype(np.float64)
                 _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                 common = np.minimum(u[i], v[j]).sum()

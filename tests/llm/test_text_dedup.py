@@ -135,3 +135,14 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (100, 101)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_near_copies_of_very_long_documents(spark):
+    """Of 200,000 shingles several share their first 32 bits."""
+    words = [f"w{i}" for i in range(200_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:199_000] + [f"v{i}" for i in range(1000)])), (3, "another text of a few words")]
+    _, _, shingles, _ = near_dedup._shingles([docs[0][1]], near_dedup.SHINGLE)
+    assert len(np.unique(shingles >> np.uint64(near_dedup.BITS - 32))) < len(shingles)
+    assert near_dedup._wide(near_dedup._narrow(shingles)).tolist() == shingles.tolist()
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
