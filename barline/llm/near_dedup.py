@@ -11,6 +11,10 @@
    are let go, the proposed ones are verified on the weighted sets.
 4. Classes are the components of verified links. A bucket that still holds several classes is dealt to blocks
    anew, and each class meets its nearest other ones by a pair that agrees most, until a round finds no link.
+5. Then every pair that can still be a link is tested: of members of different classes that met in a bucket larger
+   than a block, or that agree often enough in a block. Shingles are ordered by document frequency; two sets at a
+   similarity s share a shingle so early that what precedes it leaves both enough weight (:func:`_prefixes`), so
+   only pairs with such a shingle are met, whatever the bucket's size. What all copies of a template share comes last.
 
 Weight of a shingle: (1 + ln tf) * (1 - DAMP + DAMP * idf), idf = ln(1 + N/df) / ln(1 + N). The idf is
 damped because a large group of near copies lowers the idf of what its members share, though not of
@@ -66,10 +70,10 @@ def _shingles(texts_: list[str], n: int):
 
 
 def _weights(hashes: np.ndarray, tf: np.ndarray, replies: pa.Table, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of shingles, and whether the corpus holds each in several documents."""
+    """Weights of shingles, and how many documents of the corpus hold each."""
     df = C.totals(replies, hashes)
     idf = np.log1p(n_docs / df) / np.log1p(n_docs)
-    return ((1 + np.log(tf)) * (1 - DAMP + DAMP * idf)).astype(np.float32), df > 1
+    return ((1 + np.log(tf)) * (1 - DAMP + DAMP * idf)).astype(np.float32), df
 
 
 def _draws(k: int) -> tuple[np.uint64, np.uint64]:
@@ -134,21 +138,26 @@ def _send(buckets: int):
 
 def _sketch(n_docs: int, similarity: float):
     """Samples and weighted sets of the documents that can have a partner: what two documents share occurs in
-    both, so shingles of several documents must hold ``similarity`` of the weight."""
+    both, so shingles of several documents must hold ``similarity`` of the weight. A set lies by document frequency
+    and shingle; ``alone`` shingles at its start are in no other document."""
 
     def sketch(docs: pa.Table, replies: pa.Table) -> pa.Table:
         digests, doc, hashes, tf = _shingles(docs["text"].to_pylist(), SHINGLE)
-        drawn, items, weighed = ([None] * docs.num_rows for _ in range(3))
+        drawn, items, weighed, alone = ([None] * docs.num_rows for _ in range(4))
         if len(doc):
-            weights, again = _weights(hashes, tf, replies, n_docs)
-            share = np.bincount(doc, weights * again, docs.num_rows) >= (similarity - 1e-6) * np.bincount(doc, weights, docs.num_rows)
+            weights, df = _weights(hashes, tf, replies, n_docs)
+            share = np.bincount(doc, weights * (df > 1), docs.num_rows) >= (similarity - 1e-6) * np.bincount(doc, weights, docs.num_rows)
             some = share[doc]
-            doc, hashes, weights = doc[some], hashes[some], weights[some]
+            doc, hashes, weights, df = doc[some], hashes[some], weights[some], df[some]
             which, found = samples(doc, hashes, weights, SAMPLES)
+            rarest = np.lexsort((hashes, df, doc))
+            hashes, weights = hashes[rarest], weights[rarest]
+            single = np.bincount(doc, df == 1, docs.num_rows).astype(np.int64)
             at = np.searchsorted(doc, np.append(which, docs.num_rows))
             for d, s, a, b in zip(which.tolist(), found.tolist(), at[:-1].tolist(), at[1:].tolist()):
                 drawn[d], items[d], weighed[d] = s, _narrow(hashes[a:b]), weights[a:b].tobytes()
-        made = {"digest": pa.array(digests, pa.binary()), "samples": pa.array(drawn, pa.list_(pa.int32())), "items": pa.array(items, pa.binary()), "weights": pa.array(weighed, pa.binary())}
+                alone[d] = int(single[d])
+        made = {"digest": pa.array(digests, pa.binary()), "samples": pa.array(drawn, pa.list_(pa.int32())), "items": pa.array(items, pa.binary()), "weights": pa.array(weighed, pa.binary()), "alone": pa.array(alone, pa.int32())}
         return pa.table({"row_key": docs["row_key"], "doc_id": docs["doc_id"], **made})
 
     return sketch
@@ -201,13 +210,18 @@ def _class_pairs(own: np.ndarray, classes: np.ndarray, least: float, g: np.rando
     return np.stack([order[pair // n], order[pair % n]], axis=1)
 
 
+def _edges(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each block begins, and its size."""
+    first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1)]))
+    return first, np.diff(np.append(first, len(block)))
+
+
 def _propose(width: int, first_round: bool, turn: int):
-    """Pairs of every block; rows come sorted by block."""
+    """Pairs of every block."""
     least = LEAST_AGREEING * width
 
     def pairs(block, key, component, drawn):
-        first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1)]))
-        sizes = np.diff(np.append(first, len(block)))
+        first, sizes = _edges(block)
         two = first[sizes == 2]
         two = two[(drawn[two] == drawn[two + 1]).sum(axis=1) >= least]
         two = two[component[two] != component[two + 1]]
@@ -223,7 +237,28 @@ def _propose(width: int, first_round: bool, turn: int):
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    def propose(batches):
+    return _whole_blocks(width, pairs)
+
+
+def _close(width: int):
+    """Members of blocks of more than two that agree often enough with a member of another class."""
+    least = LEAST_AGREEING * width
+
+    def close(block, key, component, drawn):
+        found = [key[:0]]
+        for a, n in ((a, n) for a, n in zip(*_edges(block)) if n > 2):
+            own, classes = drawn[a : a + n], component[a : a + n]
+            agree = (own[:, None] == own[None]).sum(axis=2) >= least
+            found.append(key[a : a + n][(agree & (classes[:, None] != classes[None])).any(axis=1)])
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["row_key"])
+
+    return _whole_blocks(width, close)
+
+
+def _whole_blocks(width: int, work):
+    """``work`` over batches cut between blocks; rows come sorted by block."""
+
+    def run(batches):
         rest = None
         for batch in batches:
             if not batch.num_rows:
@@ -236,23 +271,91 @@ def _propose(width: int, first_round: bool, turn: int):
             last = int(earlier[-1]) + 1 if len(earlier) else 0
             rest = tuple(x[last:] for x in own)
             if last:
-                yield pairs(*(x[:last] for x in own))
+                yield work(*(x[:last] for x in own))
         if rest is not None:
-            yield pairs(*rest)
+            yield work(*rest)
 
-    return propose
+    return run
 
 
-def _meetings(members: DataFrame, classes: DataFrame | None, sides: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) to verify, of members of a bucket that are not of one class yet."""
+def _prefixes(similarity: float):
+    """Of each set the shingles at which its first common one with a set at ``similarity`` can stand.
+
+    With weights A and B, of which a and b precede the first common shingle, sets share at most min(A - a, B - b),
+    which must be similarity / (1 + similarity) * (A + B). So a is at most (1 - similarity) A, and in one of the
+    two sets (``short``) at most (1 - similarity) / (1 + similarity) A.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+
+    def prefixes(batches):
+        for batch in batches:
+            found, n = [], 0
+            for key, component, items, weights, alone in zip(*(batch.column(c).to_pylist() for c in ("row_key", "component", "items", "weights", "alone"))):
+                w = np.frombuffer(weights, np.float32).astype(np.float64)
+                total, before = w.sum(), np.cumsum(w) - w
+                upto = int(np.searchsorted(before, (1 - similarity + 1e-6) * total, side="right"))
+                if upto > alone:
+                    tokens, before = _wide(items)[alone:upto].view(np.int64), before[alone:upto]
+                    same = (np.full(len(tokens), x) for x in (key, component, total))
+                    row = [tokens, *same, before, before <= ((1 - similarity) / (1 + similarity) + 1e-6) * total]
+                    found.append([row[i] for i in (0, 1, 2, 4, 3, 5)])
+                    n += len(tokens)
+                if n > 500_000:
+                    yield out(found)
+                    found, n = [], 0
+            if found:
+                yield out(found)
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*found), kinds)], names=["token", "row_key", "component", "before", "total", "short"])
+
+    return prefixes
+
+
+def _remaining(members: DataFrame, classes: DataFrame | None, sides: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of different classes that can be at ``similarity``: of members of buckets larger than a block, and
+    of those that a block finds close."""
+    dealt = _dealt(members, classes, sides, 0)
+    near = dealt.where(F.col("n") <= MEETING).mapInArrow(_close(SAMPLES), "row_key long")
+    large = _dealt(members, classes, None, 0).where(F.col("n") > MEETING).select("row_key")
+    wanted = near.unionByName(large).distinct()
+    wanted = _named(wanted, classes).join(vectors, "row_key")
+    tokens = kept(wanted.mapInArrow(_prefixes(similarity), "token long, row_key long, component long, before double, total double, short boolean"), "prefixes")
+    # at each shingle the members of its largest class meet those of the others, and these each other
+    counted = tokens.groupBy("token", "component").agg(F.count("*").alias("n"), F.max("short").alias("short"))
+    groups = counted.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("classes"), F.max("short").alias("short"))
+    groups = groups.where("classes > 1 AND short").select("token", "major")
+    placed = kept(tokens.join(groups, "token").withColumn("minor", F.col("component") != F.col("major")).drop("major"), "placed")
+    x = placed.where("short").select("token", *(F.col(c).alias(f"x_{c}") for c in ("row_key", "component", "before", "total", "minor")))
+    y = placed.select("token", *(F.col(c).alias(f"y_{c}") for c in ("row_key", "component", "before", "total", "minor")))
+    enough = f"least(x_total - x_before, y_total - y_before) >= {similarity / (1 + similarity) - 1e-6!r} * (x_total + y_total)"
+    met = x.where("x_minor").join(y, "token").unionByName(x.where("NOT x_minor").join(y.where("y_minor"), "token"))
+    return met.where("x_component != y_component").where(enough).select(F.least("x_row_key", "y_row_key").alias("a"), F.greatest("x_row_key", "y_row_key").alias("b")).distinct()
+
+
+def _named(members: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """``members`` with the class of each as ``component``."""
     if classes is None:
-        open_ = members.withColumn("component", F.col("row_key"))
-    else:
-        open_ = members.join(classes, members["row_key"] == classes["node"], "left").select("bucket", "row_key", F.coalesce("component", "row_key").alias("component"))
+        return members.withColumn("component", F.col("row_key"))
+    named = members.join(classes, members["row_key"] == classes["node"], "left")
+    return named.select(*members.columns, F.coalesce("component", "row_key").alias("component"))
+
+
+def _dealt(members: DataFrame, classes: DataFrame | None, sides: DataFrame | None, turn: int) -> DataFrame:
+    """Members of the ``n`` of buckets that hold several classes; with ``sides`` also their samples, dealt to blocks."""
+    open_ = _named(members.select("bucket", "row_key"), classes)
     sizes = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+    held = open_.join(sizes, "bucket")
+    if sides is None:
+        return held.select("bucket", "row_key", "component", "n")
     part = F.pmod(F.xxhash64(F.lit(turn), "row_key"), F.ceil(F.col("n") / MEETING).cast("long")).alias("part")
-    dealt = open_.join(sizes, "bucket").join(sides, "row_key").select("bucket", part, "row_key", "component", "samples")
-    dealt = dealt.repartition(F.col("bucket"), F.col("part")).sortWithinPartitions("bucket", "part")
+    dealt = held.join(sides, "row_key").select("bucket", part, "row_key", "component", "samples", "n")
+    return dealt.repartition(F.col("bucket"), F.col("part")).sortWithinPartitions("bucket", "part")
+
+
+def _meetings(members: DataFrame, classes: DataFrame | None, sides: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) to verify, of members of a bucket that are not of one class yet."""
+    dealt = _dealt(members, classes, sides, turn).drop("n")
     return dealt.mapInArrow(_propose(SAMPLES, classes is None, turn), "a long, b long").distinct()
 
 
@@ -271,7 +374,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
     rows = plain.select(F.pmod("row_key", F.lit(n_chunks)).cast("int").alias("chunk"), "row_key", "doc_id", "text")
     packed = rows.groupBy("chunk").applyInArrow(_send(buckets), C.PACKS)
     replies = C.answers(packed)
-    schema = f"row_key long, doc_id {key}, digest binary, samples array<int>, items binary, weights binary"
+    schema = f"row_key long, doc_id {key}, digest binary, samples array<int>, items binary, weights binary, alone int"
     sketches = kept(rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_sketch(n_docs, similarity), schema), "sketches")
 
     first = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "row_key", "samples")).alias("r")
@@ -285,21 +388,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
     wanted = members.select("row_key").distinct()
     sides = kept(wanted.join(copies.select("row_key", "samples"), "row_key"), "samples")
     # identical rows share a row_key: one of them
-    vectors = kept(sketches.where("items IS NOT NULL").join(wanted, "row_key", "left_semi").groupBy("row_key").agg(F.first("items").alias("items"), F.first("weights").alias("weights")), "vectors")
+    vectors = kept(sketches.where("items IS NOT NULL").join(wanted, "row_key", "left_semi").groupBy("row_key").agg(F.first("items").alias("items"), F.first("weights").alias("weights"), F.first("alone").alias("alone")), "vectors")
 
-    classes, tested, turn = None, None, 0
+    classes, tested, turn, last = None, None, 0, False
     while True:
-        met = _meetings(members, classes, sides, turn)
+        met = _remaining(members, classes, sides, vectors, similarity) if last else _meetings(members, classes, sides, turn)
         met = kept(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met")
         tested = met if tested is None else tested.unionByName(met)
         paired = met.join(vectors.select(F.col("row_key").alias("a"), F.col("items").alias("a_items"), F.col("weights").alias("a_weights")), "a")
         paired = paired.join(vectors.select(F.col("row_key").alias("b"), F.col("items").alias("b_items"), F.col("weights").alias("b_weights")), "b")
         new = kept(paired.mapInArrow(_verify(similarity), "a long, b long"), "links")
-        if new.isEmpty():
+        none = new.isEmpty()
+        if not none:
+            # what is linked so far is named by its classes: as many links as members
+            links = new if classes is None else new.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            classes = components(links)
+        if last:
             break
-        # what is linked so far is named by its classes: as many links as members
-        links = new if classes is None else new.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        classes = components(links)
+        last = none
         turn += 1
 
     named = copies.withColumn("component", F.col("row_key")) if classes is None else copies.join(classes, copies["row_key"] == classes["node"], "left").withColumn("component", F.coalesce("component", "row_key"))

@@ -146,3 +146,16 @@ def test_near_copies_of_very_long_documents(spark):
     assert near_dedup._wide(near_dedup._narrow(shingles)).tolist() == shingles.tolist()
     found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == {1: 1, 2: 1, 3: 3}
+
+
+def test_true_pairs_among_many_copies_of_a_template(spark, monkeypatch):
+    """Hundreds of documents below the similarity in one bucket, many blocks of it; a few pairs above it."""
+    monkeypatch.setattr(near_dedup, "MEETING", 8)
+    g = random.Random(11)
+    template = " ".join(f"t{i}" for i in range(100))
+    docs = [(i, f"{template} {' '.join(f'o{i}x{k}' for k in range(12))}") for i in range(400)]
+    pairs = [(i, 1000 + i) for i in range(0, 400, 20)]
+    docs += [(b, f"{template} o{a}x0 o{a}x1 {' '.join(f'p{a}x{k}' for k in range(10))}") for a, b in pairs]
+    g.shuffle(docs)
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {i: i for i, _ in docs} | {b: a for a, b in pairs}
