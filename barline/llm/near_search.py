@@ -9,7 +9,8 @@
    entries that near are probed and their rows filtered by whole codes. The rows found are ranked by exact
    distance of the original vectors; shards keep ``k`` each and are merged.
 
-R is learned too: the least radius within which the sample's own queries find RECALL of their neighbours.
+R is learned too: the least radius within which the sample's own queries find RECALL of their neighbours. Queries that
+find fewer than ``k`` rows, though there are more, are searched again within twice the radius, until none is left.
 """
 
 from __future__ import annotations
@@ -130,7 +131,8 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 10, key: str = "vec_id"
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found by Euclidean distance, ties to smaller ids.
 
     ``is_query`` is a condition on the column id; candidates are all rows but those with the query's own
-    id. Zero vectors and those that :func:`vectors.usable` names take no part. ``within`` sets the
+    id; every query gets ``k`` rows, all candidates if there are fewer. Zero vectors and those that
+    :func:`vectors.usable` names take no part. ``within`` sets the first
     radius; as many rows as a result holds are searched completely. An empty
     table gives no rows; equal vectors and repeated ids are rows like others.
     """
@@ -142,11 +144,28 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 10, key: str = "vec_id"
     d = points.shape[1]
     codes = Codes(points)
     r = within if within is not None else 64 if total <= k + 1 else radius(codes, points, k)
-    shards, q_blocks = parts_for(total, SHARD), parts_for(rows.where(is_query).count(), QUERY_BLOCK)
-    part = F.pmod(F.xxhash64("id", "x"), F.lit(shards)).cast("int").alias("part")
-    q_part = F.pmod(F.xxhash64("id", "x"), F.lit(q_blocks)).cast("int").alias("part")
+    part = F.pmod(F.xxhash64("id", "x"), F.lit(parts_for(total, SHARD))).cast("int").alias("part")
     data = rows.select(part, "id", "x").groupBy("part").applyInArrow(_blocks, "part int, ids binary, x binary")
-    asked = rows.where(is_query).select(q_part, "id", "x").groupBy("part").applyInArrow(_blocks, "part int, ids binary, x binary")
+    queries, full = rows.where(is_query), None
+    while True:
+        found = kept(_nearest(data, queries, codes, r, k, d), "found")
+        full = found if full is None else full.unionByName(found)
+        if r >= 64:
+            return full
+        wanted = queries.groupBy("id").agg(F.least(F.lit(k), F.lit(total) - F.count("*")).alias("wanted"))
+        held = found.groupBy("query_id").agg(F.count("*").alias("held"))
+        few = kept(wanted.join(held, wanted["id"] == held["query_id"], "left").where("coalesce(held, 0) < wanted").select("id"), "few")
+        if few.isEmpty():
+            return full
+        full = full.join(few, full["query_id"] == few["id"], "left_anti")
+        queries, r = queries.join(few, "id", "left_semi"), min(64, max(1, 2 * r))
+
+
+def _nearest(data: DataFrame, queries: DataFrame, codes: Codes, r: int, k: int, d: int) -> DataFrame:
+    """The result's rows of ``queries``, as far as their codes lie within ``r``; data: packed shards."""
+    q_blocks = parts_for(queries.count(), QUERY_BLOCK)
+    q_part = F.pmod(F.xxhash64("id", "x"), F.lit(q_blocks)).cast("int").alias("part")
+    asked = queries.select(q_part, "id", "x").groupBy("part").applyInArrow(_blocks, "part int, ids binary, x binary")
     asked = asked.select(F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
     # each block of queries meets each shard
     pairs = data.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).join(asked, "q_part")

@@ -70,6 +70,19 @@ def test_nearest_neighbours(spark):
     assert len(hits) >= 0.9 * len(want)
 
 
+def test_isolated_queries_find_all_their_neighbours(spark):
+    """Tight groups make the radius small; queries far from every group have no code within it."""
+    g = np.random.default_rng(4)
+    x = np.repeat(g.standard_normal((20, 16)), 15, axis=0) + 1e-3 * g.standard_normal((300, 16))
+    x[::50] = 5 * g.standard_normal((6, 16))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = near_search.nearest_neighbours(df, F.col("id") % 25 == 0).collect()
+    ranks = {q: sorted(r.rank for r in found if r.query_id == q) for q in range(0, 300, 25)}
+    assert all(r == list(range(1, 11)) for r in ranks.values()) and len(found) == 120
+    few = near_search.nearest_neighbours(df.where("vec_id < 60"), F.col("id") % 25 == 0, k=80, within=0).groupBy("query_id").count().collect()
+    assert {tuple(r) for r in few} == {(q, 59) for q in (0, 25, 50)}
+
+
 @pytest.mark.parametrize("search", [exact_search.top_k, near_search.nearest_neighbours])
 def test_searches_of_awkward_tables(spark, search):
     query = F.col("id") % 20 == 0
