@@ -1,7 +1,7 @@
 """Secret scan: candidates by patterns, false positives removed by a random forest. DataFrame operations only.
 
-A candidate is a run of at least 16 base64 characters that holds a digit, or a quoted value of 8 characters and more
-after an assignment. Its features are its length, the shares and transitions of its character classes, how
+A candidate is a quoted value of 8 characters and more after an assignment, whole up to its closing quote, an
+issued token with all its dotted segments, or a run of at least 16 base64 characters that holds a digit. Its features are its length, the shares and transitions of its character classes, how
 much of it common letter groups cover, whether it stands in a path, and the words next to it. A forest fitted
 on labelled findings gives the probability of a secret.
 """
@@ -18,11 +18,14 @@ from pyspark.sql import Window as W
 from .common import kept
 
 RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-QUOTED = r"""(?<=[=:][ \t]{0,1}["'`])[^\s"'`]{8,200}(?=["'`])"""
+#: Up to the quote that opened it, whatever its length.
+QUOTED = "|".join(rf"(?<=[=:][ \t]{{0,1}}{q})[^\s{q}]{{8,}}+(?={q})" for q in "\"'`")
+#: A token of dotted segments.
+DOTTED = r"(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{13,}+(?:\.[A-Za-z0-9_\-]++)++"
 #: left neighbour, separator, value
-CANDIDATE = rf"""([^\s"'`=:;,|]{{0,40}})(["'`]?[ \t]{{0,3}}(?:=>|:=|=|:)?[ \t]{{0,3}}["'`]?)({RUN}|{QUOTED})"""
+CANDIDATE = rf"""([^\s"'`=:;,|]{{0,40}})(["'`]?[ \t]{{0,3}}(?:=>|:=|=|:)?[ \t]{{0,3}}["'`]?)({QUOTED}|{DOTTED}|{RUN})"""
 #: Holds in every text that holds a candidate, and is quicker.
-HINT = rf"""{RUN}|[=:][ \t]{{0,1}}["'`][^\s"'`]{{8,}}["'`]"""
+HINT = "|".join([RUN, DOTTED, *(rf"[=:][ \t]{{0,1}}{q}[^\s{q}]{{8,}}+{q}" for q in "\"'`")])
 #: Of the labelled findings, so many at most train the forest, least hash first.
 TRAIN_FINDINGS, TREES, DEPTH = 20_000, 20, 6
 NEAR = 60

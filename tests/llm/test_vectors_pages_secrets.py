@@ -189,3 +189,16 @@ def test_secrets_of_awkward_documents(spark):
     assert clean.where("doc_id = 30").first().text == 'password="[SECRET]" ' * 3
     assert clean.where("text IS NULL").count() == 2
     assert secrets.scan(cases.nothing(spark)).count() == 0 and secrets.redact(cases.nothing(spark), found).count() == 0
+
+
+def found_values(spark, texts):
+    found = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "start").collect()
+    assert all(texts[r.doc_id][r.start - 1 : r.start - 1 + r.length] == r.value for r in found)
+    return [[r.value for r in found if r.doc_id == i] for i in range(len(texts))]
+
+
+def test_candidates_are_whole_values(spark):
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    values = ["s3cretPassw0rdLong#2024$tail", token, "aB3$" * 80, "it's0neLongValue#7"]
+    texts = [f'password = "{v}" and more' for v in values]
+    assert found_values(spark, [*texts, f"Bearer {token}, then", f"password='{values[0]}'"]) == [*([v] for v in values), [token], [values[0]]]
