@@ -1,7 +1,8 @@
 """Secret scan: candidates by patterns, false positives removed by a random forest. DataFrame operations only.
 
 A candidate is a quoted value of 8 characters and more after an assignment, whole up to its closing quote, an
-issued token with all its dotted segments, or a run of at least 16 base64 characters that holds a digit. Its features are its length, the shares and transitions of its character classes, how
+issued token with all its dotted segments, a form in which providers issue keys, an unquoted value of 8 characters and
+more assigned to a credential's name, or a run of at least 16 base64 characters that holds a digit. Its features are its length, the shares and transitions of its character classes, how
 much of it common letter groups cover, whether it stands in a path, and the words next to it. A forest fitted
 on labelled findings gives the probability of a secret.
 """
@@ -17,22 +18,30 @@ from pyspark.sql import Window as W
 
 from .common import kept
 
+# Forms in which providers issue keys, words that stand by secrets, by stand-ins, by digests; common English letter groups.
+ISSUED = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9\-]{10}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{17})"
+CREDENTIAL = "token|secret|passw|pwd|api.?key|apikey|access.?key|auth|credential|private|bearer|signature"
+
 RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 #: Up to the quote that opened it, whatever its length.
 QUOTED = "|".join(rf"(?<=[=:][ \t]{{0,1}}{q})[^\s{q}]{{8,}}+(?={q})" for q in "\"'`")
 #: A token of dotted segments.
 DOTTED = r"(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{13,}+(?:\.[A-Za-z0-9_\-]++)++"
+#: Forms of issued keys, with or without a digit.
+KEY = rf"(?<![A-Za-z0-9+/_\-]){ISSUED[1:]}[A-Za-z0-9+/_\-]*+={{0,2}}"
+#: Values assigned to a credential's name, in the query of a URL up to the next part, elsewhere up to white space; what
+#: the lookbehinds see is part of the left neighbour.
+NAME = rf"(?i:{CREDENTIAL.replace('.?', '[_.-]?')})\w{{0,20}}"
+QUERY = rf"""(?<==)(?<=[?&]\w{{0,6}}{NAME}=)[^\s&#"'`]{{8,}}+"""
+ASSIGNED = rf"""(?<=[=:>][ \t]{{0,3}})(?<={NAME}["'`]?[ \t]{{0,3}}(?:=>|:=|=|:)[ \t]{{0,3}})(?!["'`=:>])(?:[^\s"'`,;]|["'`,;](?=[^\s"'`,;])){{8,}}+"""
 #: left neighbour, separator, value
-CANDIDATE = rf"""([^\s"'`=:;,|]{{0,40}})(["'`]?[ \t]{{0,3}}(?:=>|:=|=|:)?[ \t]{{0,3}}["'`]?)({QUOTED}|{DOTTED}|{RUN})"""
+CANDIDATE = rf"""([^\s"'`=:;,|]{{0,40}})(["'`]?[ \t]{{0,3}}(?:=>|:=|=|:)?[ \t]{{0,3}}["'`]?)({QUOTED}|{DOTTED}|{KEY}|{QUERY}|{ASSIGNED}|{RUN})"""
 #: Holds in every text that holds a candidate, and is quicker.
-HINT = "|".join([RUN, DOTTED, *(rf"[=:][ \t]{{0,1}}{q}[^\s{q}]{{8,}}+{q}" for q in "\"'`")])
+HINT = "|".join([RUN, DOTTED, KEY, rf"""{NAME}["'`]?[ \t]{{0,3}}(?:=>|:=|=|:)[ \t]{{0,3}}[^\s"'`]\S{{7}}""", *(rf"[=:][ \t]{{0,1}}{q}[^\s{q}]{{8,}}+{q}" for q in "\"'`")])
 #: Of the labelled findings, so many at most train the forest, least hash first.
 TRAIN_FINDINGS, TREES, DEPTH = 20_000, 20, 6
 NEAR = 60
 
-# Forms in which providers issue keys, words that stand by secrets, by stand-ins, by digests; common English letter groups.
-ISSUED = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9\-]{10}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{17})"
-CREDENTIAL = "token|secret|passw|pwd|api.?key|apikey|access.?key|auth|credential|private|bearer|signature"
 STAND_IN = "example|sample|dummy|placeholder|changeme|your|test|fake|xxxx|redacted"
 DIGEST = "sha1|sha256|md5|commit|checksum|digest|integrity|etag|uuid|guid|revision|isbn|phone|card|order"
 GROUPS = "the|and|ing|ion|ent|for|tha|ter|est|ers|ati|hat|ate|all|her|his|ver|tio|com|www|http|html|index|page|file|image|user|name|data|test|key|id"
@@ -66,6 +75,7 @@ def features() -> dict[str, Column]:
         "issued": v.rlike(ISSUED).cast("int"),
         "stand_in": (near.rlike(rf"(?<![\w.@])(?:{STAND_IN})(?![\w.@])") | F.lower(v).rlike(STAND_IN)).cast("int"),
         "digest": left.rlike(rf"\b(?:{DIGEST})\b").cast("int"),
+        "prose": (F.col("separator").rlike(r"[:=]\s+$") & v.rlike(r"^[\p{L}'().!?\-]+$")).cast("int"),
     }
 
 
@@ -93,17 +103,17 @@ def candidates(docs: DataFrame) -> DataFrame:
     return placed.withColumns({n: c.cast("double") for n, c in features().items()}).drop("all", "gap", "at")
 
 
-FEATURES = ["size", "digits", "uppers", "lowers", "others", "turns", "variety", "hexadecimal", "numeric", "vowels", "covered", "path", "assigned", "quoted", "credential", "issued", "stand_in", "digest"]
+FEATURES = ["size", "digits", "uppers", "lowers", "others", "turns", "variety", "hexadecimal", "numeric", "vowels", "covered", "path", "assigned", "quoted", "credential", "issued", "stand_in", "digest", "prose"]
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
     """``label`` by rule, for corpora without reviewed findings: 1 for a form that providers issue and for a varied value assigned to a
-    credential's name, 0 for what no such name precedes and is assigned to nothing, or is a number, digest, stand-in or path; others are left out."""
+    credential's name that isn't an unquoted word of a sentence, 0 for such a word and what no such name precedes and is assigned to nothing, or is a number, digest, stand-in or path; others are left out."""
     named = (F.col("credential") == 1) & (F.col("assigned") == 1)
     issued = F.col("issued") == 1
-    sure = issued | named & (F.col("numeric") == 0) & (F.col("stand_in") == 0) & (F.col("variety") * F.col("size") >= 6)
+    sure = issued | named & (F.col("numeric") == 0) & (F.col("stand_in") == 0) & (F.col("prose") == 0) & (F.col("variety") * F.col("size") >= 6)
     not_so = ~issued & (F.col("credential") == 0) & ((F.col("assigned") == 0) | (F.col("numeric") == 1) | (F.col("digest") == 1) | (F.col("stand_in") == 1) | (F.col("path") == 1))
-    return found.withColumn("label", F.when(sure, 1.0).when(not_so | (named & (F.col("stand_in") == 1)), 0.0)).where("label IS NOT NULL")
+    return found.withColumn("label", F.when(sure, 1.0).when(not_so | (named & ((F.col("stand_in") == 1) | (F.col("prose") == 1))), 0.0)).where("label IS NOT NULL")
 
 
 def fit(labelled: DataFrame, seed: int = 3):
