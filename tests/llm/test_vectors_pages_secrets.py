@@ -215,3 +215,15 @@ def test_unquoted_credentials_are_secrets_and_words_are_not(spark):
     texts = [f"{g.choice(['password', 'DB_PASSWORD', 'secret'])}={v}" if i % 2 else f"author: {'wonderful'[: 8 + i % 3]}ly {g.randrange(10**15, 10**16)} and more" for i, v in enumerate(drawn)]
     found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.value) for r in found) == [(i, v) for i, v in enumerate(drawn) if i % 2]
+
+
+def test_titles_that_many_pages_share_stay(spark):
+    """Most pages of a host are near copies under one title; what all articles repeat goes."""
+    g = random.Random(2)
+    rows = []
+    for i in range(40):
+        title = "Shared title" if i < 32 else f"Own title {i}"
+        rows.append((i, "https://e.example/", f"<body><div>Menu</div><article><h1>{title}</h1><p>{' '.join(cases.prose(g, 12))}</p><div>Read on</div></article></body>"))
+    found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert found[i].startswith("Shared title" if i < 32 else f"Own title {i}") and "Read on" not in found[i]
