@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept
-from . import exact_search, html_extraction, mixing, near_dedup, near_search, packing, quality, secrets, substring_dedup, toxicity
+from . import exact_search, html_extraction, mixing, near_dedup, near_search, packing, prefix_trie, quality, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,41 @@ def wrapper_extraction(spark, sf):
 def secret_findings(spark, sf):
     found = secrets.scan(table(spark, sf, "documents"))
     return found.select("doc_id", "start", "length", "key", F.sha2("value", 256).alias("value_sha256"), "score")
+
+
+# DuckDB has no crc32: by bytes, from the table that the reflected polynomial gives
+CRC32 = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), lambda acc, x: xor(acc >> 8, list_extract({crcs}, (1 + (xor(acc, x) & 255))::BIGINT))))"""
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: xor(a >> 1, (a & 1) * 3988292384))) AS crcs)"
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+WITH {CRC_TABLE},
+turns AS (
+  SELECT conv_id, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS turn,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id AS c, list(turn ORDER BY pos) AS turns FROM turns GROUP BY conv_id),
+hashed AS (SELECT c, turns, {CRC32.format(text="c::VARCHAR", crcs="crcs")} % 9 AS h FROM own, crc),
+rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns FROM hashed a LEFT JOIN own b ON b.c = a.c - a.c % 5),
+rows_ AS (SELECT c, turns, len(turns) AS total, unnest(range(len(turns) + 1)) AS depth FROM rebuilt),
+prefixes AS (SELECT c, total, depth, sha256(turns[1:depth]::VARCHAR) AS key, strlen(turns[depth].t) AS bytes FROM rows_),
+groups AS (SELECT depth, key, min(c) AS node, count(*) AS n_convs, max(bytes) AS bytes, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (total = depth) AS ends FROM prefixes GROUP BY depth, key),
+placed AS (SELECT p.c, p.depth, g.node, g.n_convs, g.bytes, g.ends FROM prefixes p JOIN groups g ON p.depth = g.depth AND p.key = g.key),
+nodes AS (
+  SELECT a.node, a.depth, b.node AS parent, a.n_convs, a.ends, coalesce(a.bytes, 0) * (a.n_convs - 1) AS saved
+  FROM placed a LEFT JOIN placed b ON b.c = a.c AND b.depth = a.depth - 1 WHERE a.c = a.node),
+family AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n
+  LEFT JOIN (SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY ALL) k ON k.parent = n.node AND k.depth = n.depth),
+below AS (
+  SELECT p.node, p.depth, sum(f.saved) AS saved, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS leaves
+  FROM placed p JOIN family f ON f.node = p.c AND f.depth >= p.depth GROUP BY p.node, p.depth)
+SELECT f.node AS conv_id, f.depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM family f JOIN below b ON b.node = f.node AND b.depth = f.depth
+""",
+)
+def conversation_trie(spark, sf):
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"), F.expr("c - c % 5"), F.crc32(F.col("c").cast("string").cast("binary")) % 9)
