@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept
-from . import exact_search, html_extraction, mixing, near_dedup, near_search, packing, prefix_trie, quality, secrets, substring_dedup, toxicity
+from . import exact_search, html_extraction, lexical_search, mixing, near_dedup, near_search, packing, prefix_trie, quality, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,28 @@ FROM family f JOIN below b ON b.node = f.node AND b.depth = f.depth
 )
 def conversation_trie(spark, sf):
     return prefix_trie.prefix_trie(table(spark, sf, "conversations"), F.expr("c - c % 5"), F.crc32(F.col("c").cast("string").cast("binary")) % 9)
+
+
+@query(
+    "op11_lexical_search",
+    r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+corpus AS (SELECT count(*) AS n_docs, sum(len(terms))::HUGEINT AS length FROM words WHERE len(terms) > 0),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+bags AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term),
+held AS (SELECT d, doc_id, len(terms) AS n, unnest(terms) AS term FROM words),
+tfs AS (SELECT d, doc_id, n, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM bags) GROUP BY d, doc_id, n, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, corpus GROUP BY term, n_docs),
+scored AS (
+  SELECT b.item_id, t.d, t.doc_id, sum(b.times * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (25 + (75 * t.n * c.n_docs) // c.length))))::BIGINT AS score
+  FROM bags b JOIN tfs t ON t.term = b.term JOIN weights w ON w.term = b.term, corpus c GROUP BY b.item_id, t.d, t.doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+""",
+)
+def ranked_lexical_search(spark, sf):
+    return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
