@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept
-from . import exact_search, html_extraction, lexical_search, mixing, near_dedup, near_search, packing, prefix_trie, quality, secrets, substring_dedup, toxicity
+from . import exact_search, html_extraction, katz, lexical_search, mixing, near_dedup, near_search, packing, prefix_trie, quality, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,8 @@ SELECT * FROM ranked WHERE rank <= 10
 )
 def ranked_lexical_search(spark, sf):
     return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_katz")
+def katz_scores(spark, sf):
+    return katz.scores(table(spark, sf, "documents"), toxicity.held_out(F.col("doc_id"), 7, 2))
