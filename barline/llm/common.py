@@ -17,10 +17,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def kept(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back: lineage ends here."""
+    return stored(df, label)[0]
+
+
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """:func:`kept`, and where: several tables are read as one by their paths."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def texts(df: DataFrame, *columns: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,6 +66,30 @@ def word_hashes(seen: dict[bytes, int]) -> np.ndarray:
     return np.fromiter((h(w) for w in seen), np.uint64, len(seen))
 
 
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word of the texts, in order; words per text), without a step per word.
+
+    A word's hash adds up a random value for each byte at its place in the word.
+    """
+    blob = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    solid = (blob != 32) & ((blob - np.uint8(9)) > 4)
+    edge = np.diff(solid.view(np.int8), prepend=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sizes = end - start
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    if len(place):
+        key = place << 8 | blob[solid]
+        value = _BYTES[np.minimum(key, len(_BYTES) - 1)]
+        far = np.flatnonzero(key >= len(_BYTES))
+        value[far] = mixed(key[far].astype(np.uint64) + np.uint64(BASE))
+        hashes = mixed(np.add.reduceat(value, first) + sizes.astype(np.uint64) * np.uint64(BASE))
+    else:
+        hashes = np.empty(0, np.uint64)
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    return hashes, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -71,6 +100,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 BASE = 0x9E3779B97F4A7C15
+#: The values of all bytes at the first places of a word.
+_BYTES = mixed(np.arange(32 << 8, dtype=np.uint64) + np.uint64(BASE))
 
 
 class Rolling:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import counts as C
-from .common import Rolling, ident, kept, mixed, parts_for, texts, word_hashes
+from .common import Rolling, hashed_words, kept, mixed, parts_for, stored, texts
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DAMP = 5, 0.8, 12, 3, 0.1
@@ -49,24 +49,23 @@ WORD_CHARS = 6
 
 def _shingles(texts_: list[str], n: int):
     """(digests, document, shingle, tf), by document and shingle; documents of fewer words have one shingle."""
-    seen: dict[bytes, int] = {}
-    words = [t.lower().encode().split() for t in texts_]
-    lengths = np.array([len(w) for w in words], np.int64)
-    numbers = np.fromiter((i for w in words for i in ident(w, seen)), np.int64, int(lengths.sum()))
-    digests = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-    if not len(numbers):
+    lowered = [t.lower().encode() for t in texts_]
+    digests = [xxhash.xxh3_128_digest(b" ".join(t.split())) for t in lowered]
+    words, lengths = hashed_words(lowered)
+    if not len(words):
         return digests, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     many = np.where(lengths > 0, np.maximum(lengths - n + 1, 1), 0)
     doc = np.repeat(np.arange(len(lengths)), many)
     first = np.cumsum(lengths) - lengths
     starts = first[doc] + np.arange(len(doc)) - (np.cumsum(many) - many)[doc]
-    hashes = Rolling(word_hashes(seen)[numbers]).runs(starts, np.minimum(lengths, n)[doc]) >> np.uint64(64 - BITS)
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    at = np.flatnonzero(new)
-    return digests, doc[at], hashes[at], np.diff(np.append(at, len(doc)))
+    hashes = Rolling(words).runs(starts, np.minimum(lengths, n)[doc]) >> np.uint64(64 - BITS)
+    found = []
+    for a in range(0, len(lengths), 1 << 64 - BITS):  # as many documents as fit beside a shingle's bits
+        i, j = np.searchsorted(doc, [a, a + (1 << 64 - BITS)])
+        key = np.sort((doc[i:j] - a).astype(np.uint64) << np.uint64(BITS) | hashes[i:j])
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        found.append(((key[at] >> np.uint64(BITS)).astype(np.int64) + a, key[at] & np.uint64((1 << BITS) - 1), np.diff(np.append(at, len(key)))))
+    return digests, *(np.concatenate(x) for x in zip(*found))
 
 
 def _weights(hashes: np.ndarray, tf: np.ndarray, replies: pa.Table, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +318,7 @@ def _remaining(members: DataFrame, classes: DataFrame | None, sides: DataFrame,
     near = dealt.where(F.col("n") <= MEETING).mapInArrow(_close(SAMPLES), "row_key long")
     large = _dealt(members, classes, None, 0).where(F.col("n") > MEETING).select("row_key")
     wanted = near.unionByName(large).distinct()
-    wanted = _named(wanted, classes).join(vectors, "row_key")
+    wanted = _named(wanted, classes).join(vectors.hint("merge"), "row_key")
     tokens = kept(wanted.mapInArrow(_prefixes(similarity), "token long, row_key long, component long, before double, total double, short boolean"), "prefixes")
     # at each shingle the members of its largest class meet those of the others, and these each other
     counted = tokens.groupBy("token", "component").agg(F.count("*").alias("n"), F.max("short").alias("short"))
@@ -337,19 +336,34 @@ def _named(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     """``members`` with the class of each as ``component``."""
     if classes is None:
         return members.withColumn("component", F.col("row_key"))
-    named = members.join(classes, members["row_key"] == classes["node"], "left")
+    named = members.join(classes.hint("merge"), members["row_key"] == classes["node"], "left")
     return named.select(*members.columns, F.coalesce("component", "row_key").alias("component"))
 
 
+def _between(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes that ``links`` join; a node in no class yet is one."""
+    for end in ("a", "b"):
+        named = classes.select(F.col("node").alias(end), F.col("component").alias("_class")).hint("merge")
+        links = links.join(named, end, "left").withColumn(end, F.coalesce("_class", end)).drop("_class")
+    return links
+
+
+def _moved(classes: DataFrame, moved: DataFrame) -> DataFrame:
+    """``classes`` after their heads moved to other components; heads that were no member of a class are added."""
+    heads = moved.select(F.col("node").alias("head"), F.col("component").alias("_to"))
+    old = classes.join(heads.hint("merge"), classes["component"] == heads["head"], "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return old.unionByName(moved.join(classes.select("node").hint("merge"), "node", "left_anti"))
+
+
 def _dealt(members: DataFrame, classes: DataFrame | None, sides: DataFrame | None, turn: int) -> DataFrame:
     """Members of the ``n`` of buckets that hold several classes; with ``sides`` also their samples, dealt to blocks."""
     open_ = _named(members.select("bucket", "row_key"), classes)
     sizes = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    held = open_.join(sizes, "bucket")
+    held = open_.join(sizes.hint("merge"), "bucket")
     if sides is None:
         return held.select("bucket", "row_key", "component", "n")
     part = F.pmod(F.xxhash64(F.lit(turn), "row_key"), F.ceil(F.col("n") / MEETING).cast("long")).alias("part")
-    dealt = held.join(sides, "row_key").select("bucket", part, "row_key", "component", "samples", "n")
+    dealt = held.join(sides.hint("merge"), "row_key").select("bucket", part, "row_key", "component", "samples", "n")
     return dealt.repartition(F.col("bucket"), F.col("part")).sortWithinPartitions("bucket", "part")
 
 
@@ -390,25 +404,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
     # identical rows share a row_key: one of them
     vectors = kept(sketches.where("items IS NOT NULL").join(wanted, "row_key", "left_semi").groupBy("row_key").agg(F.first("items").alias("items"), F.first("weights").alias("weights"), F.first("alone").alias("alone")), "vectors")
 
-    classes, tested, turn, last = None, None, 0, False
+    # no join of the rounds broadcasts: what they relate grows with the corpus, and the driver would build every relation
+    sets = vectors.select(F.col("row_key").alias("b"), F.col("items").alias("b_items"), F.col("weights").alias("b_weights"))
+    classes, tested, turn, last = None, [], 0, False
     while True:
         met = _remaining(members, classes, sides, vectors, similarity) if last else _meetings(members, classes, sides, turn)
-        met = kept(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met")
-        tested = met if tested is None else tested.unionByName(met)
-        paired = met.join(vectors.select(F.col("row_key").alias("a"), F.col("items").alias("a_items"), F.col("weights").alias("a_weights")), "a")
-        paired = paired.join(vectors.select(F.col("row_key").alias("b"), F.col("items").alias("b_items"), F.col("weights").alias("b_weights")), "b")
+        if tested:
+            met = met.join(docs.sparkSession.read.parquet(*tested).hint("merge"), ["a", "b"], "left_anti")
+        met, path = stored(met, "met")
+        tested.append(path)
+        paired = met.join(sets.select(*(F.col(c).alias(c.replace("b", "a", 1)) for c in sets.columns)).hint("merge"), "a").join(sets.hint("merge"), "b")
         new = kept(paired.mapInArrow(_verify(similarity), "a long, b long"), "links")
         none = new.isEmpty()
         if not none:
-            # what is linked so far is named by its classes: as many links as members
-            links = new if classes is None else new.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            classes = components(links)
+            # classes and the links between them: what is inside a class is not walked again
+            between = new if classes is None else _between(new, classes)
+            moved = components(between)
+            classes = moved if classes is None else kept(_moved(classes, moved), "classes")
         if last:
             break
         last = none
         turn += 1
 
-    named = copies.withColumn("component", F.col("row_key")) if classes is None else copies.join(classes, copies["row_key"] == classes["node"], "left").withColumn("component", F.coalesce("component", "row_key"))
+    named = copies.withColumn("component", F.col("row_key")) if classes is None else copies.join(classes.hint("merge"), copies["row_key"] == classes["node"], "left").withColumn("component", F.coalesce("component", "row_key"))
     heads = named.groupBy("component").agg(F.min(F.struct("unknown", "doc_id", "row_key")).alias("h"), F.sum("n").alias("n_copies"))
     whole = named.select("digest", "component").join(heads, "component").select("digest", F.col("h.doc_id").alias("class_id"), F.col("h.row_key").alias("head"), "n_copies")
     return sketches.select("digest", "doc_id", "row_key").join(whole, "digest").select("doc_id", "row_key", "class_id", "n_copies", (F.col("row_key") == F.col("head")).alias("keeper"))
