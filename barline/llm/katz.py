@@ -2,7 +2,7 @@
 
 1. Documents are packed into chunks. A chunk sends its distinct n-grams of each order once, with their
    occurrences in training documents and whether held-out ones hold them, sorted and cut into buckets by hash range. A bucket adds up,
-   counts counts, and answers each chunk for the n-grams that others hold as well: total, whether a held-out document
+   counts counts, and answers each chunk, by place, for the n-grams that others hold as well: total, whether a held-out document
    asks, and which chunk ``owns`` it. All other n-grams a chunk knows itself.
 2. With the totals a chunk evaluates its tokens recursively: the longest n-gram that was seen gives a discounted frequency,
    each longer one that was not, in a context that was, the context's backoff weight. Only held-out documents meet those.
@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, ident, kept, parts_for, texts, word_hashes
+from .common import Rolling, hashed_words, kept, parts_for, texts
 from .counts import bounds, deltas, planes, unplanes
 
 ORDER, TRUSTED, HALF = 3, 5, 0.5
 CLASSES = TRUSTED + 1
-#: The end of a text; no word holds a space.
-END = b" "
+#: The hash of a text's end, which is no word.
+END = np.uint64(0x6A09E667F3BCC909)
 WORD_CHARS = 6
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 STAT, DOC, CONTEXT = range(3)
@@ -62,7 +62,7 @@ def _pack(chunk_chars: int, key):
     names = ["chunk", "ids", "held", "lengths", "texts"]
 
     def row(part, n, ids, held, found):
-        blob = zstandard.compress(b"".join(found), 1)
+        blob = zstandard.compress(b"".join(found), 3)
         return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([ids], pa.list_(key)), pa.array([held], pa.list_(pa.bool_())), pa.array([[len(t) for t in found]], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=names)
 
     def pack(batches):
@@ -88,22 +88,21 @@ class Grams:
     """The n-grams of a chunk, by the token they end with."""
 
     def __init__(self, table: pa.Table, order: int):
-        self.ids, self.held, words = [], [], []
+        self.ids, self.held, found = [], [], []
         for ids, held, lengths, blob in zip(*(table[c].to_pylist() for c in ("ids", "held", "lengths", "texts"))):
             self.ids += ids
             self.held += held
             whole, at = zstandard.decompress(blob).translate(_LOWER), 0
             for n in lengths:
-                words.append([*whole[at : at + n].split(), END])
+                found.append(whole[at : at + n])
                 at += n
-        self.lengths = np.array([len(w) for w in words], np.int64)
-        seen: dict[bytes, int] = {}
-        numbers = np.fromiter((i for w in words for i in ident(w, seen)), np.int64, int(self.lengths.sum()))
-        del words
+        words, many = hashed_words(found)
+        del found
+        self.lengths = many + 1
+        hashes = np.insert(words, np.cumsum(many), END)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.place = np.arange(len(numbers)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.place = np.arange(len(hashes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         asking = np.array(self.held, bool)[self.doc]
-        hashes = word_hashes(seen)[numbers]
         runs = Rolling(hashes)
         #: By level: distinct n-grams (sorted), a token at which each ends, its place among them by token (-1: text too short), own training count, asked.
         self.items, self.at, self.of, self.own, self.asked = {}, {}, {}, {}, {}
@@ -112,7 +111,7 @@ class Grams:
             h = hashes if k == 1 else runs.runs(valid - k + 1, k) >> np.uint64(64 - _bits(k))
             items, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             self.items[k], self.at[k] = items, valid[first]
-            self.of[k] = np.full(len(numbers), -1)
+            self.of[k] = np.full(len(hashes), -1)
             self.of[k][valid] = inverse
             self.own[k] = np.bincount(inverse[~asking[valid]], minlength=len(items)).astype(np.int64)
             self.asked[k] = np.bincount(inverse[asking[valid]], minlength=len(items)) > 0
@@ -132,8 +131,8 @@ def _send(order: int, buckets: int):
     return send
 
 
-ANSWERS = "chunk long, bucket int, items binary, totals binary, flags binary"
-_ANSWERS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("items", pa.binary()), ("totals", pa.binary()), ("flags", pa.binary())])
+ANSWERS = "chunk long, bucket int, totals binary, flags binary"
+_ANSWERS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("totals", pa.binary()), ("flags", pa.binary())])
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -161,11 +160,12 @@ def _merge(table: pa.Table) -> pa.Table:
     back[order] = np.arange(len(items))
     a = 0
     for chunk, n in zip(chunks, sizes):
+        # in the order in which the chunk sent them: 0 for what no other chunk holds
         at = back[a : a + n]
         keep = shared[group[at]]
-        at = at[keep]
-        if len(at):
-            rows.append({"chunk": chunk, "bucket": bucket, "items": _zip(deltas(items[a : a + n][keep])), "totals": _zip(totals[group[at]]), "flags": _zip((owner[at] * 2 + asked[group[at]]).astype(np.uint8))})
+        if keep.any():
+            flags = np.where(keep, 1 + asked[group[at]] + 2 * owner[at], 0).astype(np.uint8)
+            rows.append({"chunk": chunk, "bucket": bucket, "totals": _zip(totals[group[at[keep]]]), "flags": _zip(flags)})
         a += n
     return _rows(_ANSWERS, rows)
 
@@ -173,10 +173,12 @@ def _merge(table: pa.Table) -> pa.Table:
 def _known(g: Grams, replies: list, k: int, buckets: int):
     """(total, owned, asked) of a chunk's n-grams of one level."""
     total, owned, asked = g.own[k].copy(), g.own[k] > 0, g.asked[k].copy()
-    for bucket, items, totals, flags in replies:
+    begin = bounds(g.items[k], buckets, _bits(k))
+    for bucket, totals, flags in replies:
         if bucket // buckets == k:
-            at = np.searchsorted(g.items[k], np.cumsum(_unzip(items, np.uint64), dtype=np.uint64))
             f = _unzip(flags, np.uint8)
+            at = np.flatnonzero(f)
+            f, at = f[at] - 1, at + begin[bucket % buckets]
             total[at], owned[at], asked[at] = _unzip(totals, np.int64), f >= 2, f % 2 == 1
     return total, owned, asked
 
@@ -197,7 +199,7 @@ def _evaluate(order: int, buckets: int, key):
         if not docs.num_rows:  # the chunk -1
             return _rows(schema, [{"kind": STAT, "bucket": b, "data": t} for b, t in zip(replies["bucket"].to_pylist(), replies["totals"].to_pylist())])
         chunk, g = docs["chunk"][0].as_py(), Grams(docs, order)
-        given = sorted(zip(*(replies[c].to_pylist() for c in ("bucket", "items", "totals", "flags"))))
+        given = sorted(zip(*(replies[c].to_pylist() for c in ("bucket", "totals", "flags"))))
         total, owned, asked = ({} for _ in range(3))
         for k in range(1, order + 1):
             total[k], owned[k], asked[k] = _known(g, given, k, buckets)
@@ -327,7 +329,7 @@ def _finish(order: int, found: dict[int, np.ndarray], unknown: float, tokens: in
     return finish
 
 
-def scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk_chars: int = 5_000_000, bucket_items: int = 4_000_000) -> DataFrame:
+def scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk_chars: int = 8_000_000, bucket_items: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     ``held_out``, a condition on doc_id, says which rows the model does not learn from. Words are ``common.WORD`` runs, A-Z lower-cased,
