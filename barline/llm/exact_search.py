@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import kept, parts_for
-from .vectors import dense, sample, usable
+from .vectors import asking, by_length, dense, sample, usable
 
 SAMPLE, PIVOTS, BLOCK, GROUP = 8192, 512, 4096, 1024
 
@@ -117,18 +117,18 @@ def _reach(summaries: np.ndarray, radii: np.ndarray, counts: np.ndarray, keys: n
 def top_k(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, n_pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` highest inner products of floor(scale * x), ties to smaller ids.
 
-    ``is_query`` is a condition on the column id; candidates are all rows but those with the query's own id.
-    Which vectors take part: see :func:`vectors.usable`; a query among the others has no rows. Rows of
-    equal id are candidates like any others. Fewer candidates than ``k`` are all returned. An empty table
-    gives no rows. Block summaries (one row per BLOCK vectors of a cell) are read by every task.
+    ``is_query`` is a condition on the column id; an id asks once, by the least of its vectors, and candidates are all
+    rows but those with the query's own id. Which vectors take part: see :func:`vectors.usable`; a query among the
+    others has no rows. Vectors of different numbers of components are searched apart. Rows of equal id, or equal rows, are candidates
+    each; a null id takes no part. Fewer candidates than ``k`` are all returned. Other columns, whatever their
+    names, are ignored. An empty table gives no rows. Block summaries (one row per BLOCK vectors of a cell) are read by every task.
     """
     rows = kept(usable(df, key, vector).select("id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("x")), "vectors")
-    total = rows.count()
-    empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not total:
-        return empty
+    return by_length(rows, lambda some, total, d: _top_k(some, total, d, is_query, k, n_pivots), "query_id long, rank int, vec_id long, score long")
+
+
+def _top_k(rows: DataFrame, total: int, d: int, is_query, k: int, n_pivots: int) -> DataFrame:
     points = sample(rows, SAMPLE)
-    d = points.shape[1]
     centres = pivots(points, min(n_pivots, parts_for(total, BLOCK)))
 
     def assign(batches):
@@ -141,7 +141,7 @@ def top_k(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str
     part = F.pmod(F.xxhash64("id", "x"), F.ceil(F.col("n") / BLOCK).cast("long")).alias("part")
     blocks = kept(cut.select("cell", part, "id", "x").groupBy("cell", "part").applyInArrow(_gather, _GATHERED), "blocks")
     q_part = F.pmod(F.xxhash64("id", "x"), F.ceil(F.col("m") / GROUP).cast("long")).alias("part")
-    groups = kept(cut.where(is_query).select("cell", q_part, "id", "x").groupBy("cell", "part").applyInArrow(_gather, _GATHERED), "groups")
+    groups = kept(asking(celled, is_query, "cell").join(F.broadcast(sizes), "cell").select("cell", q_part, "id", "x").groupBy("cell", "part").applyInArrow(_gather, _GATHERED), "groups")
     seen = blocks.select("cell", "part", "n", "centre", "radius").collect()  # a row for BLOCK vectors
     reach = _reach(np.array([r.centre for r in seen]), np.array([r.radius for r in seen]), np.array([r.n for r in seen]), np.array([(r.cell, r.part) for r in seen]), k, d)
     pairs = groups.select("cell", "part", "x").mapInArrow(reach, "q_cell int, q_part long, cell int, part long")

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import kept, parts_for
-from .vectors import dense, sample, usable
+from .vectors import asking, by_length, dense, sample, usable
 
 SAMPLE, TRIALS, RECALL = 16_384, 256, 0.98
 #: Substrings of 16 bits in a code.
@@ -130,29 +130,30 @@ def _search(codes: Codes, r: int, k: int, d: int):
 def nearest_neighbours(df: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: str = "embedding", within: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found by Euclidean distance, ties to smaller ids.
 
-    ``is_query`` is a condition on the column id; candidates are all rows but those with the query's own
-    id; every query gets ``k`` rows, all candidates if there are fewer. Zero vectors and those that
-    :func:`vectors.usable` names take no part. ``within`` sets the first
-    radius; as many rows as a result holds are searched completely. An empty
-    table gives no rows; equal vectors and repeated ids are rows like others.
+    ``is_query`` is a condition on the column id; an id asks once, by the least of its vectors, and candidates are all rows
+    but those with the query's own id; every query gets ``k`` rows, all candidates if there are fewer. Zero vectors and those
+    that :func:`vectors.usable` names take no part; vectors of different numbers of components are searched apart. ``within`` sets the
+    first radius; as many rows as a result holds are searched completely. An empty table gives no rows; equal vectors and
+    repeated ids are rows like others; other columns, whatever their names, are ignored.
     """
     rows = kept(usable(df, key, vector, nonzero=True), "vectors")
-    total = rows.count()
-    if not total:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return by_length(rows, lambda some, total, d: _search_all(some, total, d, is_query, k, within), "query_id long, rank int, vec_id long, score double")
+
+
+def _search_all(rows: DataFrame, total: int, d: int, is_query, k: int, within: int | None) -> DataFrame:
     points = sample(rows, SAMPLE)
-    d = points.shape[1]
     codes = Codes(points)
     r = within if within is not None else 64 if total <= k + 1 else radius(codes, points, k)
     part = F.pmod(F.xxhash64("id", "x"), F.lit(parts_for(total, SHARD))).cast("int").alias("part")
     data = rows.select(part, "id", "x").groupBy("part").applyInArrow(_blocks, "part int, ids binary, x binary")
-    queries, full = rows.where(is_query), None
+    queries, full = kept(asking(rows, is_query), "queries"), None
     while True:
         found = kept(_nearest(data, queries, codes, r, k, d), "found")
         full = found if full is None else full.unionByName(found)
         if r >= 64:
             return full
-        wanted = queries.groupBy("id").agg(F.least(F.lit(k), F.lit(total) - F.count("*")).alias("wanted"))
+        own = rows.join(queries.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
+        wanted = own.select("id", F.least(F.lit(k), F.lit(total) - F.col("own")).alias("wanted"))
         held = found.groupBy("query_id").agg(F.count("*").alias("held"))
         few = kept(wanted.join(held, wanted["id"] == held["query_id"], "left").where("coalesce(held, 0) < wanted").select("id"), "few")
         if few.isEmpty():

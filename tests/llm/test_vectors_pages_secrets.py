@@ -26,17 +26,23 @@ ODD = [(500, None), (520, [None, 1.0, 2.0, 3.0]), (540, [float("nan"), 1.0, 2.0,
 
 
 def brute(df, every, k, score, best, nonzero):
-    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.vec_id is not None and r.embedding and len(r.embedding) == 4 and None not in r.embedding and np.isfinite(r.embedding).all()]
-    rows = [(i, np.array(v, float)) for i, v in rows if not nonzero or any(v)]
-    out = []
-    for q, x in rows:
-        if q % every == 0:
-            others = sorted(((best * score(x, y), i) for i, y in rows if i != q))[:k]
-            out += [(q, n + 1, i, best * s) for n, (s, i) in enumerate(others)]
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.vec_id is not None and r.embedding and None not in r.embedding and np.isfinite(r.embedding).all()]
+    rows = [(i, tuple(v)) for i, v in rows if not nonzero or any(v)]
+    out, asked = [], {}
+    for i, v in rows:
+        if i % every == 0:
+            asked[i, len(v)] = min(asked.get((i, len(v)), v), v)
+    for (q, d), x in asked.items():
+        others = sorted((best * score(np.array(x), np.array(y)), i) for i, y in rows if i != q and len(y) == d)[:k]
+        out += [(q, n + 1, i, best * s) for n, (s, i) in enumerate(others)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("n, extra", [(300, ODD), (8, ())])
+REPEATED = [(20, [1.0, 0.5, 0.0, 1.0]), (20, [1.0, 0.5, 0.0, 1.0]), (40, [0.0, 0.0, 0.25, 1.0]), (41, [9.0, 9.0, 9.0, 9.0]), (41, [9.0, 9.0, 9.0, 9.0])]
+SHORT = [(700, [1.0, 2.0]), (20, [0.5, 1.0]), (700, [1.0, 2.0]), (701, [3.0, 1.0]), (702, [3.0, 1.0])]
+
+
+@pytest.mark.parametrize("n, extra", [(300, ODD), (8, ()), (200, REPEATED * 3 + SHORT + ODD)])
 def test_exact_top_k(spark, monkeypatch, n, extra):
     monkeypatch.setattr(exact_search, "BLOCK", 40)
     monkeypatch.setattr(exact_search, "GROUP", 8)
@@ -70,6 +76,13 @@ def test_nearest_neighbours(spark):
     assert len(hits) >= 0.9 * len(want)
 
 
+def test_nearest_neighbours_of_repeated_queries_and_other_lengths(spark):
+    df = vectors(spark, 200, 4, 9, REPEATED * 3 + SHORT + ODD)
+    want = brute(df, 20, 10, lambda x, y: float(np.sqrt(((x - y) ** 2).sum())), 1, True)
+    found = sorted(map(tuple, near_search.nearest_neighbours(df, F.col("id") % 20 == 0, within=64).collect()))
+    assert [r[:3] for r in found] == [r[:3] for r in want] and np.allclose([r[3] for r in found], [r[3] for r in want], rtol=1e-12)
+
+
 def test_isolated_queries_find_all_their_neighbours(spark):
     """Tight groups make the radius small; queries far from every group have no code within it."""
     g = np.random.default_rng(4)
@@ -90,7 +103,7 @@ def test_searches_of_awkward_tables(spark, search):
     assert search(spark.createDataFrame([(20, None, 1, "", 1, 1)], VECTORS), query).count() == 0
     assert search(spark.createDataFrame([(20, [1.0, 2.0], 1, "", 1, 1)], VECTORS), query).count() == 0
     twins = [(20, [1.0, 2.0], 1, "", 1, 1), (20, [1.0, 2.0], 1, "", 1, 1), (3, [1.0, 2.0], 1, "", 1, 1)]
-    assert {(r.query_id, r.vec_id) for r in search(spark.createDataFrame(twins, VECTORS), query).collect()} == {(20, 3)}
+    assert [(r.query_id, r.rank, r.vec_id) for r in search(spark.createDataFrame(twins, VECTORS), query).collect()] == [(20, 1, 3)]
 
 
 def page(text: str, menu: str = "home", more: str = "") -> str:
