@@ -1,9 +1,10 @@
 """Katz backoff language model over all training documents, and every document's log probability under it.
 
-1. Documents are packed into chunks. A chunk sends its distinct n-grams of each order once, with their
-   occurrences in training documents and whether held-out ones hold them, sorted and cut into buckets by hash range. A bucket adds up,
-   counts counts, and answers each chunk, by place, for the n-grams that others hold as well: total, whether a held-out document
-   asks, and which chunk ``owns`` it. All other n-grams a chunk knows itself.
+1. Documents are packed into chunks. A chunk sends its distinct n-grams once, with their occurrences in training
+   documents and whether held-out ones hold them, sorted and cut into buckets by hash range. A bucket adds up, counts counts,
+   and answers each chunk, by place, for the n-grams that others hold as well: total, whether a held-out document
+   asks, and which chunk ``owns`` it. All other n-grams a chunk knows itself; an n-gram of three or more words is sent only
+   if others hold both its parts of one word less.
 2. With the totals a chunk evaluates its tokens recursively: the longest n-gram that was seen gives a discounted frequency,
    each longer one that was not, in a context that was, the context's backoff weight. Only held-out documents meet those.
 3. A backoff weight is (1 - what the context's seen n-grams take) / (1 - what their endings take one order below): sums
@@ -37,8 +38,9 @@ CLASSES = TRUSTED + 1
 END = np.uint64(0x6A09E667F3BCC909)
 WORD_CHARS = 6
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-STAT, DOC, CONTEXT = range(3)
-_OUT = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_single", pa.int64()), ("base", pa.float64()), ("part", pa.float64()), ("classes", pa.list_(pa.int32())), ("asked", pa.binary()), ("items", pa.binary()), ("data", pa.binary())])
+STAT, DOCS, CONTEXT = range(3)
+_OUT = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("held", pa.list_(pa.bool_())), ("stats", pa.list_(pa.int64())), ("asked", pa.binary()), ("items", pa.binary()), ("data", pa.binary())])
+_KINDS = "kind int, chunk long, bucket int, held array<boolean>, stats array<bigint>, asked binary, items binary, data binary"
 
 
 def _bits(level: int) -> int:
@@ -117,20 +119,51 @@ class Grams:
             self.asked[k] = np.bincount(inverse[asking[valid]], minlength=len(items)) > 0
 
 
+def _sent(g: Grams, k: int, shared: np.ndarray | None) -> np.ndarray:
+    """Which n-grams of level k are sent: those whose both parts one level below are held by other chunks too."""
+    if shared is None:
+        return np.arange(len(g.items[k]))
+    last = g.at[k]
+    return np.flatnonzero(shared[g.of[k - 1][last - 1]] & shared[g.of[k - 1][last]])
+
+
+_SENT = "chunk long, bucket int, items binary, counts binary"
+_PACKS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
+
+
+def _pack_level(g: Grams, chunk: int, k: int, buckets: int, which: np.ndarray) -> list[dict]:
+    items, sent = g.items[k][which], (g.own[k] << 1 | g.asked[k]).astype(np.uint32)[which]
+    at = bounds(items, buckets, _bits(k))
+    return [{"chunk": chunk, "bucket": k * buckets + b, "items": _zip(deltas(items[i:j])), "counts": _zip(sent[i:j])} for b, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
+
+
 def _send(order: int, buckets: int):
-    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
+    """N-grams of the first two levels."""
 
     def send(table: pa.Table) -> pa.Table:
-        g, rows = Grams(table, order), []
-        for k in range(1, order + 1):
-            sent = (g.own[k] << 1 | g.asked[k]).astype(np.uint32)
-            at = bounds(g.items[k], buckets, _bits(k))
-            rows += [{"chunk": table["chunk"][0].as_py(), "bucket": k * buckets + b, "items": _zip(deltas(g.items[k][i:j])), "counts": _zip(sent[i:j])} for b, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i]
-        return _rows(schema, rows)
+        g = Grams(table, min(order, 2))
+        return _rows(_PACKS, [r for k in g.items for r in _pack_level(g, table["chunk"][0].as_py(), k, buckets, _sent(g, k, None))])
 
     return send
 
 
+def _send_more(k: int, buckets: int):
+    """N-grams of level k, by the answers to the levels below."""
+
+    def send(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _PACKS.empty_table()
+        g = Grams(docs, k)
+        which = _known(g, _given(replies), k - 1, buckets)[-1]
+        return _rows(_PACKS, _pack_level(g, docs["chunk"][0].as_py(), k, buckets, which))
+
+    return send
+
+
+def _given(replies: pa.Table) -> list[tuple]:
+    return sorted(zip(*(replies[c].to_pylist() for c in ("bucket", "totals", "flags"))))
+
+
 ANSWERS = "chunk long, bucket int, totals binary, flags binary"
 _ANSWERS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("totals", pa.binary()), ("flags", pa.binary())])
 
@@ -149,7 +182,7 @@ def _merge(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(new)
     own = (sent >> 1)[order].astype(np.int64)
     totals, asked = np.add.reduceat(own, first), np.bitwise_or.reduceat((sent & 1)[order], first)
-    rows = [{"chunk": -1, "bucket": bucket, "totals": np.array([*np.bincount(np.minimum(totals, TRUSTED + 2), minlength=TRUSTED + 3)[1 : TRUSTED + 2], (totals > 0).sum(), totals.sum()], np.int64).tobytes()}]
+    rows = [{"chunk": -1, "bucket": bucket, "totals": _counted(totals)}]
     # the owner: the first of the chunks, sorted, with a training document that holds it
     group = np.cumsum(new) - 1
     holding = np.flatnonzero(own > 0)
@@ -170,17 +203,30 @@ def _merge(table: pa.Table) -> pa.Table:
     return _rows(_ANSWERS, rows)
 
 
-def _known(g: Grams, replies: list, k: int, buckets: int):
-    """(total, owned, asked) of a chunk's n-grams of one level."""
-    total, owned, asked = g.own[k].copy(), g.own[k] > 0, g.asked[k].copy()
-    begin = bounds(g.items[k], buckets, _bits(k))
-    for bucket, totals, flags in replies:
-        if bucket // buckets == k:
-            f = _unzip(flags, np.uint8)
-            at = np.flatnonzero(f)
-            f, at = f[at] - 1, at + begin[bucket % buckets]
-            total[at], owned[at], asked[at] = _unzip(totals, np.int64), f >= 2, f % 2 == 1
-    return total, owned, asked
+def _known(g: Grams, replies: list, upto: int, buckets: int):
+    """By level up to ``upto`` the totals of a chunk's n-grams, which it owns, which are asked for; which were sent at each
+    level, and at last which of the next level are to be."""
+    total, owned, asked, sent = {}, {}, {}, {}
+    which = None
+    for k in range(1, upto + 1):
+        sent[k] = _sent(g, k, which)
+        total[k], owned[k], asked[k] = g.own[k].copy(), g.own[k] > 0, g.asked[k].copy()
+        shared = np.zeros(len(g.items[k]), bool)
+        begin = bounds(g.items[k][sent[k]], buckets, _bits(k))
+        for bucket, totals, flags in replies:
+            if bucket // buckets == k:
+                f = _unzip(flags, np.uint8)
+                at = np.flatnonzero(f)
+                f, at = f[at] - 1, sent[k][at + begin[bucket % buckets]]
+                total[k][at], owned[k][at], asked[k][at], shared[at] = _unzip(totals, np.int64), f >= 2, f % 2 == 1, True
+        which = shared if k >= 2 else None
+    more = _sent(g, upto + 1, which) if upto + 1 in g.items else None
+    return total, owned, asked, sent, more
+
+
+def _counted(totals: np.ndarray) -> bytes:
+    """Counts of counts, distinct n-grams, and their sum."""
+    return np.array([*np.bincount(np.minimum(totals, TRUSTED + 2), minlength=TRUSTED + 3)[1 : TRUSTED + 2], (totals > 0).sum(), totals.sum()], np.int64).tobytes()
 
 
 def _class(c: np.ndarray) -> np.ndarray:
@@ -193,17 +239,16 @@ def _kept_count(c: np.ndarray) -> np.ndarray:
 
 
 def _evaluate(order: int, buckets: int, key):
-    schema = pa.schema([("doc_id", key), *_OUT])
+    schema = pa.schema([("ids", pa.list_(key)), *_OUT])
 
     def evaluate(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:  # the chunk -1
-            return _rows(schema, [{"kind": STAT, "bucket": b, "data": t} for b, t in zip(replies["bucket"].to_pylist(), replies["totals"].to_pylist())])
+            return _rows(schema, [{"kind": STAT, "bucket": b, "stats": np.frombuffer(t, np.int64).tolist()} for b, t in zip(replies["bucket"].to_pylist(), replies["totals"].to_pylist())])
         chunk, g = docs["chunk"][0].as_py(), Grams(docs, order)
-        given = sorted(zip(*(replies[c].to_pylist() for c in ("bucket", "totals", "flags"))))
-        total, owned, asked = ({} for _ in range(3))
-        for k in range(1, order + 1):
-            total[k], owned[k], asked[k] = _known(g, given, k, buckets)
-        del given
+        total, owned, asked, sent, _ = _known(g, _given(replies), order, buckets)
+        rows = []
+        for k in range(1, order + 1):  # what was not sent is counted here
+            rows.append({"kind": STAT, "bucket": k * buckets, "stats": np.frombuffer(_counted(np.delete(total[k], sent[k])), np.int64).tolist()})
         n_docs, size = len(g.lengths), len(g.doc)
         count = {k: np.append(total[k], 0)[g.of[k]] for k in total}  # -1: none
         known = np.bincount(g.doc, count[1] > 0, n_docs).astype(np.int64)
@@ -226,20 +271,17 @@ def _evaluate(order: int, buckets: int, key):
             classes += np.bincount((g.doc[hit[low]] * order + k - 1) * TRUSTED + c[low] - 1, minlength=len(classes))
             open_[hit] = False
         part = np.bincount(g.doc, part, n_docs)
-        rows, need_doc, need, base_at = [], [], [], 0
+        need_doc, need, base_at = [], [], 0
         for k, tokens in sorted(wanted, key=lambda x: x[0]):
-            of = g.of[k - 1][tokens - 1]
-            contexts, at = np.unique(of, return_inverse=True)
+            contexts, at = np.unique(g.of[k - 1][tokens - 1], return_inverse=True)
             need_doc.append(g.doc[tokens])
             need.append(at + base_at)
             base_at += len(contexts)
             rows += _context_rows(g, total, owned, asked, k, contexts, chunk, buckets)
         need_doc, need = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (need_doc, need))
-        need = need[np.argsort(need_doc, kind="stable")].astype(np.int32)
-        ends = np.cumsum(np.bincount(need_doc, minlength=n_docs))
-        classes = classes.reshape(n_docs, -1).tolist()
-        for d in range(n_docs):
-            rows.append({"kind": DOC, "chunk": chunk, "doc_id": g.ids[d], "held_out": g.held[d], "n_tokens": int(g.lengths[d]), "n_known": int(known[d]), "n_single": int(single[d]), "base": float(base[d]), "part": float(part[d]), "classes": classes[d], "asked": need[ends[d - 1] if d else 0 : ends[d]].tobytes()})
+        order_ = np.lexsort((need, need_doc))
+        numbers = np.concatenate([g.lengths, known, single, np.bincount(need_doc, minlength=n_docs), *classes.reshape(n_docs, -1).T, base.view(np.int64), part.view(np.int64)])
+        rows.append({"kind": DOCS, "chunk": chunk, "ids": g.ids, "held": g.held, "data": _zip(numbers), "asked": _zip(need[order_].astype(np.int32))})
         return _rows(schema, rows)
 
     return evaluate
@@ -319,12 +361,15 @@ def _finish(order: int, found: dict[int, np.ndarray], unknown: float, tokens: in
     def finish(docs: pa.Table, weights: pa.Table) -> pa.Table:
         given = [np.frombuffer(w) for _, w in sorted(zip(weights["bucket"].to_pylist(), weights["weights"].to_pylist()))]
         given = np.concatenate(given) if given else np.empty(0)
-        n, known, single = (docs[c].to_numpy() for c in ("n_tokens", "n_known", "n_single"))
-        classes = np.array(docs["classes"].to_pylist(), float).reshape(len(n), len(logs))
-        backoff = np.array([given[np.frombuffer(a, np.int32)].sum() for a in docs["asked"].to_pylist()], float)
-        score = docs["part"].to_numpy() + classes @ logs + backoff + (n - known) * unknown - single * (math.log10(tokens) if tokens else 0.0)
-        base = docs["base"].to_numpy() - n * math.log10(tokens + distinct + 1)
-        return pa.Table.from_arrays([docs["doc_id"], docs["held_out"], docs["n_tokens"], docs["n_known"], pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)], schema=schema)
+        ids, held = docs["ids"][0].as_py(), docs["held"][0].as_py()
+        numbers = _unzip(docs["data"][0].as_py(), np.int64).reshape(-1, len(ids))
+        n, known, single, many = numbers[:4]
+        classes, (base, part) = numbers[4:-2].T, numbers[-2:].view(np.float64)
+        asked = _unzip(docs["asked"][0].as_py(), np.int32)
+        backoff = np.bincount(np.repeat(np.arange(len(ids)), many), given[asked], len(ids))
+        score = part + classes @ logs + backoff + (n - known) * unknown - single * (math.log10(tokens) if tokens else 0.0)
+        base = base - n * math.log10(tokens + distinct + 1)
+        return pa.Table.from_arrays([pa.array(ids, key), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)], schema=schema)
 
     return finish
 
@@ -345,19 +390,21 @@ def scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk_chars: i
     chars = plain.agg(F.sum(F.length("text"))).first()[0]
     buckets = parts_for(chars, bucket_items * WORD_CHARS)
     chunks = plain.mapInArrow(_pack(chunk_chars, key), f"chunk long, ids array<{kind.simpleString()}>, held array<boolean>, lengths array<bigint>, texts binary")
-    answers = chunks.groupBy("chunk").applyInArrow(_send(order, buckets), "chunk long, bucket int, items binary, counts binary").groupBy("bucket").applyInArrow(_merge, ANSWERS)
-    out = f"doc_id {kind.simpleString()}, kind int, chunk long, bucket int, held_out boolean, n_tokens long, n_known long, n_single long, base double, part double, classes array<int>, asked binary, items binary, data binary"
-    found = kept(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_evaluate(order, buckets, key), out), "evaluated")
+    answers = chunks.groupBy("chunk").applyInArrow(_send(order, buckets), _SENT).groupBy("bucket").applyInArrow(_merge, ANSWERS)
+    for k in range(3, order + 1):
+        more = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_more(k, buckets), _SENT)
+        answers = answers.unionByName(more.groupBy("bucket").applyInArrow(_merge, ANSWERS))
+    found = kept(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_evaluate(order, buckets, key), f"ids array<{kind.simpleString()}>, {_KINDS}"), "evaluated")
 
     stats = {k: np.zeros(TRUSTED + 3, np.int64) for k in range(1, order + 1)}
-    numbers = F.col("data")
-    for r in found.where(F.col("kind") == STAT).select("bucket", numbers).toLocalIterator():  # one row of eight numbers per bucket
-        stats[r["bucket"] // buckets] += np.frombuffer(r["data"], np.int64)
+    level = F.expr(f"bucket DIV {buckets}").alias("level")
+    for r in found.where(F.col("kind") == STAT).groupBy(level).agg(*(F.sum(F.col("stats")[i]) for i in range(TRUSTED + 3))).collect():  # one row per level
+        stats[r[0]] += np.array(r[1:], np.int64)
     rates = {k: discounts(s[: TRUSTED + 1]) for k, s in stats.items()}
     distinct, tokens = (int(x) for x in stats[1][-2:])
     given = float((1 - rates[1]) @ (np.arange(1, CLASSES) * stats[1][:TRUSTED])) + HALF * float(distinct - stats[1][:TRUSTED].sum())
     unknown = math.log10(given / tokens) if tokens else 0.0
     weights = found.where(F.col("kind") == CONTEXT).select("chunk", "bucket", "items", "data", "asked").groupBy("bucket").applyInArrow(_weigh(order, buckets, rates, tokens), "chunk long, bucket int, weights binary")
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    rows = found.where(F.col("kind") == DOC).select("doc_id", "chunk", "held_out", "n_tokens", "n_known", "n_single", "base", "part", "classes", "asked")
+    rows = found.where(F.col("kind") == DOCS).select("chunk", "ids", "held", "data", "asked")
     return rows.groupBy("chunk").cogroup(weights.groupBy("chunk")).applyInArrow(_finish(order, rates, unknown, tokens, distinct, key), schema)
