@@ -1,10 +1,9 @@
 """Book accounting: what the targets would have earned, for any number of trials in one job.
 
-The heavy part is declarative. Down each (trial, ticker) - one exchange, one sort order - windows find
-the fill a holding dates from (its segment), the target taken then, and its growth since. A date's
-holdings then collapse to one row per (trial, session, segment) by a combining aggregate. Only that
-small table (sessions x trials, plus a row per halted segment) goes through pandas, one group per
-trial, because equity at a fill depends on equity at earlier fills.
+Down each (trial, ticker) - one exchange, one sort order - windows find the fill a holding dates from (its
+segment), the target taken then, and its growth since. A date's holdings then collapse to one row per
+(trial, session, segment) by a combining aggregate. Equity at a session depends on equity at earlier fills,
+linearly, so blocks of sessions are worked out as linear forms side by side and then chained.
 
 Units: a holding is ``target x growth`` in units of the equity at its own fill; ``equity`` ignores
 costs, which are subtracted from returns but never change weights.
@@ -15,8 +14,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,42 +141,125 @@ def segment_sums(holdings: DataFrame, by: Sequence[str] = TRIAL) -> DataFrame:
     )
 
 
-def equity_path(sums: DataFrame, by: Sequence[str] = TRIAL) -> DataFrame:
-    """(by, pos, date, equity, pnl, gross, short, ruined), one group of sessions per trial.
+#: Sessions whose equity is worked out together, as a function of the equity at earlier sessions.
+BLOCK_SESSIONS = 128
+_FLOWS = ("gain", "gross", "short")
 
-    A session that loses the whole book or more is marked and leaves equity where it was: weights are
-    not rescaled on it.
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def _block_forms(block: str = "_days") -> Column:
+    """For each session of a block: equity, and its change into the next session, as linear forms of the block's inputs.
+
+    Equity obeys E[t] = E[t-1] + sum over segments s of gain[t-1, s] * E[s]. The inputs are the equity of the block's first
+    session and that at the older fills from which its holdings date (``_ext``); a form is an array of coefficients.
     """
-    keys = list(by)
-    fields = [sums.schema[c] for c in (*keys, "pos", "date")]
-    schema = T.StructType(
-        fields
-        + [T.StructField(c, T.DoubleType()) for c in ("equity", "pnl", "gross", "short")]
-        + [T.StructField("ruined", T.BooleanType())]
+    pos = F.transform(block, lambda day: day["pos"])
+    width = F.size("_ext") + 1
+    unit = lambda i: F.transform(F.sequence(F.lit(0), width - 1), lambda j: (j == i).cast("double"))
+
+    def step(done: Column, day: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        moved = F.zip_with(last["e"], last["gain"], lambda x, y: x + y)
+        equity = F.when(F.size(done) == 0, unit(F.lit(0))).when(day["still"], last["e"]).otherwise(moved)
+
+        def day_of(e: Column) -> Column:
+            def form(s: Column) -> Column:
+                inside = F.get(done, F.array_position(pos, s).cast("int") - 1)["e"]
+                return F.when(s == day["pos"], e).when(s >= pos[0], inside).otherwise(unit(F.array_position("_ext", s)))
+
+            add = lambda v, t: F.zip_with(v, form(t["segment"]), lambda x, y: x + t["gain"] * y)
+            none = F.array_repeat(F.lit(0.0), width)
+            return F.struct(e.alias("e"), F.aggregate(day["terms"], none, add).alias("gain"))
+
+        return F.concat(done, F.array(_let(equity, day_of)))
+
+    return F.aggregate(block, F.array().cast("array<struct<e:array<double>,gain:array<double>>>"), step)
+
+
+def _block_inputs(blocks: str = "_blocks") -> Column:
+    """The values of each block's inputs, and the return into its first session, block after block."""
+    referred = F.array_distinct(F.flatten(F.transform(blocks, lambda b: b["ext"])))
+
+    def step(state: Column, b: Column) -> Column:
+        first = F.size(state["out"]) == 0
+        e = F.when(first, 1.0).when(b["days"][0]["still"], state["e"]).otherwise(state["e"] + state["gain"])
+        pnl = F.when(first, 0.0).otherwise(F.try_divide(state["gain"], state["e"]))
+
+        def passed(values: Column) -> Column:
+            last = F.element_at(b["forms"], -1)
+            zipped = F.arrays_zip(b["days"].alias("day"), b["forms"].alias("form"))
+            later = F.filter(zipped, lambda z: F.array_contains(referred, z["day"]["pos"]))
+            fills = F.map_from_entries(F.transform(later, lambda z: F.struct(z["day"]["pos"], _dot(z["form"]["e"], values))))
+            return F.struct(
+                _dot(last["e"], values).alias("e"),
+                _dot(last["gain"], values).alias("gain"),
+                F.map_concat(state["known"], fills).alias("known"),
+                F.concat(state["out"], F.array(F.struct(values.alias("values"), pnl.alias("pnl")))).alias("out"),
+            )
+
+        return _let(F.concat(F.array(e), F.transform(b["ext"], lambda s: F.try_element_at(state["known"], s))), passed)
+
+    start = F.struct(
+        F.lit(1.0).alias("e"),
+        F.lit(0.0).alias("gain"),
+        F.create_map().cast("map<int,double>").alias("known"),
+        F.array().cast("array<struct<values:array<double>,pnl:double>>").alias("out"),
     )
+    return F.aggregate(blocks, start, step, lambda state: state["out"])
 
-    def one_trial(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        days = pdf.drop_duplicates("pos")[[*keys, "pos", "date"]].reset_index(drop=True)
-        index = {p: i for i, p in enumerate(days["pos"])}
-        at = pdf["pos"].map(index).to_numpy()
-        live = pdf["segment"].notna().to_numpy()
-        origin = np.where(live, pdf["segment"].map(index).fillna(0), 0).astype(int)
-        bounds = np.searchsorted(at, np.arange(len(days) + 1))
-        columns = {c: np.where(live, pdf[c].to_numpy(dtype=float), 0.0) for c in ("gross", "short", "gain")}
-        equity, pnl = np.ones(len(days)), np.zeros(len(days))
-        out = {c: np.zeros(len(days)) for c in columns}
-        for t in range(len(days)):
-            if t:
-                pnl[t] = out["gain"][t - 1]
-                equity[t] = equity[t - 1] * (1 + pnl[t]) if pnl[t] > -1 else equity[t - 1]
-            rows = slice(bounds[t], bounds[t + 1])
-            per_unit = equity[origin[rows]] / equity[t]
-            for c, values in columns.items():
-                out[c][t] = values[rows] @ per_unit
-        return days.assign(equity=equity, pnl=pnl, gross=out["gross"], short=out["short"], ruined=pnl <= -1)
-
-    return sums.groupBy(*keys).applyInPandas(one_trial, schema)
+
+def equity_path(sums: DataFrame, by: Sequence[str] = TRIAL, frozen: DataFrame | None = None) -> DataFrame:
+    """(by, pos, date, equity, pnl, gross, short, ruined), a scan over blocks of sessions.
+
+    A block's sessions become linear forms of its inputs, whatever those will be: blocks are independent tasks, also those
+    of one trial. Then each trial's blocks, one small row each, pass their values on, and the forms are applied. A
+    session that loses the whole book or more is marked; equity stays where it was on the sessions of ``frozen``
+    (by, pos), where weights are not rescaled. Sessions after a loss that is not frozen mean nothing.
+    """
+    keys = list(by)
+    rows = sums.withColumn("_block", F.expr(f"pos DIV {BLOCK_SESSIONS}"))
+    if frozen is not None:
+        rows = rows.join(frozen.withColumn("_still", F.lit(True)), [*keys, "pos"], "left")
+    still = F.coalesce(F.max("_still"), F.lit(False)) if frozen is not None else F.lit(False)
+    live = F.when(F.col("segment").isNotNull(), F.struct(F.col("segment").cast("int").alias("segment"), *_FLOWS))
+    # of one session as many terms as fills that holdings still date from
+    days = (
+        rows.repartition(*keys, "_block")
+        .groupBy(*keys, "_block", "pos", "date")
+        .agg(still.alias("still"), F.sort_array(F.collect_list(live)).alias("terms"))
+    )
+    day = F.struct(F.col("pos").cast("int").alias("pos"), "date", "still", "terms")
+    blocks = days.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(day)).alias("_days"))
+    older = F.flatten(F.transform("_days", lambda d: F.transform(F.filter(d["terms"], lambda t: t["segment"] < F.col("_days")[0]["pos"]), lambda t: t["segment"])))
+    blocks = blocks.withColumn("_ext", F.array_sort(F.array_distinct(older)))
+    blocks = blocks.withColumn("_b", F.struct("_block", F.col("_ext").alias("ext"), F.col("_days").alias("days"), _block_forms().alias("forms")))
+    trials = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list("_b")).alias("_blocks"))
+    solved = trials.select(*keys, F.inline(F.arrays_zip(F.col("_blocks").alias("b"), _block_inputs().alias("given"))))
+    b, given = F.col("b"), F.col("given")
+    solved = solved.withColumn("_pos", F.transform(b["days"], lambda d: d["pos"]))
+    solved = solved.withColumn("_e", F.transform(b["forms"], lambda form: _dot(form["e"], given["values"])))
+
+    def equity_at(s: Column) -> Column:
+        return F.when(s >= F.col("_pos")[0], F.get("_e", F.array_position("_pos", s).cast("int") - 1)).otherwise(F.get(given["values"], F.array_position(b["ext"], s).cast("int")))
+
+    def session(day: Column, i: Column) -> Column:
+        equity = F.get("_e", i)
+        share = lambda flow: F.aggregate(day["terms"], F.lit(0.0), lambda total, t: total + t[flow] * equity_at(t["segment"]))
+        return F.struct(day["pos"].alias("pos"), day["date"].alias("date"), equity.alias("equity"), *[F.try_divide(share(c), equity).alias(c) for c in _FLOWS])
+
+    solved = solved.select(*keys, given["pnl"].alias("_pnl"), F.transform(b["days"], session).alias("_out"))
+    into = lambda i: F.when(i == 0, F.col("_pnl")).otherwise(F.get("_out", i - 1)["gain"])
+    kept = lambda x, i: F.struct(*[x[c].alias(c) for c in ("pos", "date", "equity")], into(i).alias("pnl"), *[x[c].alias(c) for c in ("gross", "short")])
+    out = solved.select(*keys, F.inline(F.transform("_out", kept)))
+    return out.withColumns({"pos": F.col("pos").cast(sums.schema["pos"].dataType), "ruined": F.coalesce(F.col("pnl") <= -1, F.lit(False))})
 
 
 def turnover(holdings: DataFrame, path: DataFrame, by: Sequence[str] = TRIAL) -> DataFrame:
@@ -232,7 +312,7 @@ def run_book(targets: DataFrame, config: BookConfig = BookConfig(), by: Sequence
         holdings = with_holdings(targets, config.execution_lag, by, frozen).select(*by, *HOLDING_COLUMNS, *extra)
         # read again for turnover and weights: kept, so the targets are not computed twice
         holdings = holdings.persist(StorageLevel.MEMORY_AND_DISK)
-        path = equity_path(segment_sums(holdings, by), by).persist(StorageLevel.MEMORY_AND_DISK)
+        path = equity_path(segment_sums(holdings, by), by, frozen).persist(StorageLevel.MEMORY_AND_DISK)
         ruin = path.where("ruined")
         if frozen is not None:
             ruin = ruin.join(frozen, [*by, "pos"], "left_anti")

@@ -240,3 +240,84 @@ def objective_scores(df: DataFrame, objective: str, by: Sequence[str], ppy: int
         return out.select(*by, calmar(F.col("_annual"), F.col("_worst")).alias("score"))
     expr = {"sharpe": sharpe_ratio, "sortino": sortino_ratio, "annualised_return": annualised_return}[objective]
     return df.groupBy(*by).agg(expr(r, ppy).alias("score"))
+
+
+# -- objectives from parts ------------------------------------------------------------------------
+#: What is known of a stretch of sessions: rows, returns, their mean and squared deviations, squares of losses, growth;
+#: of its equity path the highest and lowest value, start included, and the worst drawdown.
+SUMMARY = ("rows", "n", "mean", "m2", "loss2", "growth", "high", "low", "worst")
+
+
+def block_summary(r: str) -> Column:
+    """An aggregate: all of a summary but the path."""
+    n = F.count(r)
+    return F.struct(
+        F.count(F.lit(1)).alias("rows"),
+        n.alias("n"),
+        F.coalesce(F.avg(r), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop(r) * n, F.lit(0.0)).alias("m2"),
+        F.coalesce(F.sum(F.pow(F.least(F.col(r), F.lit(0.0)), F.lit(2.0))), F.lit(0.0)).alias("loss2"),
+        growth(r).alias("growth"),
+    )
+
+
+def with_path(summary: Column, returns: Column) -> Column:
+    """The summary with the extremes of the path of ``returns``, in their order."""
+    start = F.struct(*[F.lit(1.0).alias(c) for c in ("value", "high", "low")], F.lit(0.0).alias("worst"))
+
+    def step(s: Column, x: Column) -> Column:
+        value = s["value"] * (1 + F.coalesce(x, F.lit(0.0)))
+        high = F.greatest(s["high"], value)
+        return F.struct(value.alias("value"), high.alias("high"), F.least(s["low"], value).alias("low"), F.least(s["worst"], value / high - 1).alias("worst"))
+
+    parts = lambda s: F.struct(*[summary[c].alias(c) for c in SUMMARY[:6]], *[s[c].alias(c) for c in SUMMARY[6:]])
+    return F.aggregate(returns, start, step, parts)
+
+
+def merged_summary(a: Column, b: Column) -> Column:
+    """The summary of a stretch followed by another: an associative operation."""
+    n = a["n"] + b["n"]
+    share = F.coalesce(F.try_divide(b["n"].cast("double"), n.cast("double")), F.lit(0.0))
+    apart = b["mean"] - a["mean"]
+    return F.struct(
+        (a["rows"] + b["rows"]).alias("rows"),
+        n.alias("n"),
+        (a["mean"] + apart * share).alias("mean"),
+        (a["m2"] + b["m2"] + apart * apart * share * a["n"]).alias("m2"),
+        (a["loss2"] + b["loss2"]).alias("loss2"),
+        (a["growth"] * b["growth"]).alias("growth"),
+        F.greatest(a["high"], a["growth"] * b["high"]).alias("high"),
+        F.least(a["low"], a["growth"] * b["low"]).alias("low"),
+        # x / max(p, q) is the lesser of x / p and x / q
+        F.least(a["worst"], b["worst"], a["growth"] * b["low"] / a["high"] - 1).alias("worst"),
+    )
+
+
+def _nothing() -> Column:
+    zero = {"rows": F.lit(0).cast("bigint"), "n": F.lit(0).cast("bigint"), "growth": F.lit(1.0), "high": F.lit(1.0), "low": F.lit(1.0)}
+    return F.struct(*[zero.get(c, F.lit(0.0)).alias(c) for c in SUMMARY])
+
+
+def merged_summaries(summaries: Column) -> Column:
+    return F.aggregate(summaries, _nothing(), merged_summary)
+
+
+def running_summaries(summaries: Column) -> Column:
+    """The summaries of all beginnings of a history."""
+    add = lambda done, s: F.concat(done, F.array(merged_summary(F.coalesce(F.try_element_at(done, F.lit(-1)), _nothing()), s)))
+    kinds = ",".join(f"{c}:{'bigint' if c in ('rows', 'n') else 'double'}" for c in SUMMARY)
+    return F.aggregate(summaries, F.array().cast(f"array<struct<{kinds}>>"), add)
+
+
+def summary_objective(s: Column, objective: str, ppy: int = 252) -> Column:
+    """An objective of the stretch that ``s`` sums up; null where it is undefined."""
+    if objective not in OBJECTIVES:
+        raise ValueError(f"objective must be one of {sorted(OBJECTIVES)}")
+    n = s["n"].cast("double")
+    mean = F.when(s["n"] > 0, s["mean"])
+    if objective == "sharpe":
+        return _mean_over(mean, F.when(s["n"] > 1, F.sqrt(F.try_divide(s["m2"], n - 1))), ppy)
+    if objective == "sortino":
+        return _mean_over(mean, F.sqrt(F.try_divide(s["loss2"], n)), ppy)
+    annual = F.when(s["rows"] > 0, F.when(s["growth"] > 0, F.pow(s["growth"], F.try_divide(F.lit(float(ppy)), s["rows"].cast("double"))) - 1).otherwise(-1.0))
+    return annual if objective == "annualised_return" else calmar(annual, s["worst"])

@@ -143,7 +143,7 @@ def training_rows(daily: DataFrame, span: Span) -> DataFrame:
     """daily x the folds whose training window holds the session.
 
     The folds of a session follow from arithmetic on ``pos``, so no range join is needed; each row is
-    repeated once per fold it trains.
+    repeated once per fold it trains. Scores of folds do not need this: see ``fold_scores``.
     """
     back = F.col("pos") - span.first - span.train  # sessions past the first test start
     low = F.greatest(F.floor(back / F.lit(span.test)) + 1, F.lit(0))
@@ -156,6 +156,52 @@ def training_rows(daily: DataFrame, span: Span) -> DataFrame:
     return rows.withColumn("fold", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
 
 
+def block_of(span: Span) -> tuple[Column, int]:
+    """The block of a session, and blocks per test window: every training and test window is a run of whole blocks.
+
+    Windows begin and end at multiples of ``test`` from the first session, or ``train`` sessions later.
+    """
+    back, cut = F.col("pos") - span.first, span.train % span.test
+    period = F.floor(back / F.lit(span.test))
+    if not cut:
+        return period.cast("int"), 1
+    return (period * 2 + (back % span.test >= cut).cast("int")).cast("int"), 2
+
+
+def block_summaries(daily: DataFrame, span: Span, by: Sequence[str] = ("trial",), r: str = "net") -> DataFrame:
+    """(by, block, summary): what any objective needs of a block of sessions, in a form that can be merged."""
+    rows = daily.where(F.col("pos") >= span.first).select(*by, "pos", block_of(span)[0].alias("block"), F.col(r).alias("_r"))
+    path = F.transform(F.sort_array(F.collect_list(F.struct("pos", "_r"))), lambda x: x["_r"])
+    out = rows.groupBy(*by, "block").agg(M.block_summary("_r").alias("_s"), path.alias("_path"))
+    return out.select(*by, "block", M.with_path(F.col("_s"), F.col("_path")).alias("summary"))
+
+
+def fold_scores(daily: DataFrame, span: Span, objective: str, ppy: int = 252) -> DataFrame:
+    """(trial, fold, score, oos_score): each fold's objective over its training and its test window.
+
+    Sessions are summed up once, by block; a trial's blocks are then merged in order, along the whole history for expanding
+    windows and window by window for rolling ones. No session is repeated for a fold.
+    """
+    per_test = block_of(span)[1]
+    blocks = block_summaries(daily, span).groupBy("trial").agg(F.sort_array(F.collect_list(F.struct("block", "summary"))).alias("_blocks"))
+    whole, odd = divmod(span.train, span.test)
+    train_blocks = whole * per_test + (1 if odd else 0)  # from the first session to the first test
+    blocks = blocks.withColumn("_all", F.transform("_blocks", lambda b: b["summary"]))
+    if span.expanding:
+        blocks = blocks.withColumn("_upto", M.running_summaries(F.col("_all")))
+    run = lambda start, length: M.merged_summaries(F.slice("_all", start + 1, length))
+
+    def one(f: Column) -> Column:
+        f = f.cast("int")
+        test = f * per_test + train_blocks
+        train = F.get("_upto", test - 1) if span.expanding else run(f * per_test, F.lit(train_blocks))
+        tested = run(test, F.least(F.lit(per_test), F.size("_all") - test))
+        return F.struct(f.cast("bigint").alias("fold"), M.summary_objective(train, objective, ppy).alias("score"), M.summary_objective(tested, objective, ppy).alias("oos_score"))
+
+    folds = F.transform(F.sequence(F.lit(0), F.lit(span.folds - 1)), one)
+    return blocks.select("trial", F.inline(folds))
+
+
 def test_rows(daily: DataFrame, span: Span) -> DataFrame:
     """daily rows inside a test window, with its fold."""
     start = span.first + span.train
@@ -168,7 +214,7 @@ def pick_in_sample(scores: DataFrame) -> DataFrame:
     """Per fold the trial with the best training score, lowest trial on ties; folds without one drop out."""
     order = Window.partitionBy("fold").orderBy(F.desc_nulls_last("score"), "trial")
     best = scores.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") == 1)
-    return best.where(F.col("score").isNotNull()).select("fold", "trial", F.col("score").alias("is_score"))
+    return best.where(F.col("score").isNotNull()).withColumnRenamed("score", "is_score").drop("_nth")
 
 
 def stitched(daily: DataFrame, picks: DataFrame, span: Span) -> DataFrame:
@@ -178,11 +224,9 @@ def stitched(daily: DataFrame, picks: DataFrame, span: Span) -> DataFrame:
 
 def walk_forward(daily: DataFrame, span: Span, objective: str = "sharpe", ppy: int = 252) -> tuple[DataFrame, DataFrame]:
     """(folds table, stitched out-of-sample rows). Trials were simulated once over the whole history."""
-    scores = M.objective_scores(training_rows(daily, span), objective, ["fold", "trial"], ppy)
-    picks = pick_in_sample(scores)
+    picks = pick_in_sample(fold_scores(daily, span, objective, ppy))
     oos = stitched(daily, picks, span)
-    tested = M.objective_scores(oos, objective, ["fold", "trial"], ppy).withColumnRenamed("score", "oos_score")
-    folds = fold_table(daily.sparkSession, span).join(picks, "fold").join(tested, ["fold", "trial"], "left")
+    folds = fold_table(daily.sparkSession, span).join(picks, "fold")
     return folds.select("fold", "train_start", "test_start", "test_end", "trial", "is_score", "oos_score"), oos
 
 

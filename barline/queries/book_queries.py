@@ -206,12 +206,12 @@ def flagged(source: str, freq: str) -> str:
 
 
 # the strategy of the book queries: equal weights, monthly decisions
-def book_ctes(lag: int = 1) -> list[str]:
+def book_ctes(lag: int = 1, lever: int = 1) -> list[str]:
     base = SCORED + leg_ctes("scored") + weight_ctes("1::DOUBLE", 0.5, 0.1)
     base = [c.replace("weighted AS", "unflagged AS", 1) if c.startswith("weighted AS") else c for c in base]
     return base + [
         FLAGS_SQL,
-        "weighted AS (SELECT u.*, 0 AS trial, f.monthly AS go FROM unflagged u JOIN flags f ON f.date = u.date)",
+        f"weighted AS (SELECT u.* REPLACE (u.weight * {lever} AS weight), 0 AS trial, f.monthly AS go FROM unflagged u JOIN flags f ON f.date = u.date)",
     ] + walk_ctes(lag) + [
         "gross AS (SELECT trial, pos, date, w, pnl, turnover, list_sum(list_transform(w, lambda q: abs(q))) AS gross, "
         "list_sum(list_transform(w, lambda q: greatest(-q, 0))) AS short FROM walk WHERE pos >= 0)",
@@ -239,6 +239,18 @@ def book_accounting(spark, sf):
     return emit(book(spark, sf).daily, "date", "pnl", "turnover", "gross", "short")
 
 
+LEVER = 40  # so much that the worst sessions of the test tables lose more than the book
+
+
+@query(
+    "a07_ruin_guard",
+    recursive(book_ctes(lever=LEVER), f"SELECT {d('date')}, {r('pnl')}, {r('turnover')}, {r('gross')}, {n('pnl <= -1', 'ruined')} FROM gross"),
+)
+def ruin_guard(spark, sf):
+    levered = targets(spark, sf).withColumn("weight", F.col("weight") * LEVER)
+    return emit(bk.run_book(levered, CONFIG).daily, "date", "pnl", "turnover", "gross", "ruined")
+
+
 @query(
     "a03_same_close_fill",
     recursive(book_ctes(0), f"SELECT {d('date')}, {r('pnl')}, {r('turnover')}, {r('gross')}, {r('short')} FROM gross"),

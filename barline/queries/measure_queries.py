@@ -437,8 +437,7 @@ walk("t13_objective_annualised_return", objective="annualised_return", score=GRO
 )
 def calmar_scores(spark, sf):
     daily = full_series(spark, sf)
-    rows = tuning.training_rows(daily, span_of(daily))
-    return emit(metrics.objective_scores(rows, "calmar", ["fold", "trial"], PPY), "fold", "trial", "score")
+    return emit(tuning.fold_scores(daily, span_of(daily), "calmar", PPY), "fold", "trial", "score")
 
 
 @query("t11_stitched_series", mk.sql(folds_ctes(), f"SELECT {n('fold')}, trial, {d('date')}, {r('net')} FROM oos"))
