@@ -72,8 +72,7 @@ def components(links: DataFrame) -> DataFrame:
     Links to oneself and repeated links are harmless. Tasks first contract the links they hold; the rounds end when
     every component is one star, after a number that grows with the logarithm of the longest chain of tasks.
     """
-    edges = links.where("a != b").select("a", "b").distinct()
-    edges = kept(edges.mapInArrow(_contract, "a long, b long"), "stars")
+    edges = kept(links.where("a != b").select("a", "b").mapInArrow(_contract, "a long, b long"), "stars")
     while not _is_forest(edges):
         edges = kept(_stars(_stars(edges, True), False).mapInArrow(_contract, "a long, b long"), "stars")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -340,21 +340,6 @@ def _named(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     return named.select(*members.columns, F.coalesce("component", "row_key").alias("component"))
 
 
-def _between(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """The classes that ``links`` join; a node in no class yet is one."""
-    for end in ("a", "b"):
-        named = classes.select(F.col("node").alias(end), F.col("component").alias("_class")).hint("merge")
-        links = links.join(named, end, "left").withColumn(end, F.coalesce("_class", end)).drop("_class")
-    return links
-
-
-def _moved(classes: DataFrame, moved: DataFrame) -> DataFrame:
-    """``classes`` after their heads moved to other components; heads that were no member of a class are added."""
-    heads = moved.select(F.col("node").alias("head"), F.col("component").alias("_to"))
-    old = classes.join(heads.hint("merge"), classes["component"] == heads["head"], "left").select("node", F.coalesce("_to", "component").alias("component"))
-    return old.unionByName(moved.join(classes.select("node").hint("merge"), "node", "left_anti"))
-
-
 def _dealt(members: DataFrame, classes: DataFrame | None, sides: DataFrame | None, turn: int) -> DataFrame:
     """Members of the ``n`` of buckets that hold several classes; with ``sides`` also their samples, dealt to blocks."""
     open_ = _named(members.select("bucket", "row_key"), classes)
@@ -417,10 +402,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
         new = kept(paired.mapInArrow(_verify(similarity), "a long, b long"), "links")
         none = new.isEmpty()
         if not none:
-            # classes and the links between them: what is inside a class is not walked again
-            between = new if classes is None else _between(new, classes)
-            moved = components(between)
-            classes = moved if classes is None else kept(_moved(classes, moved), "classes")
+            # what is linked so far is named by its classes: as many links as members, contracted by the tasks that read them
+            links = new if classes is None else new.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            classes = components(links)
         if last:
             break
         last = none
