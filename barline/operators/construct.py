@@ -9,10 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.crosssection import DATE, across, average_rank, median
 from ..functions.elementwise import as_column, div
@@ -48,33 +46,42 @@ def one_sided_positions(df: DataFrame, enter: Column, leave: Column, by=TICKER,
     return df.withColumn(out, F.coalesce(F.last(event, ignorenulls=True).over(so_far), F.lit(0)))
 
 
+#: Sessions of a ticker whose maps are composed together.
+BLOCK_SESSIONS = 256
+
+
+def _steps(days: str) -> Column:
+    """For each session of a block: the side at its close for each side before the block (-1, 0, 1)."""
+
+    def step(done: Column, day: Column) -> Column:
+        before = F.coalesce(F.try_element_at(done, F.lit(-1)), F.array(*[F.lit(side) for side in (-1, 0, 1)]))
+        after = lambda side: F.when((side == 1) & day["hold_long"], 1).when((side == -1) & day["hold_short"], -1).otherwise(day["entry"])
+        return F.concat(done, F.array(F.transform(before, after)))
+
+    return F.aggregate(days, F.array().cast("array<array<int>>"), step)
+
+
 def two_sided_positions(
     df: DataFrame, enter_long: str, exit_long: str, enter_short: str, exit_short: str, by=TICKER, mask="mask", out="side"
 ) -> DataFrame:
     """-1 / 0 / 1 per session from four condition columns (already false outside the universe).
 
     A held side survives until its own exit or the loss of membership; whoever is flat after that
-    takes the day's entry, long before short. What a day does depends on the side held, so each
-    ticker's sessions are walked once; a group is one ticker.
+    takes the day's entry, long before short. So a session maps the side before it to the side after, and
+    such maps compose: inside blocks of sessions for all three sides before the block, then from block to block.
     """
-
-    def one_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        entry = pdf[enter_long].astype(int) - (pdf[enter_short] & ~pdf[enter_long]).astype(int)
-        released = {
-            1: (pdf[exit_long] | ~pdf[mask]).to_numpy(),
-            -1: (pdf[exit_short] | ~pdf[mask]).to_numpy(),
-        }
-        sides, held = [], 0
-        for day, fresh in enumerate(entry.to_numpy()):
-            if held == 0 or released[held][day]:
-                held = int(fresh)
-            sides.append(held)
-        pdf[out] = sides
-        return pdf
-
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.IntegerType())])
-    return df.groupBy(*by).applyInPandas(one_ticker, schema)
+    entry = F.when(F.col(enter_long), 1).when(F.col(enter_short), -1).otherwise(0)
+    day = F.struct("pos", entry.alias("entry"), (F.col(mask) & ~F.col(exit_long)).alias("hold_long"), (F.col(mask) & ~F.col(exit_short)).alias("hold_short"), F.struct(*df.columns).alias("row"))
+    rows = df.withColumn("_block", F.expr(f"pos DIV {BLOCK_SESSIONS}"))
+    blocks = rows.groupBy(*by, "_block").agg(F.array_sort(F.collect_list(day), lambda x, y: (x["pos"] - y["pos"]).cast("int")).alias("_days"))
+    blocks = blocks.withColumn("_steps", _steps("_days"))
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # one map of three sides per earlier block
+    passed = F.collect_list(F.element_at("_steps", -1)).over(earlier)
+    start = F.aggregate(passed, F.lit(0), lambda side, block: F.get(block, side + 1))
+    blocks = blocks.withColumn("_start", start)
+    whole = F.transform("_days", lambda d, i: F.struct(*[d["row"][c].alias(c) for c in df.columns], F.get(F.get("_steps", i), F.col("_start") + 1).alias(out)))
+    return blocks.select(F.inline(whole))
 
 
 def with_rule_legs(df: DataFrame, side: str = "side") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as el
+from ..functions.timeseries import down
 from ..operators import construct, metrics, overlay, tuning
 from ..operators import panel as P
 from ..operators.book import Book, BookConfig, book_benchmark, equal_weight_benchmark, knob, run_book, with_flags
@@ -93,14 +95,34 @@ def trial_frame(panel: DataFrame, rows: list[dict]) -> DataFrame:
     return panel.sparkSession.createDataFrame(data, layout)
 
 
+#: So many signal settings are columns side by side; beyond, they are read from one array of a column's past.
+SIDE_BY_SIDE = 8
+
+
+def _from_history(panel: DataFrame, strategy: Strategy, rows: list[dict], keep: Sequence[str]) -> DataFrame:
+    """The trials' signals as one transformation over a constant array of settings: the plan doesn't grow with them."""
+    h = strategy.history
+    reach = max(h.reach(r) for r in rows)
+    past = F.collect_list(F.struct(F.col(h.column).cast("double").alias("x"))).over(down(("ticker",)).rowsBetween(-reach, 0))
+    knobs = list(strategy.signal_knobs)
+    kind = "array<struct<trial:bigint," + ",".join(f"`{n}`:double" for n in knobs) + ">>"
+    settings = F.from_json(F.lit(json.dumps([{"trial": r["trial"], **{n: float(r[n]) for n in knobs}} for r in rows])), kind)
+    ago = lambda n: F.try_element_at(F.col("_past"), -(n + 1))["x"]
+    trial = lambda s: F.struct(s["trial"].alias("trial"), h.value(ago, s).alias("raw"))
+    return panel.withColumn("_past", past).select(*keep, F.inline(F.transform(settings, trial)))
+
+
 def fan_out_trials(panel: DataFrame, strategy: Strategy, rows: list[dict], keep: Sequence[str]) -> DataFrame:
     """One row per (panel row, trial) with the trial's raw signal and rule conditions.
 
     Windows are evaluated once per distinct signal setting, side by side; the trials are then unfolded
-    from an array, so the panel is scanned once however many trials there are.
+    from an array, so the panel is scanned once however many trials there are. Many settings of a signal
+    that is known as a function of one column's past are read from an array of that past.
     """
     setting = lambda r: tuple(r[k] for k in strategy.signal_knobs)
     variants = {setting(r): r for r in rows}
+    if strategy.history is not None and strategy.rules is None and len(variants) > SIDE_BY_SIDE:
+        return _from_history(panel, strategy, rows, keep)
     if strategy.prepare is not None:
         panel = strategy.prepare(panel, list(variants.values()))
     columns: dict[str, Column] = {}

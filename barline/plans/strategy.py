@@ -34,6 +34,19 @@ class Rules:
             raise ValueError("rules need an entry for at least one side")
 
 
+@dataclass(frozen=True)
+class History:
+    """A signal as a function of one column's past, for any number of settings: an array read per row, not a column each.
+
+    ``value(ago, knobs)`` builds the signal from ``ago(n)``, the column ``n`` sessions back, and a struct of knobs;
+    ``reach`` says how many sessions back a setting looks.
+    """
+
+    column: str
+    reach: Callable[[Knobs], int]
+    value: Callable[[Callable[[Column], Column], Column], Column]
+
+
 @dataclass(frozen=True)
 class Strategy:
     name: str
@@ -42,6 +55,7 @@ class Strategy:
     signal_knobs: Sequence[str] = ()
     finish: Callable[[Column, Sequence[str]], Column] = lambda x, by: x
     prepare: Callable[[DataFrame, Sequence[Knobs]], DataFrame] | None = None
+    history: History | None = None  # the same signal as ``raw``
     rules: Rules | None = None
     direction: str = "long_short"
     weighting: str = "equal"
@@ -67,10 +81,15 @@ def momentum(lookback: int = 120, skip: int = 5, top_quantile: float = 0.2, **ch
         near, far = int(round(k["skip"])), int(round(k["skip"] + k["lookback"]))
         return el.div(ts.ts_delay(F.col("close"), near), ts.ts_delay(F.col("close"), far)) - 1.0
 
+    def from_history(ago, k: Column) -> Column:
+        near, far = (F.bround(n, 0).cast("int") for n in (k["skip"], k["skip"] + k["lookback"]))
+        return el.div(ago(near), ago(far)) - 1.0
+
     settings = dict(
         name="trailing_return_rank",
         knobs={"lookback": lookback, "skip": skip, "top_quantile": top_quantile},
         raw=raw,
+        history=History("close", lambda k: max(el.window_size(k["skip"]), el.window_size(k["skip"] + k["lookback"])), from_history),
         signal_knobs=("lookback", "skip"),
         finish=lambda x, by: xs.rank(x, by),
         long_quantile="top_quantile",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crosssection as xs
 from ..functions import elementwise as el
-from ..functions import recursive
+from ..functions import recursive, sliding
 from ..functions import timeseries as ts
 from . import market as mk
 from .registry import d, emit, n, query, r
@@ -39,27 +39,30 @@ rolling("w02_ts_std", lambda: ts.ts_std(F.col(RET), 6), whole("stddev_samp(retur
 rolling("w03_ts_sum", lambda: ts.ts_sum(F.col("volume"), 4), whole("sum(volume) OVER {w}", "volume", 4))
 rolling("w04_ts_min", lambda: ts.ts_min(F.col(CLOSE), 5), whole("min(close) OVER {w}", CLOSE, 5))
 rolling("w05_ts_max", lambda: ts.ts_max(F.col(CLOSE), 5), whole("max(close) OVER {w}", CLOSE, 5))
-rolling("w06_ts_median", lambda: ts.ts_median(F.col(RET), 8), whole("quantile_cont(returns, 0.5) OVER {w}", RET, 8))
-rolling(
-    "w07_ts_rank",
-    lambda: ts.ts_rank(F.col(CLOSE), 5),
-    whole(
-        "(len(list_filter(list(close) OVER {w}, lambda y: y < close)) + "
-        "(len(list_filter(list(close) OVER {w}, lambda y: y = close)) + 1) / 2) / 5.0::DOUBLE",
-        CLOSE,
-        5,
-    ),
-)
-rolling(
-    "w07_ts_rank_of_returns_long_window",
-    lambda: ts.ts_rank(F.col(RET), 52),
-    whole(
-        "(len(list_filter(list(returns) OVER {w}, lambda y: y < returns)) + "
-        "(len(list_filter(list(returns) OVER {w}, lambda y: y = returns)) + 1) / 2) / 52.0::DOUBLE",
-        RET,
-        52,
-    ),
-)
+
+
+def ordered(name: str, kind: str, column: str, size: int, sql_expr: str):
+    """Register a sliding order statistic of one column."""
+
+    @query(name, mk.sql(PANEL, f"SELECT {KEY}, {r(whole(sql_expr, column, size), 'value')} FROM panel"))
+    def run(spark, sf):
+        grid = mk.panel(spark, sf).select("date", "pos", "ticker", column)
+        return emit(sliding.with_order_statistics(grid, {"value": (kind, column, size)}), "date", "ticker", "value")
+
+    return run
+
+
+def placed(column: str, size: int) -> str:
+    return (
+        f"(len(list_filter(list({column}) OVER {{w}}, lambda y: y < {column})) + "
+        f"(len(list_filter(list({column}) OVER {{w}}, lambda y: y = {column})) + 1) / 2) / {size}.0::DOUBLE"
+    )
+
+
+ordered("w06_ts_median", "median", RET, 8, "quantile_cont(returns, 0.5) OVER {w}")
+ordered("w06_ts_median_long_window", "median", RET, 104, "quantile_cont(returns, 0.5) OVER {w}")
+ordered("w07_ts_rank", "rank", CLOSE, 5, placed(CLOSE, 5))
+ordered("w07_ts_rank_of_returns_long_window", "rank", RET, 52, placed(RET, 52))
 rolling(
     "w08_ts_zscore",
     lambda: ts.ts_zscore(F.col(CLOSE), 6),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barline.operators import book as bk
 from barline.operators import construct, overlay
+from barline.plans import backtest
 from barline.plans.backtest import run_backtest, run_sweep, run_walk_forward
 from barline.plans.strategy import Rules, dip_buyer, momentum
 from barline.functions import elementwise as el
@@ -361,3 +364,80 @@ def test_grids_of_a_sweep():
     assert [c for c in whole if c in some] == some
     with pytest.raises(ValueError, match="no values"):
         grid_overrides(plan, {"skip": []})
+
+
+# -- scans over blocks of sessions ----------------------------------------------------------------
+@pytest.mark.parametrize("size", [1, 4, 128])
+def test_equity_scan_equals_a_walk_of_days(spark, monkeypatch, size):
+    monkeypatch.setattr(bk, "BLOCK_SESSIONS", size)
+    g = np.random.default_rng(3)
+    rows, still = [], {(1, 13), (1, 14), (1, 16)}
+    for trial in (0, 1):
+        fills = []
+        for t in range(5, 60):
+            fills += [t] * (t % 5 == 2)
+            open_ = fills[-1:] + [f for f in fills[:-1] if g.random() < 0.2]
+            rows += [(trial, t, s, float(g.random()), float(g.random()), float(g.normal(0, 0.2))) for s in open_] or [(trial, t, None, 0.0, 0.0, 0.0)]
+    sums = spark.createDataFrame(rows, "trial long, pos int, segment int, gross double, short double, gain double").withColumn("date", F.expr("date_add(date'2024-01-01', pos)"))
+    frozen = spark.createDataFrame(sorted(still), "trial long, pos int")
+    got = {(r["trial"], r["pos"]): r for r in bk.equity_path(sums, frozen=frozen).collect()}
+    assert len(got) == 110
+    for trial in (0, 1):
+        equity, gain = {}, 0.0
+        for t in range(5, 60):
+            before = equity.get(t - 1, 1.0)
+            pnl = gain / before
+            equity[t] = before if (trial, t) in still else before + gain
+            own = [r for r in rows if r[:2] == (trial, t) and r[2] is not None]
+            gain = sum(r[5] * equity[r[2]] for r in own)
+            row = got[trial, t]
+            assert row["equity"] == pytest.approx(equity[t], rel=1e-9) and row["pnl"] == pytest.approx(pnl, rel=1e-9, abs=1e-12)
+            assert row["gross"] == pytest.approx(sum(r[3] * equity[r[2]] for r in own) / equity[t], rel=1e-9)
+            assert row["short"] == pytest.approx(sum(r[4] * equity[r[2]] for r in own) / equity[t], rel=1e-9)
+            assert row["ruined"] == (pnl <= -1)
+
+
+def test_one_long_trial_uses_several_tasks(spark):
+    long = spark.range(2000).selectExpr("id DIV 1000000 AS trial", "CAST(id AS INT) AS pos", "date_add(date'2000-01-01', CAST(id AS INT)) AS date", "CAST(id - id % 20 AS INT) AS segment", "1D AS gross", "0D AS short", "0.001D AS gain")
+    path = bk.equity_path(long)
+    assert path.count() == 2000 and "Python" not in path._jdf.queryExecution().executedPlan().toString()
+    days = path._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [trial" in days and "_block" in days.split("RepartitionByExpression [trial")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("size", [1, 3, 256])
+def test_two_sided_positions_equal_a_walk(spark, monkeypatch, size):
+    monkeypatch.setattr(construct, "BLOCK_SESSIONS", size)
+    g = np.random.default_rng(size)
+    rows = [(t, p, *(bool(x) for x in g.random(5) < (0.95, 0.2, 0.2, 0.2, 0.2)), float(p)) for t in "ab" for p in range(40)]
+    df = spark.createDataFrame(rows, "ticker string, pos int, mask boolean, el boolean, xl boolean, es boolean, xs boolean, other double")
+    got = construct.two_sided_positions(df, "el", "xl", "es", "xs")
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {(r["ticker"], r["pos"]): r for r in got.collect()}
+    for t in "ab":
+        side = 0
+        for _, p, mask, enter_long, exit_long, enter_short, exit_short, other in rows[:40] if t == "a" else rows[40:]:
+            if side == 0 or not mask or (exit_long if side == 1 else exit_short):
+                side = 1 if enter_long else -1 if enter_short else 0
+            assert (got[t, p]["side"], got[t, p]["other"]) == (side, other)
+
+
+# -- many settings ------------------------------------------------------------------------------------
+def test_signals_from_one_array_equal_columns(market, monkeypatch):
+    overrides = [{"lookback": a, "skip": s} for a in (1, 5, 20, 33, 200) for s in (1, 2)]
+    plan = momentum()
+    rows = backtest.trial_rows(plan, overrides)
+    wide = backtest.fan_out_trials(market, plan, rows, ["ticker", "pos"])
+    monkeypatch.setattr(backtest, "SIDE_BY_SIDE", 100)
+    side = backtest.fan_out_trials(market, plan, rows, ["ticker", "pos"])
+    form = lambda df: {(r["trial"], r["ticker"], r["pos"]): r["raw"] for r in df.collect()}
+    assert form(wide) == form(side)
+
+
+def test_a_thousand_settings_plan_quickly(market):
+    overrides = [{"lookback": 10 + i, "skip": 1 + i % 7} for i in range(1000)]
+    begun = time.perf_counter()
+    rows = backtest.trial_rows(momentum(), overrides)
+    targets = backtest.build_targets(market, momentum(), rows, backtest.trial_frame(market, rows))
+    targets._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - begun < 30

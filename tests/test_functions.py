@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barline.functions import crosssection as xs
 from barline.functions import elementwise as el
-from barline.functions import recursive
+from barline.functions import recursive, sliding
 from barline.functions import timeseries as ts
 
 N = 40
@@ -184,3 +186,34 @@ def test_averages_equal_pandas_over_long_and_broken_histories(spark, n):
         got = out.where(F.col("ticker") == t).orderBy("pos").toPandas()
         np.testing.assert_allclose(got["e"].to_numpy(float), (s * scale).ewm(span=n, adjust=False, min_periods=n).mean(), rtol=1e-9)
         np.testing.assert_allclose(got["r"].to_numpy(float), (100 * rise / (rise + fall)).where(fall > 0), rtol=1e-6, atol=1e-6)
+
+
+@pytest.mark.parametrize("size", [4, 4096])
+def test_sliding_statistics_equal_windows(spark, monkeypatch, size):
+    monkeypatch.setattr(sliding, "BLOCK_SESSIONS", size)
+    g = np.random.default_rng(size)
+    rows = [(t, p, None if g.random() < 0.03 else round(float(g.normal()), 1), "kept") for t in "ab" for p in range(3, 90)]
+    df = spark.createDataFrame(rows, "ticker string, pos int, x double, other string").repartition(3)
+    wanted = {f"{kind}{n}": (kind, "x", n) for kind in ("median", "rank") for n in (2, 5, 20)} | {"median1": ("median", "x", 1)}
+    got = sliding.with_order_statistics(df, wanted)
+    windows = {"median": ts.ts_median, "rank": ts.ts_rank}
+    want = df.withColumns({name: windows[kind](F.col(x), n) for name, (kind, x, n) in wanted.items()})
+    a, b = (x.orderBy("ticker", "pos").toPandas() for x in (got, want))
+    assert list(a.columns) == list(b.columns)
+    pd.testing.assert_frame_equal(a, b, rtol=1e-12)
+    with pytest.raises(ValueError, match="window"):
+        sliding.with_order_statistics(df, {"y": ("rank", "x", 1)})
+
+
+def test_sliding_cost_does_not_grow_with_the_window():
+    x = np.random.default_rng(1).normal(size=20_000)
+
+    def took(n):
+        begun = time.perf_counter()
+        for kind in ("median", "rank"):
+            for _ in range(5):
+                sliding.slide(x, kind, n)
+        return time.perf_counter() - begun
+
+    took(20)
+    assert took(2520) < 3 * took(20)
