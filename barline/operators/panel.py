@@ -25,6 +25,7 @@ PANEL_COLUMNS = (
     "date", "pos", "ticker", "mask", "sector", "close", "raw_close", "returns", "open", "high", "low",
     "volume", "vwap", "dollar_volume", "adv20", "last_pos",
 )
+PLACES = ("date", "pos", "ticker", "mask", "sector", "raw_close", "last_pos")  # columns that are no field of a signal
 
 
 # -- selection ------------------------------------------------------------------

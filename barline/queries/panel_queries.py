@@ -171,8 +171,9 @@ def liquidity_floor(spark, sf):
     "p17_catalogue",
     mk.sql(
         mk.with_tables("membership", "fundamentals", "meta"),
-        "SELECT 'universe' AS kind, universe AS name FROM membership GROUP BY universe "
+        "SELECT 'universe' AS kind, universe AS name FROM membership GROUP BY universe UNION ALL SELECT 'universe', 'all' "
         "UNION ALL SELECT 'field', field FROM fundamentals GROUP BY field "
+        "UNION ALL SELECT 'field', unnest(['open', 'high', 'low', 'close', 'volume', 'returns', 'vwap', 'dollar_volume', 'adv20']) "
         "UNION ALL SELECT 'group', 'sector' WHERE (SELECT count(sector) FROM meta) > 0",
     ),
 )
@@ -181,8 +182,7 @@ def catalogue(spark, sf):
     wh.write("membership", mk.membership(spark, sf))
     wh.write("fundamentals", mk.fundamentals(spark, sf))
     wh.write("meta", mk.meta(spark, sf))
-    found = [("universe", n) for n in wh.universes() if n != "all"] + [("field", n) for n in wh.fundamental_fields()]
-    return spark.createDataFrame(found + [("group", n) for n in wh.groups()], "kind string, name string")
+    return wh.catalogue()
 
 
 @query(

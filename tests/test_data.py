@@ -12,6 +12,7 @@ from barline import schema
 from barline.operators import adjust, cleaning, intervals, relate, reports
 from barline.plans import refresh
 from barline.sources import constituents, files, landed, runs
+from barline.sources.snapshots import Snapshots
 from barline.sources.warehouse import Warehouse, canonical, merge_upsert
 from barline.streaming import landing
 
@@ -145,7 +146,9 @@ def test_upsert_touches_only_its_years(spark, tmp_path):
     assert wh.write("prices", px(d, 40), "all") == 300
 
     def stored(year):
-        return {p.name for p in (tmp_path / "wh" / "prices" / f"year={year}").glob("*.parquet")}
+        files = {f for f in wh.prices_between().inputFiles() if f"/year={year}/" in f}
+        assert files
+        return files
 
     old, new = stored(2021), stored(2022)
     late = [x for x in d if x.year == 2022][-7:]
@@ -160,6 +163,42 @@ def test_upsert_touches_only_its_years(spark, tmp_path):
     assert wh.write("prices", px(d[:2], 1), replace=True) == 2
 
 
+def test_readers_see_a_table_before_or_after_a_write(spark, tmp_path, monkeypatch):
+    wh = Warehouse(spark, str(tmp_path / "wh"))
+    days = weekdays(300, "2021-06-01")
+    px = lambda c: spark.createDataFrame(bars("PINE", days, [c] * 300), schema.PRICES)
+    closes = lambda df: {r["close"] for r in df.select("close").distinct().collect()}
+    wh.write("prices", px(1.0))
+    early = wh.read("prices")
+
+    # a task that fails after other partitions were written
+    bad = px(2.0).withColumn("close", F.when(F.year("date") == 2022, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("close")))
+    with pytest.raises(Exception, match="lost"):
+        wh._replace_partitions("prices", canonical("prices", bad))
+    assert closes(wh.read("prices")) == {1.0}
+
+    # a driver that fails before the commit
+    with monkeypatch.context() as m:
+        m.setattr(Snapshots, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError, match="driver lost"):
+            wh.write("prices", px(3.0))
+    assert closes(wh.read("prices")) == {1.0} and wh.snapshots("prices").versions() == [1]
+
+    wh.write("prices", px(4.0))
+    assert closes(early) == {1.0} and closes(wh.read("prices")) == {4.0}  # a reader keeps the state it began with
+
+    # two writers from one state: the later one fails
+    table = wh.snapshots("prices")
+    monkeypatch.setattr(Snapshots, "versions", lambda self: [1])
+    with pytest.raises(Exception, match="exists"):
+        wh._replace_partitions("prices", canonical("prices", px(5.0)))
+    monkeypatch.undo()
+    assert closes(wh.read("prices")) == {4.0} and table.versions() == [1, 2]
+    assert table.expire() == 4 and table.versions() == [2]  # a state, its folder and two left by failed writers
+    assert closes(wh.read("prices")) == {4.0}
+    assert wh.write("prices", px(6.0).limit(0), replace=True) == 0 and not wh.has("prices")
+
+
 def test_upsert_keeps_rows_of_null_and_empty_partitions(spark, tmp_path):
     wh = Warehouse(spark, str(tmp_path / "wh"))
     spans = lambda rows: spark.createDataFrame([(u, t, dt.date(2020, 1, 6), None) for u, t in rows], schema.MEMBERSHIP)
