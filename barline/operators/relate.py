@@ -3,6 +3,9 @@ the sizes it measures; nothing here is hinted."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +50,11 @@ def union_all(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def index_union(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Every key of any frame once, with a flag per frame: which of them hold it. Null is a key value like any other."""
+    names = list(frames)
+    sides = [df.select(*keys, *[F.lit(n == name).alias(n) for n in names]) for name, df in frames.items()]
+    together = reduce(DataFrame.unionByName, sides)
+    return together.groupBy(*keys).agg(*[F.bool_or(n).alias(n) for n in names])

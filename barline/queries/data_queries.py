@@ -585,6 +585,20 @@ def difference(spark, sf):
     return relate.difference(mk.prices(spark, sf), early)
 
 
+@query(
+    "x03_index_union",
+    mk.sql(
+        mk.with_tables("prices", "fundamentals"),
+        f"SELECT ticker, {d('day', 'date')}, {n('max(traded)', 'traded')}, {n('max(published)', 'published')} FROM "
+        "(SELECT ticker, date AS day, 1 AS traded, 0 AS published FROM prices UNION ALL SELECT ticker, available_date, 0, 1 FROM fundamentals) GROUP BY ticker, day",
+    ),
+)
+def index_union(spark, sf):
+    """The days on which anything is known of a ticker: traded sessions and days of publication."""
+    published = mk.fundamentals(spark, sf).select("ticker", F.col("available_date").alias("date"))
+    return emit(relate.index_union({"traded": mk.prices(spark, sf), "published": published}, ["ticker", "date"]), "ticker", "date", "traded", "published")
+
+
 @query(
     "x04_distinct",
     mk.sql(mk.with_tables("fundamentals"), "SELECT DISTINCT ticker, field FROM fundamentals"),

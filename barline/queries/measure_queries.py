@@ -625,3 +625,42 @@ def walk_forward_backtest(spark, sf):
     span = tuning.Span(first, sessions, TRAIN, TEST)
     folds, _ = tuning.walk_forward(bt.daily, span, "sharpe", PPY)
     return emit(folds, *FOLD_COLUMNS, "trial", "is_score", "oos_score")
+
+
+@query(
+    "k07_stored_folds",
+    mk.sql(
+        folds_ctes() + ["grown AS (SELECT fold, count(*) AS sessions, product(1 + net) AS growth FROM oos GROUP BY fold)"],
+        f"SELECT 'walked' AS run, {', '.join(n(c) for c in FOLD_COLUMNS)}, trial, {r('is_score')}, {n('sessions')}, {r('growth')} "
+        "FROM result JOIN grown USING (fold)",
+    ),
+)
+def stored_folds(spark, sf):
+    """A walk-forward's folds and out-of-sample rows, stored and read back."""
+    root = mk.folder(spark)
+    daily = full_series(spark, sf)
+    folds, oos = tuning.walk_forward(daily, span_of(daily), "sharpe", PPY)
+    runs.save_folds(root, "walked", folds, oos)
+    return emit(runs.stored_folds(spark, root), "run", *FOLD_COLUMNS, "trial", "is_score", "sessions", "growth")
+
+
+@query(
+    "k07_stored_sweeps",
+    mk.sql(
+        SERIES
+        + [f"each_ AS (SELECT substr(trial, 2)::BIGINT AS trial, {MEASURES['sharpe']} AS sharpe, {MEASURES['hit_rate']} AS hit_rate, min(date) AS a FROM dd GROUP BY dd.trial)"],
+        f"SELECT 'first' AS run, trial, {r('sharpe')}, NULL::DOUBLE AS hit_rate, {n('trial * 10', 'lookback')}, NULL::BIGINT AS skip, {d('a', 'start')} FROM each_ WHERE trial % 2 = 0 "
+        f"UNION ALL SELECT 'second', trial, NULL, {r('hit_rate')}, NULL, {n('trial + 1', 'skip')}, {d('a', 'start')} FROM each_ WHERE trial % 2 = 1",
+    ),
+)
+def stored_sweeps(spark, sf):
+    """Two sweeps over different knobs, stored one after the other and read back as one table."""
+    root = mk.folder(spark)
+    number = F.substring("trial", 2, 20).cast("bigint")
+    rows = reports.growth_paths(series(spark, sf)).withColumns({"equity_value": F.col("growth"), "base": F.col("net"), "scale": F.lit(1.0)}).withColumn("trial", number)
+    measures = metrics.return_measures(series(spark, sf), ppy=PPY).withColumn("trial", number)
+    for i, (run, knob, value, kept) in enumerate((("first", "lookback", F.col("trial") * 10, "sharpe"), ("second", "skip", F.col("trial") + 1, "hit_rate"))):
+        mine = F.col("trial") % 2 == i
+        runs.save_run(root, run, rows.where(mine), measures.where(mine), {})
+        runs.save_sweep(root, run, measures.where(mine).select("trial", value.alias(knob), kept))
+    return emit(runs.stored_sweep(spark, root), "run", "trial", "sharpe", "hit_rate", "lookback", "skip", "start")

@@ -61,6 +61,26 @@ def stored_runs(spark: SparkSession, root: str) -> DataFrame:
     return list_runs(named, path, oos_end)
 
 
+FOLDS_LAYOUT = "fold bigint, train_start int, test_start int, test_end int, trial string, is_score double, oos_score double, run string"
+
+
+def stored_sweep(spark: SparkSession, root: str) -> DataFrame:
+    """(run, trial, knobs and measures..., start, end) of all stored sweeps; a column that a run does not have is null."""
+    rows = _table(spark, f"{root}/run_sweep", "run string, trial bigint")
+    spans = _table(spark, f"{root}/run_metrics", METRICS_LAYOUT + ", start date, end date").select("run", "trial", "start", "end")
+    return rows.drop("start", "end").join(spans, ["run", "trial"], "left")
+
+
+def stored_folds(spark: SparkSession, root: str) -> DataFrame:
+    """(run, fold..., sessions, growth) of all stored walk-forwards: each fold with its stored out-of-sample rows."""
+    folds = _table(spark, f"{root}/run_folds", FOLDS_LAYOUT)
+    oos = read_or_empty(spark, f"{root}/run_oos", OOS_LAYOUT)
+    # test windows don't overlap: a session of a run belongs to one fold
+    tested = folds.where("test_start < test_end").select("run", "fold", F.explode(F.sequence(F.col("test_start").cast("int"), F.col("test_end").cast("int") - 1)).alias("pos"))
+    grown = oos.join(tested, ["run", "pos"]).groupBy("run", "fold").agg(F.count(F.lit(1)).alias("sessions"), F.product(1 + F.col("oos_return")).alias("growth"))
+    return folds.join(grown, ["run", "fold"], "left").withColumn("sessions", F.coalesce("sessions", F.lit(0)))
+
+
 def _table(spark: SparkSession, path: str, empty: str) -> DataFrame:
     """A stored table with whatever columns its runs have, or no rows."""
     try:
