@@ -232,7 +232,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, part_tokens: int = PA
 
     ``path`` names a tokenizers file. Every document ends with the token END, so null and empty texts have
     one token; special strings in a text are ordinary text. A null source is a queue of its own. Repeated
-    rows are packed once each. An empty table gives no pieces.
+    rows are packed once each; blocks that tie in id and place lie by their tokens, so what ties is equal and reruns agree.
+    Very long texts are cut to blocks of BLOCK tokens. Other columns, whatever their names, are ignored. An empty table gives no pieces.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -241,7 +242,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, part_tokens: int = PA
     many, total = laid.agg(F.count("*"), F.sum("n")).first()
     slots, parts = parts_for(many, SLOT), parts_for(total, part_tokens)
     by_place = W.partitionBy("queue", "slot").orderBy("h", "doc_id", "first").rowsBetween(W.unboundedPreceding, -1)
-    blocks = laid.withColumns({"queue": F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))), "h": F.xxhash64("doc_id", "first"), "slot": F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "first"), F.lit(slots))}).drop("source")
+    blocks = laid.withColumns({"queue": F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))), "h": F.xxhash64("doc_id", "first", "tokens"), "slot": F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "first", "tokens"), F.lit(slots))}).drop("source")
     groups = blocks.groupBy("queue", "slot").agg(F.sum("n").alias("n"))
     before = groups.select(
         "queue",

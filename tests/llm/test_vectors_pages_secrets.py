@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -141,6 +142,43 @@ def test_wrapper_drops_what_a_host_repeats(spark):
         assert found[100 + i] == "Same\n\ntext of all copies"
 
 
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ("<div>" * 100_000 + "x" + "</div>" * 100_000, ["x"]),
+        ("<a " * 3_500_000, None),
+        ('<a "' * 100_000 + ">", None),
+        ("<p>x<h2>y" * 10_000, ["x", "y"] * 10_000),
+        ("<script></script " * 100_000, None),
+        ("<div>" * 50_000 + "</x>" * 50_000 + "end", ["end"]),
+        ("<p><table>" + "<x><div>" * 20_000 + "deep", ["deep"]),
+        ("<!" * 200_000 + "<" * 200_000, None),
+    ],
+)
+def test_deep_and_broken_pages_take_time_in_proportion(page, blocks):
+    begun = time.perf_counter()
+    tree = dom.parse(page)
+    wrapper = dom.wrapper(dom.skeleton(tree))
+    size = len(dom.align(tree, wrapper))
+    found = html_extraction.blocks(tree, set())
+    assert time.perf_counter() - begun < 40
+    assert size >= 1 and (blocks is None or found == blocks)
+
+
+def test_tags_end_outside_quotes():
+    assert html_extraction.blocks(dom.parse("a<p title='x>y'>b</p><p class=\"q'>\">c"), set()) == ["a", "b", "c"]
+    # an open quote ends no tag; later tags are found all the same
+    assert html_extraction.blocks(dom.parse('x <a "b<p>y</p><p id="z">w'), set()) == ['x <a "b', "y", "w"]
+    assert html_extraction.blocks(dom.parse("1 < 2 <p>3 <4"), set()) == ["1 < 2", "3 <4"]
+
+
+def test_wide_elements_pair_labels_in_order():
+    page = dom.parse("".join(f"<h2>{i}</h2><p>{i}</p>" for i in range(400)) + "<div>last</div>")
+    other = dom.parse("<table></table>" + "".join(f"<h2>{i}</h2><p>{i}</p>" for i in range(390)) + "<div>last</div>")
+    size, pairs = dom.match(dom.Slot("#root", [page], dom.slots(page.blocks)), dom.wrapper(dom.skeleton(other)))
+    assert size == len(pairs) == 782 and all(x.label == y.label for x, y in pairs)
+
+
 def test_tree_matching():
     a = dom.Slot("#root", [], dom.slots(dom.parse("<ul><li>1<li>2</ul><p>x</p><p>y</p><div class='b a'>z</div>").blocks))
     b = dom.wrapper(dom.skeleton(dom.parse("<div class='a b'>q</div><ul><li>1</ul><h2>k</h2><p>x</p>")))
