@@ -30,6 +30,72 @@ def grid(spark: SparkSession, knobs: Mapping[str, Sequence]) -> DataFrame:
     return expand(spark.range(1).drop("id"), arrays)
 
 
+ROUNDS, _SPREAD, _PRIME = 4, 2_654_435_761, 4_294_967_291
+
+
+def round_keys(seed: int) -> list[int]:
+    return [(seed * 1_000_003 + 7_919 * i + 12_345) % (1 << 31) for i in range(ROUNDS)]
+
+
+def half_bits(n: int) -> int:
+    """Bits of each half of the numbers that a permutation of ``n`` numbers (2**62 at most) runs over."""
+    return max(1, ((n - 1).bit_length() + 1) // 2)
+
+
+def permuted(i: int, n: int, seed: int = 0) -> int:
+    """Where a keyed permutation of 0 ... n - 1 sends ``i``: a Feistel network over the next power of four, again until
+    the result is inside. The first k of these are a sample without repeats, at the cost of k."""
+    half = half_bits(n)
+    mask, x = (1 << half) - 1, i
+    while True:
+        left, right = x >> half, x & mask
+        for k in round_keys(seed):
+            left, right = right, left ^ ((right * _SPREAD + k) % _PRIME & mask)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def combination(number: int, values: Sequence[Sequence]) -> list:
+    """The combination of that number, the last knob varying fastest."""
+    out = []
+    for options in reversed(values):
+        number, nth = divmod(number, len(options))
+        out.append(options[nth])
+    return out[::-1]
+
+
+#: A permuted number lies outside the range less than three times in four; so often that none is left.
+_TURNS = 200
+
+
+def sample_expand(df: DataFrame, knobs: Mapping[str, Column], max_trials: int, seed: int = 0, trial: str = "trial") -> DataFrame:
+    """``expand`` of a sample: ``max_trials`` combinations (all if there are fewer) of the array columns, drawn by
+    ``permuted`` from their numbers. Its cost is the sample's, however many combinations there are (2**62 at most)."""
+    sizes = {name: f"_n_{name}" for name in knobs}
+    out = df.withColumns({n: F.size(values).cast("bigint") for n, values in zip(sizes.values(), knobs.values())})
+    total = F.lit(1).cast("bigint")
+    for n in sizes.values():
+        total = total * F.col(n)
+    out = out.withColumn("_total", total).where("_total > 0")
+    out = out.withColumn("_half", F.greatest(F.lit(1), ((F.length(F.bin(F.col("_total") - 1)) * (F.col("_total") > 1).cast("int") + 1) / 2).cast("int")))
+    out = out.withColumn("_mask", F.expr("shiftleft(1L, _half) - 1"))
+    out = out.withColumn("_x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_total"), F.lit(max_trials)) - 1)))
+
+    def turn(x: Column) -> Column:
+        state = F.struct(F.call_function("shiftrightunsigned", x, F.col("_half")).alias("l"), x.bitwiseAND(F.col("_mask")).alias("r"))
+        step = lambda s, k: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(((s["r"] * _SPREAD + k) % _PRIME).bitwiseAND(F.col("_mask"))).alias("r"))
+        keys = F.array(*[F.lit(k).cast("bigint") for k in round_keys(seed)])
+        return F.aggregate(keys, state, step, lambda s: F.call_function("shiftleft", s["l"], F.col("_half")).bitwiseOR(s["r"]))
+
+    inside = F.aggregate(F.sequence(F.lit(1), F.lit(_TURNS)), turn(F.col("_x")), lambda x, _: F.when(x < F.col("_total"), x).otherwise(turn(x)))
+    out = out.withColumn(trial, inside).withColumn("_left", F.col(trial))
+    for name, values in reversed(knobs.items()):
+        out = out.withColumn(name, F.get(values, (F.col("_left") % F.col(sizes[name])).cast("int")))
+        out = out.withColumn("_left", F.expr(f"_left DIV `{sizes[name]}`"))
+    return out.drop("_total", "_half", "_mask", "_x", "_left", *sizes.values())
+
+
 def sample_trials(trials: DataFrame, max_trials: int, seed: int = 0) -> DataFrame:
     """A seeded subset: the trials with the smallest hash of (seed, trial)."""
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string")))

@@ -6,9 +6,8 @@ by (trial, ticker) (holdings). Everything after the holdings works on one row pe
 
 from __future__ import annotations
 
-import hashlib
-import itertools
 import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -234,8 +233,8 @@ def _run(panel: DataFrame, strategy: Strategy, config: BookConfig, rows: list[di
 def grid_overrides(strategy: Strategy, grid: Mapping[str, Sequence] | None = None, max_trials: int | None = None, seed: int = 0, n: int = 3) -> list[dict]:
     """Knob settings of a sweep: every combination of ``grid``, or of ``n`` points of each knob's range.
 
-    Knobs without a range (``strategy.ranges``) stay as they are. Beyond ``max_trials`` the combinations of
-    the least hash of (seed, number) are taken, in order of their number.
+    Knobs without a range (``strategy.ranges``) stay as they are. Beyond ``max_trials`` a sample by
+    ``tuning.permuted`` is taken, in order of their number; the other combinations are never made.
     """
     if grid is None:
         grid = {}
@@ -246,11 +245,12 @@ def grid_overrides(strategy: Strategy, grid: Mapping[str, Sequence] | None = Non
             grid[name] = sorted({round(p) if whole else float(p) for p in points})
     if not all(len(v) for v in grid.values()):
         raise ValueError("a knob of the grid has no values")
-    numbered = list(enumerate(dict(zip(grid, values)) for values in itertools.product(*grid.values())))
-    if max_trials is not None and len(numbered) > max_trials:
-        draw = lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest()
-        numbered = sorted(sorted(numbered, key=lambda t: draw(t[0]))[:max_trials])
-    return [change for _, change in numbered]
+    total, values = math.prod(len(v) for v in grid.values()), list(grid.values())
+    if max_trials is None or total <= max_trials:
+        numbers = range(total)
+    else:
+        numbers = sorted(tuning.permuted(i, total, seed) for i in range(max_trials))
+    return [dict(zip(grid, tuning.combination(n, values))) for n in numbers]
 
 
 def _overrides(strategy: Strategy, given, max_trials: int | None, seed: int) -> list[Mapping[str, object]]:

@@ -247,6 +247,40 @@ def trial_sampling(spark, sf):
     return emit(tuning.sample_trials(trials, 12, seed=7), "trial", "knob", knob=2)
 
 
+LARGE = {"nation": "SELECT s_nationkey AS v FROM supplier", "supplier": "SELECT l_suppkey AS v FROM lineitem", "quantity": "SELECT l_quantity AS v FROM lineitem", "line": "SELECT l_linenumber AS v FROM lineitem", "key": "SELECT o_orderkey AS v FROM orders"}
+
+
+def _large_sql(k: int, seed: int) -> str:
+    """A sample of the grid of all values of five columns, by the same permutation one round a step."""
+    lists = ", ".join(f"(SELECT list(DISTINCT v::BIGINT ORDER BY v::BIGINT) FROM ({q})) AS {n}" for n, q in LARGE.items())
+    total = " * ".join(f"len({n})::BIGINT" for n in LARGE)
+    stride, digits = "1", {}
+    for name in reversed(LARGE):
+        digits[name] = f"{name}[(trial // ({stride})) % len({name}) + 1]"
+        stride += f" * len({name})"
+    keys = ", ".join(f"{x}::BIGINT" for x in tuning.round_keys(seed))
+    done = f"step > 0 AND step % {tuning.ROUNDS} = 0 AND ((l << half) | r) < total"
+    return (
+        f"WITH RECURSIVE lists AS (SELECT {lists}), sized AS (SELECT *, {total} AS total FROM lists), "
+        "geo AS (SELECT *, greatest(1, (len(trim(LEADING '0' FROM bin(total - 1))) + 1) // 2)::INTEGER AS half FROM sized), "
+        f"walk AS (SELECT i, i >> half AS l, i & ((1::BIGINT << half) - 1) AS r, 0 AS step FROM range(0::BIGINT, {k}::BIGINT) t(i), geo UNION ALL "
+        f"SELECT i, r, xor(l, ((r * 2654435761 + ([{keys}])[step % {tuning.ROUNDS} + 1]) % 4294967291) & ((1::BIGINT << half) - 1)), step + 1 FROM walk, geo WHERE NOT ({done})), "
+        f"picked AS (SELECT (l << half) | r AS trial FROM walk, geo WHERE {done}) "
+        f"SELECT trial, {', '.join(f'{digits[n]} AS {n}' for n in LARGE)} FROM picked, geo"
+    )
+
+
+@query("t02_sampled_large_grid", _large_sql(60, 5))
+def sampled_large_grid(spark, sf):
+    """60 trials of a grid of billions of combinations."""
+    column = {"nation": ("supplier", "s_nationkey"), "supplier": ("lineitem", "l_suppkey"), "quantity": ("lineitem", "l_quantity"), "line": ("lineitem", "l_linenumber"), "key": ("orders", "o_orderkey")}
+    rows = None
+    for name, (table, c) in column.items():
+        values = mk.table(spark, sf, table).agg(F.sort_array(F.collect_set(F.col(c).cast("bigint"))).alias(f"all_{name}"))
+        rows = values if rows is None else rows.crossJoin(values)  # one row each
+    return tuning.sample_expand(rows, {n: F.col(f"all_{n}") for n in column}, 60, seed=5).select("trial", *column)
+
+
 @query(
     "t03_default_grid",
     mk.sql(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from statistics import NormalDist
 
 import numpy as np
@@ -105,6 +106,29 @@ def test_default_grid(spark):
     assert got["n"] == [20.0, 60.0, 70.0, 121.0] and got["q"] == pytest.approx([0.1, 0.2, 0.3]) and got["k"] == [5.0]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000])
+def test_permutation_reaches_every_number_once(n):
+    for seed in (0, 9):
+        assert sorted(tuning.permuted(i, n, seed) for i in range(n)) == list(range(n))
+    assert n < 16 or [tuning.permuted(i, n, 1) for i in range(n)] != [tuning.permuted(i, n, 2) for i in range(n)]
+
+
+def test_a_sample_of_a_huge_grid_costs_its_own_size(spark):
+    sizes = (1000, 1000, 1000, 1000)
+    values = [list(range(k)) for k in sizes]
+    begun = time.perf_counter()
+    numbers = [tuning.permuted(i, 10**12, 4) for i in range(200)]
+    picked = [tuning.combination(n, values) for n in numbers]
+    assert time.perf_counter() - begun < 2 and len(set(numbers)) == 200
+    spread = [sum(p[k] for p in picked) / 200 for k in range(4)]
+    assert all(350 < m < 650 for m in spread)
+    one = spark.range(1).select(*[F.sequence(F.lit(0), F.lit(k - 1)).alias(f"v{i}") for i, k in enumerate(sizes)])
+    got = tuning.sample_expand(one, {f"k{i}": F.col(f"v{i}") for i in range(4)}, 200, seed=4).collect()
+    assert {(r["trial"], r["k0"], r["k1"], r["k2"], r["k3"]) for r in got} == {(n, *p) for n, p in zip(numbers, picked)}
+    few = tuning.sample_expand(spark.range(1).select(F.array(F.lit(5), F.lit(6)).alias("v")), {"a": F.col("v"), "b": F.col("v")}, 10).collect()
+    assert sorted((r["trial"], r["a"], r["b"]) for r in few) == [(0, 5, 5), (1, 5, 6), (2, 6, 5), (3, 6, 6)]
+
+
 @pytest.mark.parametrize("expanding", [False, True])
 def test_fold_arithmetic_equals_the_windows(spark, expanding):
     span = tuning.Span(7, 100, 30, 17, expanding)
