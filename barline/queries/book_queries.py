@@ -17,6 +17,7 @@ from ..plans.strategy import dip_buyer, momentum
 from . import market as mk
 from .panel_queries import FLAGS_SQL
 from .registry import d, emit, n, query, r
+from .signal_queries import rsi_ctes
 
 KEY = f"{d('date')}, ticker"
 LAG = "lag(close, {0}) OVER (PARTITION BY ticker ORDER BY pos)"
@@ -206,12 +207,13 @@ def flagged(source: str, freq: str) -> str:
 
 
 # the strategy of the book queries: equal weights, monthly decisions
-def book_ctes(lag: int = 1, lever: int = 1) -> list[str]:
-    base = SCORED + leg_ctes("scored") + weight_ctes("1::DOUBLE", 0.5, 0.1)
+def book_ctes(lag: int = 1, lever: int = 1, base: list[str] | None = None, freq: str = "monthly") -> list[str]:
+    """``base`` are the tables up to ``weighted``, those of the plain strategy if none are given."""
+    base = base or SCORED + leg_ctes("scored") + weight_ctes("1::DOUBLE", 0.5, 0.1)
     base = [c.replace("weighted AS", "unflagged AS", 1) if c.startswith("weighted AS") else c for c in base]
     return base + [
         FLAGS_SQL,
-        f"weighted AS (SELECT u.* REPLACE (u.weight * {lever} AS weight), 0 AS trial, f.monthly AS go FROM unflagged u JOIN flags f ON f.date = u.date)",
+        f"weighted AS (SELECT u.* REPLACE (u.weight * {lever} AS weight), 0 AS trial, f.{freq} AS go FROM unflagged u JOIN flags f ON f.date = u.date)",
     ] + walk_ctes(lag) + [
         "gross AS (SELECT trial, pos, date, w, pnl, turnover, list_sum(list_transform(w, lambda q: abs(q))) AS gross, "
         "list_sum(list_transform(w, lambda q: greatest(-q, 0))) AS short FROM walk WHERE pos >= 0)",
@@ -429,9 +431,25 @@ def momentum_daily(spark, sf):
     return emit(momentum_result(spark, sf).daily, "date", "net", "benchmark", "turnover", "gross")
 
 
-@query("a15_dip_buyer_daily")
+def dip_ctes() -> list[str]:
+    """The dip buyer up to its weights: oversold by RSI inside a rising trend, held until recovered."""
+    over = "OVER (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+    return mk.panel_ctes() + rsi_ctes() + [
+        "trended AS (SELECT p.*, 100 - 100 / (1 + a / nullif(b, 0)) AS rsi FROM panel p JOIN both_sides s ON s.ticker = p.ticker AND s.date = p.date)",
+        f"ruled AS (SELECT *, CASE WHEN mask THEN -rsi END AS score, mask AND coalesce(rsi < 45 AND close > CASE WHEN count(close) {over} = 3 THEN avg(close) {over} END, false) AS enter_long, "
+        "mask AND coalesce(rsi > 55, false) AS exit_long FROM trended)",
+        ONE_SIDED[-1],
+        "legs AS (SELECT *, CASE WHEN side <> 0 THEN side END AS leg FROM sided)",
+        *weight_ctes("1::DOUBLE", 1.0, 0.05, rounds=0, decided="max(score IS NOT NULL)"),
+    ]
+
+
+@query(
+    "a15_dip_buyer_daily",
+    recursive(book_ctes(base=dip_ctes(), freq="daily"), f"SELECT {d('date')}, {r('base', 'net')}, {r('turnover')}, {r('gross')}, {r('short')} FROM base"),
+)
 def dip_buyer_daily(spark, sf):
-    """Rules mode on RSI: the recursion and the position walk have no cheap SQL form; tests check both."""
+    """Rules mode on RSI."""
     plan = dip_buyer(rsi_window=5, oversold=45, recovered=55, trend_window=3, position_cap=0.05)
     return emit(run_backtest(mk.panel(spark, sf), plan, CONFIG).daily, "date", "net", "turnover", "gross", "short")
 

@@ -141,21 +141,19 @@ def ema(spark, sf):
     return emit(recursive.with_averages(grid, {"value": ("ema", "close", 6)}), "date", "ticker", "value")
 
 
-@query(
-    "w16_rsi",
-    _recursive(
-        PANEL
-        + [
-            "moves AS (SELECT date, ticker, pos, close - lag(close) OVER (PARTITION BY ticker ORDER BY pos) AS m FROM panel)",
-            "ups AS (SELECT *, greatest(m, 0) AS up, greatest(-m, 0) AS dn FROM moves WHERE m IS NOT NULL)",
-            _ewm_sql("ups", "up", 1 / 5, "u"),
-            _ewm_sql("ups", "dn", 1 / 5, "v"),
-            f"both_sides AS (SELECT p.date, p.ticker, {_carried('u', 5, 'a')}, {_carried('v', 5, 'b')} FROM panel p "
-            "LEFT JOIN u ON u.ticker = p.ticker AND u.pos = p.pos LEFT JOIN v ON v.ticker = p.ticker AND v.pos = p.pos)",
-        ],
-        f"SELECT {KEY}, {r('100 - 100 / (1 + a / nullif(b, 0))', 'value')} FROM both_sides",
-    ),
-)
+def rsi_ctes(window: int = 5) -> list[str]:
+    """both_sides(date, ticker, a, b): the averages of rises and falls that make the RSI of ``panel``."""
+    return [
+        "moves AS (SELECT date, ticker, pos, close - lag(close) OVER (PARTITION BY ticker ORDER BY pos) AS m FROM panel)",
+        "ups AS (SELECT *, greatest(m, 0) AS up, greatest(-m, 0) AS dn FROM moves WHERE m IS NOT NULL)",
+        _ewm_sql("ups", "up", 1 / window, "u"),
+        _ewm_sql("ups", "dn", 1 / window, "v"),
+        f"both_sides AS (SELECT p.date, p.ticker, {_carried('u', window, 'a')}, {_carried('v', window, 'b')} FROM panel p "
+        "LEFT JOIN u ON u.ticker = p.ticker AND u.pos = p.pos LEFT JOIN v ON v.ticker = p.ticker AND v.pos = p.pos)",
+    ]
+
+
+@query("w16_rsi", _recursive(PANEL + rsi_ctes(), f"SELECT {KEY}, {r('100 - 100 / (1 + a / nullif(b, 0))', 'value')} FROM both_sides"))
 def rsi(spark, sf):
     grid = mk.panel(spark, sf).select("date", "pos", "ticker", "close")
     return emit(recursive.with_averages(grid, {"value": ("rsi", "close", 5)}), "date", "ticker", "value")
