@@ -651,7 +651,17 @@ def unpriced_targets(spark, sf):
     return orders.unpriced_targets(targets(spark, sf), prices).select("ticker")
 
 
-@query("a15_walk_forward_backtest")
+WALKED = SWEEP + [
+    "live AS (SELECT knob_trial AS trial, date, pos, net FROM sweep)",
+    "start AS (SELECT max(a) AS first, max(z) + 1 AS sessions FROM (SELECT min(pos) AS a, max(pos) AS z FROM live GROUP BY trial))",
+    *folds_ctes()[len(FULL) :],
+]
+
+
+@query(
+    "a15_walk_forward_backtest",
+    recursive(WALKED, f"SELECT {', '.join(n(c) for c in FOLD_COLUMNS)}, {n('trial')}, {r('is_score')}, {r('oos_score')} FROM result"),
+)
 def walk_forward_backtest(spark, sf):
     """Momentum variants simulated once, re-picked on each training window, stitched out of sample."""
     bt = run_backtest(mk.panel(spark, sf), MOMENTUM, CONFIG, GRID)
