@@ -7,14 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, parts_for
 
 #: Links that a task contracts together.
 HELD = 500_000
 
 
-def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of some links and the least node each hangs below: fewer links between the same components."""
+def named(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some links, and the least node of the component of each."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     u, v, above = at[: len(a)], at[len(a) :], np.arange(len(nodes))
     while True:
@@ -24,8 +24,14 @@ def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum.at(above, np.maximum(x, y), np.minimum(x, y))
         while (above != above[above]).any():
             above = above[above]
-    low = np.flatnonzero(above != np.arange(len(nodes)))
-    return nodes[low], nodes[above[low]]
+    return nodes, nodes[above]
+
+
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer links between the same components: from each node but the least to the least."""
+    nodes, least = named(a, b)
+    low = nodes != least
+    return nodes[low], least[low]
 
 
 def _contract(batches):
@@ -43,6 +49,13 @@ def _contract(batches):
         yield _links(*contracted(*(np.concatenate(x) for x in zip(*held))))
 
 
+def _name(batches):
+    """All links in one task: every node with its component."""
+    held = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+    nodes, least = named(*(np.concatenate(x) for x in zip(*held))) if held else (np.empty(0, np.int64),) * 2
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(least, pa.int64())], names=["node", "component"])
+
+
 def _links(a, b):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -69,10 +82,16 @@ def _is_forest(edges: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (columns a, b, long); a component is its least node.
 
-    Links to oneself and repeated links are harmless. Tasks first contract the links they hold; the rounds end when
-    every component is one star, after a number that grows with the logarithm of the longest chain of tasks.
+    Links to oneself and repeated links are harmless. Tasks contract HELD links each. Where that leaves several tasks, rounds of
+    stars and contraction end when every component is one star, after a number that grows with the logarithm of
+    the longest chain of tasks.
     """
-    edges = kept(links.where("a != b").select("a", "b").mapInArrow(_contract, "a long, b long"), "stars")
+    links = links.where("a != b").select("a", "b")
+    tasks = parts_for(links.count(), HELD)
+    if tasks == 1:
+        return kept(links.coalesce(1).mapInArrow(_name, "node long, component long"), "classes")
+    edges = kept(links.coalesce(tasks).mapInArrow(_contract, "a long, b long"), "stars")
     while not _is_forest(edges):
         edges = kept(_stars(_stars(edges, True), False).mapInArrow(_contract, "a long, b long"), "stars")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    heads = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return kept(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(heads), "classes")

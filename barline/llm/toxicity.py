@@ -10,6 +10,7 @@ cover the whole text.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -295,27 +296,39 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, b
     return net
 
 
-def examples(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts: TRAIN_ROWS of each label, least hash of doc_id first."""
+def examples(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFrame:
+    """(text, y) of a bounded sample of labelled texts: TRAIN_ROWS of each label, least hash of doc_id first."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & allowed).distinct()
     texts = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS)
     found = known.join(texts, "doc_id")
     both = [found.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_ROWS) for y in (0, 1)]
-    rows = both[0].unionByName(both[1]).select("text", "y").collect()
-    return [r.text for r in rows], [r.y for r in rows]
+    return both[0].unionByName(both[1]).select("text", "y")
 
 
-def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score`` in [0, 1]; a text without words (null, empty) scores as the network's bias."""
-    kept = [c for c in docs.columns if c != "score"]
+def _train_in_task(batches):
+    texts, labels = [], []
+    for b in batches:
+        texts += b.column("text").to_pylist()
+        labels += b.column("y").to_pylist()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], names=["net"])
+
+
+def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with a column ``out`` in [0, 1], in the place of one of that name.
+
+    A text without words (null, empty) scores as the network's bias. Every row has a score: repeated rows and equal
+    texts the same one, very long texts that of their loudest window, and all windows of the whole text are read. An
+    empty table gives no rows; other columns are carried as they are.
+    """
+    kept = [c for c in docs.columns if c != out]
     frozen = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches):
         for b in batches:
             z = np.concatenate([logits(frozen.value, part) for part in blocks([t or "" for t in b.column(text).to_pylist()])] or [np.empty(0)])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(1 / (1 + np.exp(-z.astype(np.float64))))], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(1 / (1 + np.exp(-z.astype(np.float64))))], names=[*kept, out])
 
-    schema = docs.select(*kept).schema.add("score", "double")
+    schema = docs.select(*kept).schema.add(out, "double")
     return docs.select(*kept).mapInArrow(run, schema)
 
 
@@ -326,4 +339,7 @@ def held_out(c: Column, n: int, r: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
     """A network from the labels ``toxic`` of rows outside the held-out third."""
-    return train(*examples(docs, labels, ~held_out(F.col("doc_id"), 3, 1)))
+    sample = examples(docs, labels, ~held_out(F.col("doc_id"), 3, 1))
+    # the sample is bounded: one task reads it and trains, and the driver gets a network of fixed size
+    made = sample.coalesce(1).mapInArrow(_train_in_task, "net binary").collect()
+    return pickle.loads(made[0]["net"]) if made else train([], [])

@@ -36,6 +36,7 @@ def test_stages(spark, folder):
         seen[name] = (before, docs)
         if name != "packing":
             assert docs.columns == columns
+            assert {(r.score, r.size, r.h) for r in docs.collect()} == {(0.5, 9, "x")}  # the caller's own columns
     toxic = {r.doc_id for r in seen["toxicity"][1].collect()}
     assert not toxic & set(range(1000, 1240, 4)) and set(range(1001, 1240, 4)) <= toxic
     kept = [r.doc_id for r in seen["near_dedup"][1].collect()]

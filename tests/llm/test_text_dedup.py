@@ -131,7 +131,9 @@ def test_samples_agree_as_often_as_sets_are_alike():
     assert abs((drawn[0] == drawn[1]).mean() - alike) < 0.04
 
 
-def test_components(spark):
+@pytest.mark.parametrize("held", [2, 500_000])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "HELD", held)
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (100, 101)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
