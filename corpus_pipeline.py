@@ -22,14 +22,16 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC; the network learns from the labels of these documents."""
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, net).where(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.score(docs, net, out="__toxicity").where(F.col("__toxicity") < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each class of near duplicates; of identical rows one."""
+    """The document of the least doc_id of each class of near duplicates; of rows equal in id and text the one whose
+    columns have the least hash."""
     heads = near_dedup.near_duplicates(docs).where("keeper").select(F.col("row_key").alias("__head")).distinct()
     named = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return named.join(heads, F.col("__key") == F.col("__head"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    kept_ = named.join(heads, F.col("__key") == F.col("__head"), "left_semi")
+    return kept_.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
