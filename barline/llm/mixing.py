@@ -123,7 +123,8 @@ def mix(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, shard_w
     documents: one row per input row, doc_id, source, row_key, copy (0, 1, ... among rows of equal id and
     text), size, source_size, target. draws: one row per block taken, doc_id, row_key, copy, block, pass,
     words, shard, position (in the shard, from 1). Null text has no words; null is a source, the last one.
-    Documents without words are never drawn. Reruns agree: order comes from hashes of id, text and ``seed``.
+    Documents without words are never drawn; very long ones are as many blocks as they need. An empty table gives none of
+    either; other columns, whatever their names, are ignored. Reruns agree: order comes from hashes of id, text and ``seed``.
     """
     spark = docs.sparkSession
     rows = sized(docs)

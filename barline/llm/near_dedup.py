@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
 
     class_id is the least doc_id of the class (null only if all its ids are), keeper marks the rows whose
     row_key stands for the class; identical rows share a row_key. Words are cut at white space and compared
-    in lower case. Documents without words (null, empty) are copies of each other and of nothing else. Other
+    in lower case, of very long texts all. Documents without words (null, empty) are copies of each other and of nothing else. Other
     columns are ignored; an empty table gives an empty result.
     """
     key = docs.schema["doc_id"].dataType.simpleString()

@@ -123,7 +123,9 @@ def discriminant(counts, sums, products) -> Discriminant:
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Discriminant:
     """From all labelled texts for which ``allowed`` (over doc_id) holds; labels other than 0 and 1 are not used.
 
-    ``docs`` holds texts, or what :func:`with_statistics` made of them; statistics, not texts, meet the labels.
+    ``docs`` holds texts, or what :func:`with_statistics` made of them; statistics, not texts, meet the labels. Null doc_ids meet no
+    label; rows of one doc_id count each, once per label; very long texts count as one row; without rows of a class
+    its covariance is the pooled, shrunk one and an empty table gives a model of even odds. Other columns are ignored.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & allowed)
     found = known.join(_statistics_of(docs).select("doc_id", "x"), "doc_id").select("y", "x")
@@ -141,8 +143,11 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Discriminant:
 
 
 def score(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """``docs`` (texts or statistics) with ``score`` in [0, 1] in their place; null and empty texts have the score of
-    the zero counts."""
+    """``docs`` (texts or statistics) with ``score`` in [0, 1] in their place, and of a column of that name.
+
+    Null and empty texts have the score of the zero counts, equal texts and repeated rows equal ones; very long texts are
+    read whole; an empty table gives no rows; other columns are carried as they are.
+    """
     keep = [c for c in docs.columns if c not in ("text", "x", "score")]
 
     def run(batches):

@@ -31,7 +31,7 @@ DOTTED = r"(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{13,}+(?:\.[A-Za-z0-9_\-]++)++"
 KEY = rf"(?<![A-Za-z0-9+/_\-]){ISSUED[1:]}[A-Za-z0-9+/_\-]*+={{0,2}}"
 #: Values assigned to a credential's name, in the query of a URL up to the next part, elsewhere up to white space; what
 #: the lookbehinds see is part of the left neighbour.
-NAME = rf"(?i:{CREDENTIAL.replace('.?', '[_.-]?')})\w{{0,20}}"
+NAME = rf"(?i:{CREDENTIAL.replace('.?', '[_.-]?')})\w{{0,64}}"
 QUERY = rf"""(?<==)(?<=[?&]\w{{0,6}}{NAME}=)[^\s&#"'`]{{8,}}+"""
 ASSIGNED = rf"""(?<=[=:>][ \t]{{0,3}})(?<={NAME}["'`]?[ \t]{{0,3}}(?:=>|:=|=|:)[ \t]{{0,3}})(?!["'`=:>])(?:[^\s"'`,;]|["'`,;](?=[^\s"'`,;])){{8,}}+"""
 #: left neighbour, separator, value
@@ -142,7 +142,9 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
 
     ``labelled`` holds findings (as :func:`candidates` gives them) with ``label``; without it :func:`weak_labels`
     provides them. ``start`` counts characters from 1. Null and empty texts have no findings; a text that occurs in
-    several rows of equal doc_id is scanned once (row_key, of id and text, names them all); a null doc_id stays null.
+    several rows of equal doc_id is scanned once (row_key, of id and text, names them all); a null doc_id stays null. Very long
+    texts are read whole; of candidates that overlap the first counts. An empty table gives no findings; other columns, whatever
+    their names, are ignored. Values have eight characters at least; a credential's name may go on for 64 characters.
     """
     found = kept(candidates(docs), "candidates")  # read for fitting and for scoring
     forest = fit(weak_labels(found) if labelled is None else labelled)

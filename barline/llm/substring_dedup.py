@@ -142,7 +142,7 @@ def dedup_passages(docs: DataFrame, width: int = 35, with_text: bool = True, chu
     it starts a second time anywhere, in the same document too; windows are judged on the input.
     Null and empty texts have no words and keep none (the digest of the empty string); texts shorter
     than a window are kept whole. Repeated rows are rows like others, so their windows recur. A null
-    doc_id stays null. Other columns are ignored. An empty table gives an empty result.
+    doc_id stays null. Very long texts are read whole, as a chunk of their own size. Other columns are ignored. An empty table gives an empty result.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = chunked(texts(docs), chunk_chars)

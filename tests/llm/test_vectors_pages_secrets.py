@@ -186,6 +186,11 @@ def test_tree_matching():
     assert size == 4 and {x.label for x, _ in pairs} == {"#root", "ul", "li", "p"}
 
 
+def test_long_names_and_short_values_of_credentials(spark):
+    docs = spark.createDataFrame([(1, "SECRET_KEY_OF_THE_PRODUCTION_SERVER=hunterhunterhunter"), (2, "password = x7#kQ2")], "doc_id long, text string")
+    assert [(r.doc_id, r.value) for r in secrets.candidates(docs).collect()] == [(1, "hunterhunterhunter")]
+
+
 def planted():
     g = random.Random(7)
     rows, want = [], set()
