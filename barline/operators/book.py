@@ -295,6 +295,11 @@ class Book:
     def weights(self) -> DataFrame:
         return held_weights(self.holdings, self.path, self.by)
 
+    def release(self) -> None:
+        """Give back the storage of the kept holdings and path; what is still read of them is computed anew."""
+        self.holdings.unpersist()
+        self.path.unpersist()
+
 
 def run_book(targets: DataFrame, config: BookConfig = BookConfig(), by: Sequence[str] = TRIAL, knobs: DataFrame | None = None) -> Book:
     """Targets with flags -> daily book: pnl, gross, short, turnover, costs and base return.
