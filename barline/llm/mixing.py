@@ -174,6 +174,8 @@ def mix(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, shard_w
 
 
 def taken(documents: DataFrame, draws: DataFrame) -> DataFrame:
-    """documents with ``taken``, the words the mix takes of each row, repeats counted."""
-    words = draws.groupBy("row_key", "i", "copy").agg(F.sum("words").alias("taken"))
+    """documents with ``taken``, the words the mix takes of each row, repeats counted, and the output ``shard`` and ``position``
+    in it of the first of its blocks (null where none is taken)."""
+    words = draws.groupBy("row_key", "i", "copy").agg(F.sum("words").alias("taken"), F.min(F.struct("shard", "position")).alias("p"))
+    words = words.select("row_key", "i", "copy", "taken", "p.*")
     return documents.join(words, ["row_key", "i", "copy"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))

@@ -58,7 +58,7 @@ def quality_scores(spark, sf):
 @query("op5_mixing")
 def mixing_sources(spark, sf):
     documents, draws = mixing.mix(table(spark, sf, "documents"))
-    return mixing.taken(documents, draws).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(documents, draws).select("doc_id", "size", "source_size", "target", "taken", "shard", "position")
 
 
 @query("op8_packing")

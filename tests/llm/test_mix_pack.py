@@ -49,6 +49,21 @@ def test_splits_meet_quotas_and_part_draws():
     assert (again.shards_of(source[back], draw[back]) == shard[back]).all()
 
 
+def test_shards_are_random_samples_of_the_mix():
+    """What a shard gets of a source follows the hypergeometric law."""
+    quotas, shards, runs = [300, 60, 640], 5, 400
+    got = np.empty((runs, 3))
+    for seed in range(runs):
+        tree = mixing.Splits(quotas, shards, seed)
+        shard = tree.shards_of(np.repeat([0, 1, 2], quotas), np.concatenate([np.arange(q) for q in quotas]))
+        got[seed] = np.bincount(np.repeat([0, 1, 2], quotas)[shard == 2], minlength=3)
+    assert (got.sum(axis=1) == 200).all()
+    share = np.array(quotas) / 1000
+    spread = 200 * share * (1 - share) * 800 / 999
+    assert (np.abs(got.mean(axis=0) - 200 * share) < 5 * np.sqrt(spread / runs)).all()
+    assert (np.abs(got.var(axis=0, ddof=1) / spread - 1) < 0.4).all()
+
+
 def test_large_draws_stay_in_their_support():
     g = np.random.default_rng(1)
     for _ in range(50):
@@ -80,6 +95,11 @@ def test_mix_takes_targets_and_repeats_alike(spark):
         shards[r.shard].append(r.position)
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in shards.values())
     assert max(map(len, shards.values())) - min(map(len, shards.values())) <= len(shards)
+    first = {}
+    for r in drawn:
+        first[r.doc_id] = min(first.get(r.doc_id, (99, 0)), (r.shard, r.position))
+    assert len({s for s, _ in first.values()}) > 1 and {r.doc_id: (r.shard, r.position) for r in found if r.taken} == first
+    assert all(r.shard is None for r in found if not r.taken)
     again = mixing.taken(*mixing.mix(docs.repartition(5), block_words=32, shard_words=4000))
     assert sorted(map(str, again.collect())) == sorted(map(str, found))
 
