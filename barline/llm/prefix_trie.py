@@ -231,8 +231,9 @@ def prefix_trie(conversations: DataFrame, base: Column, head: Column, seed: int
     placed = kept(rows.join(groups.select("depth", "f1", "f2", "node", "n_convs"), ["depth", "f1", "f2"]).select("c", "depth", "node", "n_convs", "n_bytes"), "placed")
     owned = placed.where("c = node").select("node", "depth", "n_convs", "n_bytes")
     above = placed.select(F.col("c").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"))
-    root = rebuilt.agg(F.min("c").alias("root"), F.count("*").alias("n"))
-    nodes = kept(owned.join(above, ["node", "depth"], "left").crossJoin(root.select("root")).withColumn("parent", F.when(F.col("depth") == 1, F.col("root")).otherwise(F.col("parent"))), "nodes")  # one root
+    root, n_convs = rebuilt.agg(F.min("c"), F.count("*")).first()
+    top_node = F.lit(root).cast("long")
+    nodes = kept(owned.join(above, ["node", "depth"], "left").withColumn("parent", F.when(F.col("depth") == 1, top_node).otherwise(F.col("parent"))), "nodes")
     children = nodes.groupBy(F.col("parent").alias("node"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
     nodes = kept(nodes.select("node", "depth", "parent", "n_convs", (F.col("n_bytes") * (F.col("n_convs") - 1)).alias("saved")).join(children, ["node", "depth"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))), "family")
 
@@ -247,12 +248,12 @@ def prefix_trie(conversations: DataFrame, base: Column, head: Column, seed: int
     summed = line.groupBy("node", "depth").agg(*(F.sum(F.col(x) + F.coalesce(f"low_{x}", F.lit(0))).alias(f"all_{x}") for x in ("leaves", "saved")))
 
     last = placed.join(rebuilt, "c").where("depth = total").select("node", "depth", "c")
-    last = last.unionByName(rebuilt.where("total = 0").crossJoin(root.select("root")).select(F.col("root").alias("node"), F.lit(0).cast("long").alias("depth"), "c"))  # one root
+    last = last.unionByName(rebuilt.where("total = 0").select(top_node.alias("node"), F.lit(0).cast("long").alias("depth"), "c"))
     packs = last.repartitionByRange("node", "depth", "c").sortWithinPartitions("node", "depth", "c").mapInArrow(_packs, "node long, depth long, first long, ids string")
     ends = packs.repartition("node", "depth").sortWithinPartitions("node", "depth", "first").mapInArrow(_digests, "node long, depth long, ends_sha256 string")
 
     every = nodes.agg(F.coalesce(F.sum("saved"), F.lit(0)).alias("all_saved"), F.coalesce(F.sum((F.col("n_children") == 0).cast("long")), F.lit(0)).alias("all_leaves"), F.count(F.when(F.col("depth") == 1, 1)).alias("n_children"))
-    top = root.where("root IS NOT NULL").crossJoin(every).select(F.col("root").alias("node"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent"), F.col("n").alias("n_convs"), "n_children", F.greatest(F.lit(1), "all_leaves").alias("all_leaves"), "all_saved")
+    top = every.where(F.lit(n_convs > 0)).select(top_node.alias("node"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(n_convs).cast("long").alias("n_convs"), "n_children", F.greatest(F.lit(1), "all_leaves").alias("all_leaves"), "all_saved")
     whole = nodes.join(summed, ["node", "depth"]).select(*top.columns).unionByName(top)
     whole = whole.join(ends, ["node", "depth"], "left")
     return whole.select(F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", F.col("all_leaves").cast("long").alias("n_leaves"), F.col("all_saved").cast("long").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"))

@@ -310,7 +310,7 @@ def _train_in_task(batches):
     for b in batches:
         texts += b.column("text").to_pylist()
         labels += b.column("y").to_pylist()
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], names=["net"])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels).p)], pa.binary())], names=["parameters"])
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
@@ -341,5 +341,5 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     """A network from the labels ``toxic`` of rows outside the held-out third."""
     sample = examples(docs, labels, ~held_out(F.col("doc_id"), 3, 1))
     # the sample is bounded: one task reads it and trains, and the driver gets a network of fixed size
-    made = sample.coalesce(1).mapInArrow(_train_in_task, "net binary").collect()
-    return pickle.loads(made[0]["net"]) if made else train([], [])
+    made = sample.coalesce(1).mapInArrow(_train_in_task, "parameters binary").collect()
+    return Network(p=pickle.loads(made[0]["parameters"])) if made else train([], [])
