@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 from bisect import bisect_left
 
+import numpy as np
+
 #: A tag that ends; every part takes all it can at once, so an attempt that fails costs its length once.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<[!?][^>]*+>", re.S)
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
@@ -224,81 +227,115 @@ def wrapper(text: str) -> Slot:
     return path[0]
 
 
-#: Pairs of children up to which all alignments are compared; wider elements pair equal labels by their order.
-ALL_PAIRS = 100_000
-
-
-def _candidates(a: Slot, b: Slot) -> list[tuple[int, int]]:
-    """Places (from 1) of equally labelled children that may be matched."""
-    if len(a.children) * len(b.children) <= ALL_PAIRS:
-        return [(i, j) for i, x in enumerate(a.children, 1) for j, y in enumerate(b.children, 1) if x.label == y.label]
-    places: dict[str, list[int]] = {}
-    for j, y in enumerate(b.children, 1):
-        places.setdefault(y.label, []).append(j)
-    used = dict.fromkeys(places, 0)
-    ends: list[int] = []  # the longest run of rising places, by patience
-    found, back = [], []
-    for i, x in enumerate(a.children, 1):
-        own = places.get(x.label, ())
-        n = used.get(x.label, 0)
-        if n < len(own):
-            used[x.label] = n + 1
-            at = bisect_left(ends, own[n], key=lambda k: found[k][1])
-            found.append((i, own[n]))
-            back.append(ends[at - 1] if at else -1)
-            ends[at : at + 1] = [len(found) - 1]
-    out, k = [], ends[-1] if ends else -1
-    while k >= 0:
-        out.append(found[k])
-        k = back[k]
-    return out[::-1]
-
-
-def _best(a: Slot, b: Slot, weight: dict) -> tuple[int, list[tuple[int, int]]]:
-    """The weight of the best alignment of the children, and its pairs."""
-    m, n = len(a.children), len(b.children)
-    pairs = weight[id(a), id(b)]
-    if m * n > ALL_PAIRS:
-        return sum(pairs.values()), sorted(pairs)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        row, above = best[i], best[i - 1]
-        for j in range(1, n + 1):
-            w = pairs.get((i, j), 0)
-            row[j] = max(above[j], row[j - 1], above[j - 1] + w)
-    out, i, j = [], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            out.append((i, j))
-            i, j = i - 1, j - 1
-    return best[m][n], out
+def _shapes(*roots: Slot) -> tuple[dict[int, int], list[str], list[tuple[int, ...]], list[int], list[int]]:
+    """Equal subtrees share a number: of each slot's identity, and by number the label, the children, the size and the height."""
+    order = list(roots)
+    for s in order:  # grows while it is read: parents before children
+        order += s.children
+    numbers: dict[tuple, int] = {}
+    of: dict[int, int] = {}
+    labels, kids, sizes, heights = [], [], [], []
+    for s in reversed(order):
+        below = tuple(of[id(c)] for c in s.children)
+        n = of[id(s)] = numbers.setdefault((s.label, below), len(labels))
+        if n == len(labels):
+            labels.append(s.label)
+            kids.append(below)
+            sizes.append(1 + sum(sizes[c] for c in below))
+            heights.append(1 + max((heights[c] for c in below), default=0))
+    return of, labels, kids, sizes, heights
+
+
+class _Alignment:
+    """The best alignment of two rows of children, whose weights are those of pairs of shapes; a row of the table at a time."""
+
+    def __init__(self, xs: tuple[int, ...], ys: tuple[int, ...], weight: dict):
+        self.xs, self.ys, self.weight = xs, ys, weight
+        self.kinds, self.place = np.unique(np.array(ys, np.int64), return_inverse=True)
+        self.gains: dict[int, np.ndarray] = {}
+
+    def _gain(self, x: int) -> np.ndarray:
+        if x not in self.gains:
+            self.gains[x] = np.array([self.weight.get((x, y), 0) for y in self.kinds.tolist()], np.int32)
+        return self.gains[x][self.place]
+
+    def _row(self, above: np.ndarray, x: int) -> np.ndarray:
+        row = above.copy()
+        np.maximum(row[1:], above[:-1] + self._gain(x), out=row[1:])
+        return np.maximum.accumulate(row)
+
+    def best(self) -> int:
+        row = np.zeros(len(self.ys) + 1, np.int32)
+        for x in self.xs:
+            row = self._row(row, x)
+        return int(row[-1])
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """Places of the aligned children. Some rows of the table are kept and those between them made again."""
+        step = math.isqrt(len(self.xs)) + 1
+        row, kept = np.zeros(len(self.ys) + 1, np.int32), []
+        for i, x in enumerate(self.xs):
+            if i % step == 0:
+                kept.append(row)
+            row = self._row(row, x)
+        out, j = [], len(self.ys)
+        for block in range(len(kept) - 1, -1, -1):
+            rows = [kept[block]]
+            for x in self.xs[block * step : (block + 1) * step]:
+                rows.append(self._row(rows[-1], x))
+            i = len(rows) - 1
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((block * step + i, j))
+        return out
 
 
 def match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
-    """Simple tree matching: the most pairs of equally labelled slots that keep order and parentage."""
+    """Simple tree matching: the most pairs of equally labelled slots that keep order and parentage.
+
+    Elements of any width are compared alike. Equal subtrees are matched whole and others once per pair of shapes.
+    """
     if a.label != b.label:
         return 0, []
-    order, weight = [(a, b, None)], {}
-    for x, y, _ in order:  # grows while it is read: parents before children
-        own = weight[id(x), id(y)] = dict.fromkeys(_candidates(x, y), 0)
-        order += [(x.children[i - 1], y.children[j - 1], (x, y, i, j)) for i, j in own]
-    size, chosen = 0, {}
-    for x, y, above in reversed(order):
-        size, pairs = _best(x, y, weight)
-        size += 1
-        chosen[id(x), id(y)] = pairs
-        if above:
-            weight[id(above[0]), id(above[1])][above[2:]] = size
-    out, left = [], [(a, b)]
+    of, labels, kids, sizes, heights = _shapes(a, b)
+    top = of[id(a)], of[id(b)]
+    asked, left = {top}, [top]
     while left:
         x, y = left.pop()
-        out.append((x, y))
-        left += [(x.children[i - 1], y.children[j - 1]) for i, j in chosen[id(x), id(y)]]
-    return size, out
+        if x == y:
+            continue
+        by_label: dict[str, list[int]] = {}
+        for q in set(kids[y]):
+            by_label.setdefault(labels[q], []).append(q)
+        more = {(p, q) for p in set(kids[x]) for q in by_label.get(labels[p], ())} - asked
+        asked |= more
+        left += more
+    weight: dict[tuple[int, int], int] = {}
+    for x, y in sorted(asked, key=lambda pair: heights[pair[0]]):  # children before parents
+        if x == y:
+            weight[x, y] = sizes[x]
+        elif len(kids[x]) == 1 and len(kids[y]) == 1:
+            weight[x, y] = 1 + weight.get((kids[x][0], kids[y][0]), 0)
+        else:
+            weight[x, y] = 1 + (_Alignment(kids[x], kids[y], weight).best() if kids[x] and kids[y] else 0)
+    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    out, todo = [], [(a, b)]
+    while todo:
+        s, t = todo.pop()
+        out.append((s, t))
+        x, y = of[id(s)], of[id(t)]
+        if x == y:
+            todo += zip(s.children, t.children)
+            continue
+        if (x, y) not in chosen:
+            chosen[x, y] = _Alignment(kids[x], kids[y], weight).pairs() if kids[x] and kids[y] else []
+        todo += [(s.children[i], t.children[j]) for i, j in chosen[x, y]]
+    return weight[top], out
 
 
 def align(page: Node, reference: Slot) -> dict[int, Slot]:

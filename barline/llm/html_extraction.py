@@ -2,13 +2,14 @@
 
 1. The page of the least hash of a host gives its wrapper: the tree of its block elements, neighbours of
    one label merged into one repeated slot.
-2. Every page of the host is aligned with it by simple tree matching. A slot that meets at least EVIDENCE
-   different pages and shows them few different texts (at most CONSTANT of the pages) is template: menus,
-   notices, adverts that rotate. Copies of a page count as one page. Inside article or main elements only a text
-   that a slot shows on nearly all pages (SAME of them) is template, and only where it stands.
+2. Every page of the host is aligned with it by simple tree matching. A slot that shows the different pages it
+   meets few different texts (at most CONSTANT of the pages) is template: menus, notices, adverts that rotate.
+   Copies of a page count as one page. Inside article or main elements only a text that a slot shows on nearly
+   all pages is template (the pages besides the one that is read are SAME of them), and only where it stands.
+   Both are shares of a host's pages, the same for hosts of any size.
 3. A page's text is what lies in its article or main elements (in its body, if it has none), without the
    template slots and without what tag, role, class or id mark as menu, header, footer, sidebar, notice,
-   advert, form or reader comments; these marks alone decide for hosts of few pages.
+   advert, form or reader comments.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import dom
 from .common import kept
 
-EVIDENCE, CONSTANT, SAME = 10, 0.3, 0.9
+CONSTANT, SAME = 0.3, 0.9
 ASIDE_TAGS = frozenset("head nav header footer aside form button select menu dialog datalist object applet".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 ASIDE_WORDS = frozenset(
@@ -172,11 +173,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
     seen = pages.select("host", "html").join(shapes, "host").mapInArrow(_observe, "host string, slot int, text_hash long, page_hash long, inside boolean")
     # exact counts of different pages, of a slot and of each text in it
     shown = kept(seen.groupBy("host", "slot", "page_hash", "text_hash").agg(F.max("inside").alias("inside")), "shown")
-    many = shown.groupBy("host", "slot").agg(F.count_distinct("page_hash").alias("pages"), F.max("inside").alias("within")).where(F.col("pages") >= EVIDENCE)
+    many = shown.groupBy("host", "slot").agg(F.count_distinct("page_hash").alias("pages"), F.max("inside").alias("within"))
     each = shown.groupBy("host", "slot", "text_hash").agg(F.count("*").alias("n")).join(many, ["host", "slot"])
     slots = each.where("NOT within").groupBy("host", "slot", "pages").agg(F.count("*").alias("texts")).where(F.col("texts") <= CONSTANT * F.col("pages"))
     constant = slots.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template"))
-    same = each.where("within").where(F.col("n") >= SAME * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "text_hash"))).alias("same"))
+    same = each.where("within").where(F.col("n") - 1 >= SAME * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "text_hash"))).alias("same"))
     return kept(shapes.join(constant, "host", "left").join(same, "host", "left"), "wrappers")
 
 

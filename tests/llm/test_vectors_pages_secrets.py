@@ -283,3 +283,21 @@ def test_titles_that_many_pages_share_stay(spark):
     found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(40):
         assert found[i].startswith("Shared title" if i < 32 else f"Own title {i}") and "Read on" not in found[i]
+
+
+def test_small_hosts_are_read_by_the_same_shares(spark):
+    """A host of five pages without telling tags loses its menu, as one of fourteen does."""
+    g = random.Random(4)
+    rows = [(i, "https://f.example/", f"<body><div>Menu</div><div class=text><p>{' '.join(cases.prose(g, 12))}</p></div></body>") for i in range(5)]
+    found = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 5 and all(r.text and "Menu" not in r.text for r in found)
+
+
+def test_wide_elements_are_matched_like_narrow_ones():
+    """A block more in front shifts every count of labels; the best alignment loses nothing by it."""
+    body = "".join(f"<h2>{i}</h2><p>{i}</p>" for i in range(400))
+    page, other = dom.parse("<h2>advert</h2><div>x</div>" + body), dom.parse("<p>first</p><ul></ul>" + body)
+    size, pairs = dom.match(dom.Slot("#root", [page], dom.slots(page.blocks)), dom.wrapper(dom.skeleton(other)))
+    assert size == len(pairs) == 801 and all(x.label == y.label for x, y in pairs)
+    titles = [x.nodes[0].own_text().strip() for x, _ in pairs if x.label == "h2"]
+    assert set(titles) >= {str(i) for i in range(1, 400)}
