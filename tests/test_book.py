@@ -441,3 +441,11 @@ def test_a_thousand_settings_plan_quickly(market):
     targets = backtest.build_targets(market, momentum(), rows, backtest.trial_frame(market, rows))
     targets._jdf.queryExecution().executedPlan()
     assert time.perf_counter() - begun < 30
+
+
+def test_trials_share_no_exchange_of_their_own(market):
+    """Rows of one trial stay spread over tasks: settings come to them, not they to their trial's settings."""
+    rows = backtest.trial_rows(momentum(lookback=5, skip=1), [{}])
+    plan = backtest.build_targets(market, momentum(lookback=5, skip=1), rows, backtest.trial_frame(market, rows))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [trial" in text and "SortMergeJoin" not in text
