@@ -29,6 +29,8 @@ def _smooth(df: DataFrame, inputs: Mapping[str, Column], alpha: float, least: in
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     stretch = Window.partitionBy(*by, "_stretch").orderBy("pos")
+    # the order of ``w`` written like that of ``stretch``, which never falls down a ticker: one sort serves both
+    along = Window.partitionBy(*by).orderBy("_stretch", "pos")
     within = stretch.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     names = list(inputs)
     made = ["_seen", "_gap", "_loss", "_decay", "_stretch", "_left", "_a", *(f"{k}_{n}" for n in names for k in ("_x", "_b", "_own", "_y"))]
@@ -54,7 +56,7 @@ def _smooth(df: DataFrame, inputs: Mapping[str, Column], alpha: float, least: in
     out = out.withColumns({f"_y_{n}": F.col(f"_own_{n}") for n in names})
     for _ in range(2):
         # the value before the stretch, brought to its first row
-        out = out.withColumns({f"_y_{n}_from": F.coalesce(F.lag(f"_y_{n}").over(w), F.lit(0.0)) * F.exp(-F.col("_loss")) for n in names})
+        out = out.withColumns({f"_y_{n}_from": F.coalesce(F.lag(f"_y_{n}").over(along), F.lit(0.0)) * F.exp(-F.col("_loss")) for n in names})
         out = out.withColumns({f"_y_{n}": F.col(f"_own_{n}") + F.col("_left") * F.first(f"_y_{n}_from").over(stretch) for n in names})
         out = out.drop(*(f"_y_{n}_from" for n in names))
     out = out.withColumns({n: F.when(F.col("_seen") >= least, F.col(f"_y_{n}")) for n in names})

@@ -217,3 +217,11 @@ def test_sliding_cost_does_not_grow_with_the_window():
 
     took(20)
     assert took(2520) < 3 * took(20)
+
+
+@pytest.mark.parametrize("kind", ["ema", "rsi"])
+def test_averages_sort_each_ticker_twice(spark, grid, kind):
+    """Once by session and once by stretch, however many windows follow."""
+    plan = recursive.with_averages(grid.select("date", "pos", "ticker", "x"), {"v": (kind, "x", 5)})
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Sort [") <= 2 and text.count("Exchange hashpartitioning") == 1
