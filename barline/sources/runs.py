@@ -27,7 +27,9 @@ def save_run(root: str, run: str, daily: DataFrame, metrics: DataFrame, config:
     """Store a run: its daily series, every metric as it is with the first and last date, and its configuration."""
     columns = [F.col("trial").cast("bigint"), "date", "pos", *SERIES]
     _put(daily.select(*columns), root, "run_returns", run)
-    span = daily.groupBy(F.col("trial").cast("bigint").alias("trial")).agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    # read from what has just been stored: the series is worked out once
+    stored = read_or_empty(daily.sparkSession, f"{root}/run_returns", RETURNS_LAYOUT).where(F.col("run") == run)
+    span = stored.groupBy("trial").agg(F.min("date").alias("start"), F.max("date").alias("end"))
     table = metrics.withColumn("trial", F.col("trial").cast("bigint")).drop("start", "end").join(span, "trial", "left")
     _put(table, root, "run_metrics", run)
     rows = [(str(k), None if v is None else str(v)) for k, v in config.items()]

@@ -409,3 +409,19 @@ def test_landing_folder_is_upserted_once_per_file(spark, tmp_path):
     got = [(str(r["date"]), r["ticker"], r["close"]) for r in wh.read("prices").orderBy("ticker", "date").collect()]
     assert got == [("2024-01-02", "A", 100.0), ("2024-01-03", "A", 101.0), ("2024-01-02", "B", 7.0)]
     assert [r["source"] for r in wh.ingest_log().orderBy("at").collect()] == ["landing batch 0", "landing batch 1"]
+
+
+def test_a_stored_series_is_worked_out_once(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        asked.add(1)
+        return x
+
+    rows = [(i % 2, d, p) for p, d in enumerate(weekdays(6)) for i in range(2)]
+    daily = spark.createDataFrame(rows, "trial bigint, date date, pos int")
+    daily = daily.withColumns({c: F.lit(0.5) for c in runs.SERIES}).where(counted(F.lit(1.0) * F.col("pos")) < 9)
+    runs.save_run(str(tmp_path), "a b=c", daily, spark.createDataFrame([(0, 1.0), (1, 2.0)], "trial bigint, sharpe double"), {})
+    assert asked.value == len(rows)
+    assert {(r["trial"], r["start"], r["end"]) for r in spark.read.parquet(f"{tmp_path}/run_metrics").collect()} == {(i, rows[0][1], rows[-1][1]) for i in (0, 1)}
