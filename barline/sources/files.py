@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,16 +144,29 @@ def as_number(c: Column, strip_commas: bool = False) -> Column:
     return finite(F.when(~text.rlike("[dDfF]$"), text.try_cast("double")))
 
 
-def _read_date(c: Column, layouts: list[str]) -> Column:
+def _may_fit(text: Column, layout: str) -> Column:
+    """What a text must have for one of the usual layouts to fit. A layout that doesn't fit costs a Java exception per text."""
+    letters = text.rlike("[A-Za-z]")
+    need = [letters if "MMM" in layout or "'T'" in layout else ~letters]
+    need += [F.contains(text, F.lit(mark)) for mark in "-/.,:" if mark in layout]
+    if layout[:5] in ("yyyy-", "yyyy/"):
+        need.append(F.locate(layout[4], text, 2) > 4)  # a sign may come first
+    return reduce(and_, need)
+
+
+def _read_date(c: Column, layouts: list[str], usual: bool = True) -> Column:
     """Text to date by the first layout that fits; time of day and zone are dropped."""
-    text = F.regexp_replace(F.trim(c.cast("string")), r"(\d{1,2}:\d{2}(:\d{2})?)(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?$", "$1")
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in layouts)).cast("date")
+    plain = F.trim(c.cast("string"))
+    time = r"(\d{1,2}:\d{2}(:\d{2})?)(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?$"
+    text = F.when(F.contains(plain, F.lit(":")), F.regexp_replace(plain, time, "$1")).otherwise(plain)
+    read = lambda f: F.try_to_timestamp(text, F.lit(f))
+    return F.coalesce(*(F.when(_may_fit(text, f), read(f)) if usual else read(f) for f in layouts)).cast("date")
 
 
 def as_date(c: Column, date_format: str | None, day_first: bool | Column) -> Column:
     """Text to date by one format or the usual layouts; ``day_first`` says how a column of numbers reads."""
     if date_format:
-        return _read_date(c, [date_format])
+        return _read_date(c, [date_format], usual=False)
     by_day, by_month = _read_date(c, DAY_FIRST), _read_date(c, MONTH_FIRST)
     if isinstance(day_first, Column):
         numeric = F.when(day_first, by_day).otherwise(by_month)

@@ -425,3 +425,15 @@ def test_a_stored_series_is_worked_out_once(spark, tmp_path):
     runs.save_run(str(tmp_path), "a b=c", daily, spark.createDataFrame([(0, 1.0), (1, 2.0)], "trial bigint, sharpe double"), {})
     assert asked.value == len(rows)
     assert {(r["trial"], r["start"], r["end"]) for r in spark.read.parquet(f"{tmp_path}/run_metrics").collect()} == {(i, rows[0][1], rows[-1][1]) for i in (0, 1)}
+
+
+def test_layouts_are_tried_where_they_may_fit(spark):
+    """The quick look at a text's marks loses no date that a layout reads."""
+    texts = ["2020-1-2", " 2020-01-02 ", "2020-01-02 3:04:05", "2020-01-02T3:04:05.123Z", "2020/1/2", "20200102", "1/2/2020", "13/2/2020", "1-2-2020", "1.2.2020", "-2020-1-2", "+12020/1/2"]
+    texts += ["2-Jan-2020", "2 Jan 2020", "Jan 2, 2020", "Jan 2 2020", "2-January-2020", "2 January 2020", "January 2, 2020", "January 2 2020", "2020-01-02 03:04+01:00", "n/a", "", "-", "1/2", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    usual = [*files.PLAIN_DATES, *files.NAMED_MONTHS, *files.DAY_FIRST, *files.MONTH_FIRST]
+    for layout in usual:
+        got = df.select(files._read_date(F.col("t"), [layout]).cast("string").alias("a"), files._read_date(F.col("t"), [layout], usual=False).cast("string").alias("b")).collect()
+        assert [r["a"] for r in got] == [r["b"] for r in got], layout
+    assert df.where(files._may_fit(F.col("t"), "yyyy/M/d")).count() == 2
