@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,8 +127,11 @@ def clean_prices(df: DataFrame, order: Sequence[str], spike: float = 0.5) -> Dat
 
 
 # -- report ---------------------------------------------------------------------------
-def cleaning_counts(df: DataFrame, order: Sequence[str], spike: float = 0.5) -> DataFrame:
-    """(kind, rule, n): rows in and out, dropped and flagged. Rules that hit nothing are absent."""
+def cleaning_counts(df: DataFrame, order: Sequence[str], spike: float = 0.5, marked: DataFrame | None = None) -> DataFrame:
+    """(kind, rule, n): rows in and out, dropped and flagged. Rules that hit nothing are absent.
+
+    ``marked``: the ``staged`` rows of ``df``, if they are known already.
+    """
     broken = (
         df.groupBy(first_broken_rule().alias("rule"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -136,7 +140,7 @@ def cleaning_counts(df: DataFrame, order: Sequence[str], spike: float = 0.5) ->
     rows_in = broken.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(
         F.lit("rows").alias("kind"), F.lit("in").alias("rule"), "n"
     )
-    marked = staged(df, order, spike)
+    marked = staged(df, order, spike) if marked is None else marked
     kept = mark_unadjusted_splits(marked.where(~F.col("bad_tick")))
     hits = marked.agg(
         F.sum(F.col("copies") - 1).alias("dup"),
@@ -172,7 +176,7 @@ def dropped_copies(ok: DataFrame, order: Sequence[str]) -> DataFrame:
     return few.where(F.col("_later").isNotNull()).drop("_rn", "_later")
 
 
-def cleaning_examples(df: DataFrame, order: Sequence[str], spike: float = 0.5) -> DataFrame:
+def cleaning_examples(df: DataFrame, order: Sequence[str], spike: float = 0.5, marked: DataFrame | None = None) -> DataFrame:
     """(rule, examples): the first rows each rule hit, as "TICKER date, ...".
 
     Rows with an unreadable date or ticker have nothing to show and get no examples.
@@ -182,7 +186,7 @@ def cleaning_examples(df: DataFrame, order: Sequence[str], spike: float = 0.5) -
     by_name = F.struct("ticker", "date").alias("place")
     tagged = df.withColumn("rule", first_broken_rule())
     ok = tagged.where(F.col("rule").isNull()).drop("rule")
-    marked = staged(ok, order, spike)
+    marked = staged(ok, order, spike) if marked is None else marked
     kept = mark_unadjusted_splits(marked.where(~F.col("bad_tick")))
 
     def first_rows(rows: DataFrame, rule: Column, place: Column) -> DataFrame:
@@ -207,8 +211,13 @@ def cleaning_examples(df: DataFrame, order: Sequence[str], spike: float = 0.5) -
 
 
 def cleaning_report(df: DataFrame, order: Sequence[str], spike: float = 0.5) -> DataFrame:
-    """(kind, rule, n, examples) for one input."""
-    return cleaning_counts(df, order, spike).join(cleaning_examples(df, order, spike), "rule", "left")
+    """(kind, rule, n, examples) for one input.
+
+    The staged rows are read by five parts of the report: kept, so copies are resolved and ticks marked once.
+    """
+    marked = staged(df, order, spike).select("date", "ticker", "close", "adj_close", "copies", "swapped", "bad_tick")
+    marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
+    return cleaning_counts(df, order, spike, marked).join(cleaning_examples(df, order, spike, marked), "rule", "left")
 
 
 def as_prices(df: DataFrame) -> DataFrame:

@@ -437,3 +437,10 @@ def test_layouts_are_tried_where_they_may_fit(spark):
         got = df.select(files._read_date(F.col("t"), [layout]).cast("string").alias("a"), files._read_date(F.col("t"), [layout], usual=False).cast("string").alias("b")).collect()
         assert [r["a"] for r in got] == [r["b"] for r in got], layout
     assert df.where(files._may_fit(F.col("t"), "yyyy/M/d")).count() == 2
+
+
+def test_report_reads_the_staged_rows_once(spark):
+    rows = spark.createDataFrame([(d, "A", 1.0, 0.5, 2.0, 1.0, 1.0, 5.0, i) for i, d in enumerate(weekdays(5))], "date date, ticker string, open double, high double, low double, close double, adj_close double, volume double, place int")
+    report = cleaning.cleaning_report(rows, ["place"])
+    assert report._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") >= 5
+    assert {r["rule"]: r["n"] for r in report.collect()} == {"in": 5, "out": 5, cleaning.SWAPPED: 5}
