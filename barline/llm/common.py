@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -28,6 +29,21 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within it, what a job shuffled is deleted as the job ends, not when the driver happens to collect its garbage.
+
+    For jobs that write their rows (:func:`kept`) and are not run again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts(df: DataFrame, *columns: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key, the named columns and the text (null: empty), whatever else the table holds."""
     return df.select(F.col(key).alias("doc_id"), *columns, F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -66,11 +82,28 @@ def word_hashes(seen: dict[bytes, int]) -> np.ndarray:
     return np.fromiter((h(w) for w in seen), np.uint64, len(seen))
 
 
+#: Bytes of text that are hashed at once: the working arrays take some 30 times as much.
+HASHED = 1 << 18
+
+
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every word of the texts, in order; words per text), without a step per word.
 
-    A word's hash adds up a random value for each byte at its place in the word.
+    A word's hash adds up a random value for each byte at its place in the word. Whole texts are taken together up to HASHED bytes.
     """
+    found, a, size = [], 0, 0
+    for b, t in enumerate(texts, 1):
+        size += len(t) + 1
+        if size >= HASHED or b == len(texts):
+            found.append(_hashed(texts[a:b]))
+            a, size = b, 0
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    hashes, many = zip(*found)
+    return np.concatenate(hashes), np.concatenate(many)
+
+
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     blob = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     solid = (blob != 32) & ((blob - np.uint8(9)) > 4)
     edge = np.diff(solid.view(np.int8), prepend=np.int8(0))
@@ -90,6 +123,16 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(start, ends), prepend=0)
 
 
+def grouped(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts the values, equal ones in any; where a new value begins in that order; the values, distinct and sorted)."""
+    order = np.argsort(a)
+    ranked = a[order]
+    new = np.ones(len(a), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    first = np.flatnonzero(new)
+    return order, first, ranked[first]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, hashed_words, kept, parts_for, texts
+from .common import Rolling, grouped, hashed_words, kept, parts_for, shuffles_freed, texts
 from .counts import bounds, deltas, planes, unplanes
 
 ORDER, TRUSTED, HALF = 3, 5, 0.5
@@ -111,8 +111,10 @@ class Grams:
         for k in range(1, order + 1):
             valid = np.flatnonzero(self.place >= k - 1)
             h = hashes if k == 1 else runs.runs(valid - k + 1, k) >> np.uint64(64 - _bits(k))
-            items, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            self.items[k], self.at[k] = items, valid[first]
+            order_, first, items = grouped(h)
+            inverse = np.empty(len(h), np.int64)
+            inverse[order_] = np.repeat(np.arange(len(items)), np.diff(np.append(first, len(h))))
+            self.items[k], self.at[k] = items, valid[order_[first]]
             self.of[k] = np.full(len(hashes), -1)
             self.of[k][valid] = inverse
             self.own[k] = np.bincount(inverse[~asking[valid]], minlength=len(items)).astype(np.int64)
@@ -140,10 +142,15 @@ def _pack_level(g: Grams, chunk: int, k: int, buckets: int, which: np.ndarray) -
 def _send(order: int, buckets: int):
     """N-grams of the first two levels."""
 
-    def send(table: pa.Table) -> pa.Table:
+    def sent(table: pa.Table) -> pa.Table:
         g = Grams(table, min(order, 2))
         return _rows(_PACKS, [r for k in g.items for r in _pack_level(g, table["chunk"][0].as_py(), k, buckets, _sent(g, k, None))])
 
+    def send(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from sent(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
+
     return send
 
 
@@ -176,29 +183,25 @@ def _merge(table: pa.Table) -> pa.Table:
     sizes, items = [len(p) for p in parts], np.concatenate(parts)
     del parts
     sent = np.concatenate([_unzip(x.as_py(), np.uint32) for x in table["counts"]])
-    order = np.argsort(items, kind="stable")
-    new = np.ones(len(items), bool)
-    new[1:] = items[order[1:]] != items[order[:-1]]
-    first = np.flatnonzero(new)
+    order, first, _ = grouped(items)
+    many = np.diff(np.append(first, len(items)))
     own = (sent >> 1)[order].astype(np.int64)
     totals, asked = np.add.reduceat(own, first), np.bitwise_or.reduceat((sent & 1)[order], first)
     rows = [{"chunk": -1, "bucket": bucket, "totals": _counted(totals)}]
     # the owner: the first of the chunks, sorted, with a training document that holds it
-    group = np.cumsum(new) - 1
-    holding = np.flatnonzero(own > 0)
-    owner = np.zeros(len(items), bool)
-    owner[holding[np.concatenate([[True], group[holding][1:] != group[holding][:-1]])] if len(holding) else holding] = True
-    shared = np.diff(np.append(first, len(items))) > 1
-    back = np.empty(len(items), np.int64)
-    back[order] = np.arange(len(items))
+    owner = np.zeros(len(items) + 1, bool)
+    owner[np.minimum.reduceat(np.where(own > 0, order, len(items)), first)] = True
+    group = np.empty(len(items), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), many)
+    shared = many > 1
     a = 0
     for chunk, n in zip(chunks, sizes):
         # in the order in which the chunk sent them: 0 for what no other chunk holds
-        at = back[a : a + n]
-        keep = shared[group[at]]
+        at = group[a : a + n]
+        keep = shared[at]
         if keep.any():
-            flags = np.where(keep, 1 + asked[group[at]] + 2 * owner[at], 0).astype(np.uint8)
-            rows.append({"chunk": chunk, "bucket": bucket, "totals": _zip(totals[group[at[keep]]]), "flags": _zip(flags)})
+            flags = np.where(keep, 1 + asked[at] + 2 * owner[a : a + n], 0).astype(np.uint8)
+            rows.append({"chunk": chunk, "bucket": bucket, "totals": _zip(totals[at[keep]]), "flags": _zip(flags)})
         a += n
     return _rows(_ANSWERS, rows)
 
@@ -234,8 +237,9 @@ def _class(c: np.ndarray) -> np.ndarray:
     return np.minimum(c, CLASSES) - 1
 
 
-def _kept_count(c: np.ndarray) -> np.ndarray:
-    return np.where(c > TRUSTED, c - HALF, c).astype(float)
+def _halves(c: np.ndarray) -> np.ndarray:
+    """What is kept of a count before its discount, in halves: whole numbers, whose sums are exact and pack well."""
+    return 2 * c - (c > TRUSTED)
 
 
 def _evaluate(order: int, buckets: int, key):
@@ -260,7 +264,7 @@ def _evaluate(order: int, buckets: int, key):
             here = np.flatnonzero(open_ & (g.place >= k - 1))
             hit = here[count[k][here] > 0]
             c = count[k][hit]
-            part[hit] = np.log10(_kept_count(c))
+            part[hit] = np.log10(_halves(c) * HALF)
             if k > 1:
                 part[hit] -= np.log10(count[k - 1][hit - 1])
                 miss = here[count[k][here] == 0]
@@ -295,17 +299,18 @@ def _context_rows(g: Grams, total, owned, asked, k: int, requests: np.ndarray, c
     keep = asked[k - 1][context]
     u, last, context = u[keep], last[keep], context[keep]
     below = total[k - 1][g.of[k - 1][last]]
-    whole = total[k - 2][g.of[k - 2][last - 1]] if k > 2 else np.ones(len(u))
     found, at = np.unique(context, return_inverse=True)
     types = np.bincount(at * CLASSES + _class(total[k][u]), minlength=len(found) * CLASSES).reshape(-1, CLASSES)
-    taken = np.bincount(at * CLASSES + _class(below), _kept_count(below) / whole, len(found) * CLASSES).reshape(-1, CLASSES)
+    taken = np.bincount(at * CLASSES + _class(below), _halves(below), len(found) * CLASSES).reshape(-1, CLASSES)
+    # what the endings' counts are shares of: all tokens, or the context without its first word
+    whole = total[k - 2][g.of[k - 2][g.at[k - 1][found]]] if k > 2 else np.ones(len(found), np.int64)
     own, want = g.items[k - 1][found], g.items[k - 1][requests]
     i, j = bounds(own, buckets, _bits(k - 1)), bounds(want, buckets, _bits(k - 1))
     rows = []
     for b in range(buckets):
         a, z, y, w = i[b], i[b + 1], j[b], j[b + 1]
         if z > a or w > y:
-            data = [total[k - 1][found[a:z]], *types[a:z].T.astype(np.int64), *(x.view(np.int64) for x in np.ascontiguousarray(taken[a:z].T))]
+            data = [total[k - 1][found[a:z]], whole[a:z], *types[a:z].T.astype(np.int64), *taken[a:z].T.astype(np.int64)]
             rows.append({"kind": CONTEXT, "chunk": chunk, "bucket": k * buckets + b, "items": _zip(deltas(own[a:z])), "data": _zip(np.concatenate(data)), "asked": _zip(deltas(want[y:w]))})
     return rows
 
@@ -330,16 +335,14 @@ def _weigh(order: int, buckets: int, found: dict[int, np.ndarray], tokens: int):
     def weigh(table: pa.Table) -> pa.Table:
         k = table["bucket"][0].as_py() // buckets
         items = np.concatenate([np.cumsum(_unzip(x.as_py(), np.uint64), dtype=np.uint64) for x in table["items"]])
-        data = np.concatenate([_unzip(x.as_py(), np.int64).reshape(1 + 2 * CLASSES, -1) for x in table["data"]], axis=1)
-        at = np.argsort(items, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], items[at[1:]] != items[at[:-1]]])) if len(at) else at
-        contexts = items[at[first]]
+        data = np.concatenate([_unzip(x.as_py(), np.int64).reshape(2 + 2 * CLASSES, -1) for x in table["data"]], axis=1)
+        at, first, contexts = grouped(items)
         if len(at):
-            whole = data[0][at[first]].astype(float)
-            types = np.add.reduceat(data[1 : 1 + CLASSES, at], first, axis=1)
-            taken = np.add.reduceat(np.ascontiguousarray(data[1 + CLASSES :, at]).view(np.float64), first, axis=1)
+            whole, below = data[:2, at[first]].astype(float)
+            types = np.add.reduceat(data[2 : 2 + CLASSES, at], first, axis=1)
+            taken = np.add.reduceat(data[2 + CLASSES :, at], first, axis=1) * HALF
             given = np.append((1 - found[k]) * np.arange(1, CLASSES), HALF) @ types  # what the seen n-grams give away
-            ends = np.append(found[k - 1], 1.0) @ taken / (tokens if k == 2 else 1)
+            ends = np.append(found[k - 1], 1.0) @ taken / (tokens if k == 2 else below)
             weights = np.log10(given / whole) - np.log10(1 - ends)
         rows = []
         for chunk, want in zip(table["chunk"].to_pylist(), table["asked"].to_pylist()):
@@ -390,11 +393,14 @@ def scores(docs: DataFrame, held_out: Column, order: int = ORDER, chunk_chars: i
     chars = plain.agg(F.sum(F.length("text"))).first()[0]
     buckets = parts_for(chars, bucket_items * WORD_CHARS)
     chunks = plain.mapInArrow(_pack(chunk_chars, key), f"chunk long, ids array<{kind.simpleString()}>, held array<boolean>, lengths array<bigint>, texts binary")
-    answers = chunks.groupBy("chunk").applyInArrow(_send(order, buckets), _SENT).groupBy("bucket").applyInArrow(_merge, ANSWERS)
-    for k in range(3, order + 1):
-        more = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_more(k, buckets), _SENT)
-        answers = answers.unionByName(more.groupBy("bucket").applyInArrow(_merge, ANSWERS))
-    found = kept(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_evaluate(order, buckets, key), f"ids array<{kind.simpleString()}>, {_KINDS}"), "evaluated")
+    with shuffles_freed(docs.sparkSession):
+        # each level's n-grams, chunks and answers lie on disk only while they are exchanged
+        chunks = kept(chunks, "chunks")
+        answers = kept(chunks.mapInArrow(_send(order, buckets), _SENT).groupBy("bucket").applyInArrow(_merge, ANSWERS), "answers")
+        for k in range(3, order + 1):
+            more = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_more(k, buckets), _SENT)
+            answers = answers.unionByName(kept(more.groupBy("bucket").applyInArrow(_merge, ANSWERS), "answers"))
+        found = kept(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_evaluate(order, buckets, key), f"ids array<{kind.simpleString()}>, {_KINDS}"), "evaluated")
 
     stats = {k: np.zeros(TRUSTED + 3, np.int64) for k in range(1, order + 1)}
     level = F.expr(f"bucket DIV {buckets}").alias("level")

@@ -241,3 +241,25 @@ def test_model_of_awkward_documents(spark):
     assert katz.scores(cases.nothing(spark), F.lit(False)).count() == 0
     none = katz.scores(docs, F.lit(True)).select("train_tokens", "n_known", "base_score", "score").distinct().collect()
     assert [tuple(r) for r in none] == [(0, 0, 0.0, 0.0)]
+
+
+def test_katz_leaves_no_shuffle_of_earlier_jobs(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n.split("_")[1] for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    docs, before, was = cases.documents(spark), shuffled(), spark.conf.get(setting)
+    katz.scores(docs, held_out(F.col("doc_id"), 7, 2))
+    # the sum of characters and the counts of counts, which hold one row a task
+    assert len(shuffled() - before) <= 2
+    assert spark.conf.get(setting) == was
+
+
+def test_katz_sums_of_contexts_are_whole_numbers():
+    c = np.arange(1, 12)
+    kept_ = katz._halves(c)
+    assert kept_.dtype.kind == "i" and (kept_ / 2 == np.where(c > katz.TRUSTED, c - katz.HALF, c)).all()
