@@ -12,6 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import grouped
+
+#: Items that a bucket adds up at once: bounds the working arrays, no result.
+MERGED = 500_000
 PACKS = "chunk int, bucket int, n int, items binary, counts binary"
 ANSWERS = "chunk int, bucket int, items binary, totals binary"
 _PACKS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
@@ -48,22 +52,31 @@ def packs(chunk: int, items: np.ndarray, counts: np.ndarray, buckets: int, bits:
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    chunks, n = table["chunk"].to_pylist(), table["n"].to_numpy()
-    items = np.concatenate([np.cumsum(unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in table["items"]])
-    own = np.concatenate([unplanes(x.as_py(), np.uint32) for x in table["counts"]])
-    order = np.argsort(items, kind="stable")
-    new = np.ones(len(items), bool)
-    new[1:] = items[order[1:]] != items[order[:-1]]
-    group = np.cumsum(new) - 1
-    totals = np.empty(len(items), np.uint64)
-    totals[order] = np.add.reduceat(own[order].astype(np.uint64), np.flatnonzero(new))[group] if len(items) else 0
-    bucket, rows, first = table["bucket"][0].as_py(), [], 0
-    for c, k in zip(chunks, n):
-        t = totals[first : first + k]
-        again = np.flatnonzero(t > 1)
-        if len(again):
-            rows.append((c, bucket, planes(deltas(items[first : first + k][again])), planes(t[again])))
-        first += k
+    """Adds up by ranges of MERGED items or so, as each chunk's items are sorted."""
+    bucket = table["bucket"][0].as_py()
+    items = [np.cumsum(unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in table["items"]]
+    own = [unplanes(x.as_py(), np.uint32) for x in table["counts"]]
+    least, most = min(int(x[0]) for x in items), max(int(x[-1]) for x in items)
+    parts = -(-sum(map(len, items)) // MERGED)
+    edges = np.array([least + (most - least + 1) * i // parts for i in range(1, parts)], np.uint64)
+    at = [np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in items]
+    found = [([], []) for _ in items]
+    for r in range(parts):
+        ends = np.cumsum([0, *(int(p[r + 1] - p[r]) for p in at)])
+        if not ends[-1]:
+            continue
+        here = np.concatenate([x[p[r] : p[r + 1]] for x, p in zip(items, at)])
+        order, first, _ = grouped(here)
+        sums = np.add.reduceat(np.concatenate([x[p[r] : p[r + 1]] for x, p in zip(own, at)])[order], first, dtype=np.uint64)
+        totals = np.empty(len(here), np.uint64)
+        totals[order] = np.repeat(sums, np.diff(np.append(first, len(here))))
+        for i, (kept_items, kept_totals) in enumerate(found):
+            t = totals[ends[i] : ends[i + 1]]
+            again = np.flatnonzero(t > 1)
+            if len(again):
+                kept_items.append(here[ends[i] : ends[i + 1]][again])
+                kept_totals.append(t[again])
+    rows = [(c, bucket, planes(deltas(np.concatenate(i))), planes(np.concatenate(t))) for c, (i, t) in zip(table["chunk"].to_pylist(), found) if i]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ANSWERS)], schema=_ANSWERS) if rows else _ANSWERS.empty_table()
 
 

@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from barline.llm import components, near_dedup, substring_dedup
+from barline.llm import common, components, near_dedup, substring_dedup
 from barline.llm import counts as C
 
 from . import cases
@@ -161,3 +164,38 @@ def test_true_pairs_among_many_copies_of_a_template(spark, monkeypatch):
     g.shuffle(docs)
     found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == {i: i for i, _ in docs} | {b: a for a, b in pairs}
+
+
+def test_words_are_hashed_in_bounded_memory():
+    g = random.Random(3)
+    texts = [" ".join(g.choice("ab cde fghi jklmno".split()) + str(g.randrange(999)) for _ in range(g.randrange(40))).encode() for _ in range(20_000)]
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    try:
+        hashes, many = common.hashed_words(texts)
+        assert tracemalloc.get_traced_memory()[1] < 8 * size
+    finally:
+        tracemalloc.stop()
+    assert many.tolist() == [len(t.split()) for t in texts]
+    for i in (0, 77, len(texts) - 1):  # the same hashes, whatever is hashed with a text
+        a = int(many[:i].sum())
+        assert hashes[a : a + many[i]].tolist() == common.hashed_words([texts[i]])[0].tolist()
+
+
+def test_counts_are_added_up_in_ranges():
+    g = np.random.default_rng(4)
+    chunks = [np.unique(g.integers(0, 40_000, 30_000).astype(np.uint64) << np.uint64(28)) for _ in range(60)]
+    packed = pa.concat_tables([C.packs(i, x, np.full(len(x), i + 1), 1, 44) for i, x in enumerate(chunks)])
+    tracemalloc.start()
+    try:
+        found = C._merge(packed)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    rows = sum(map(len, chunks))
+    assert rows > 2 * C.MERGED and peak < 60 * rows
+    totals = Counter()
+    for i, x in enumerate(chunks):
+        totals.update(dict.fromkeys(x.tolist(), i + 1))
+    for i, x in ((0, chunks[0]), (59, chunks[59])):
+        assert C.totals(found.filter(pc.equal(found["chunk"], i)), x)[:500].tolist() == [totals[v] for v in x[:500].tolist()]
