@@ -6,6 +6,7 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,22 @@ def shuffles_freed(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def release() -> None:
+    """Give memory that a Python worker doesn't use back to the system: idle workers stay beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
+def releasing(work):
+    """``work`` on batches of a task, after which the worker's memory is released."""
+
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def texts(df: DataFrame, *columns: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key, the named columns and the text (null: empty), whatever else the table holds."""
     return df.select(F.col(key).alias("doc_id"), *columns, F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import grouped
+from .common import grouped, release
 
 #: Items that a bucket adds up at once: bounds the working arrays, no result.
 MERGED = 500_000
@@ -53,6 +53,7 @@ def packs(chunk: int, items: np.ndarray, counts: np.ndarray, buckets: int, bits:
 
 def _merge(table: pa.Table) -> pa.Table:
     """Adds up by ranges of MERGED items or so, as each chunk's items are sorted."""
+    release()  # what earlier buckets took
     bucket = table["bucket"][0].as_py()
     items = [np.cumsum(unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in table["items"]]
     own = [unplanes(x.as_py(), np.uint32) for x in table["counts"]]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import counts as C
-from .common import Rolling, hashed_words, kept, mixed, parts_for, stored, texts
+from .common import Rolling, hashed_words, kept, mixed, parts_for, release, releasing, stored, texts
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DAMP = 5, 0.8, 12, 3, 0.1
@@ -128,6 +128,7 @@ def _wide(b: bytes) -> np.ndarray:
 
 def _send(buckets: int):
     def send(table: pa.Table) -> pa.Table:
+        release()  # what earlier groups took
         _, _, hashes, _ = _shingles(table["text"].to_pylist(), SHINGLE)
         items, own = np.unique(hashes, return_counts=True)
         return C.packs(table["chunk"][0].as_py(), items, own, buckets, BITS)
@@ -141,6 +142,7 @@ def _sketch(n_docs: int, similarity: float):
     and shingle; ``alone`` shingles at its start are in no other document."""
 
     def sketch(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        release()
         digests, doc, hashes, tf = _shingles(docs["text"].to_pylist(), SHINGLE)
         drawn, items, weighed, alone = ([None] * docs.num_rows for _ in range(4))
         if len(doc):
@@ -175,7 +177,7 @@ def _verify(threshold: float):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return verify
+    return releasing(verify)
 
 
 def forest(agree: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -274,7 +276,7 @@ def _whole_blocks(width: int, work):
         if rest is not None:
             yield work(*rest)
 
-    return run
+    return releasing(run)
 
 
 def _prefixes(similarity: float):

@@ -20,18 +20,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, parts_for, texts
+from .common import kept, parts_for, releasing, texts
 
 LENGTH, END = 1024, 0
 BLOCK, PART, QUANTUM = 1 << 16, 1 << 22, 256
-#: Words whose tokens a worker remembers, and blocks of one source in a slot.
-REMEMBERED, SLOT = 500_000, 20_000
+#: Words whose tokens a worker remembers (these stay in its memory from task to task), and blocks of one source in a slot.
+REMEMBERED, SLOT = 150_000, 20_000
+#: Bytes of text that are cut into words at once.
+TEXTS = 500_000
 # Fixed value: how byte-level vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -124,6 +127,16 @@ class Encoder:
         return out
 
 
+def _slices(batch: pa.RecordBatch):
+    """(doc_ids, sources, texts) of consecutive rows, of TEXTS bytes of text together or of one row: only these become Python's."""
+    ends, at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXTS, side="right")))
+        part = batch.slice(at, stop - at)
+        yield tuple(part.column(n).to_pylist() for n in ("doc_id", "source", "text"))
+        at = stop
+
+
 def _tokenise(path: str, ids: pa.DataType):
     def run(batches):
         encoder = Encoder.at(path)
@@ -131,15 +144,9 @@ def _tokenise(path: str, ids: pa.DataType):
         end = np.array([END], encoder.kind).tobytes()
         packer = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            keys, sources, all_texts = (b.column(n).to_pylist() for n in ("doc_id", "source", "text"))
-            at = 0
-            while at < len(keys):
-                stop, size = at, 0
-                while stop < len(keys) and (stop == at or size < 2_000_000):
-                    size += len(all_texts[stop])
-                    stop += 1
+            for keys, sources, found in _slices(b):
                 rows = []
-                for key, source, tokens in zip(keys[at:stop], sources[at:stop], encoder.encode(all_texts[at:stop])):
+                for key, source, tokens in zip(keys, sources, encoder.encode(found)):
                     tokens += end
                     n = len(tokens) // width
                     for k in range(0, n, BLOCK):
@@ -148,9 +155,8 @@ def _tokenise(path: str, ids: pa.DataType):
                 cols = list(zip(*rows))
                 kinds = (ids, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "source", "first", "n", "doc_tokens", "tokens"])
-                at = stop
 
-    return run
+    return releasing(run)
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 WINDOW, STRIDE = 32, 24
 #: The labelled rows that training may see: at most so many of each label, in order of a hash, of at most so many characters.
 TRAIN_ROWS, TRAIN_CHARS = 1500, 4000
@@ -329,7 +331,7 @@ def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score")
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(1 / (1 + np.exp(-z.astype(np.float64))))], names=[*kept, out])
 
     schema = docs.select(*kept).schema.add(out, "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(releasing(run), schema)
 
 
 def held_out(c: Column, n: int, r: int) -> Column:
@@ -341,5 +343,5 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     """A network from the labels ``toxic`` of rows outside the held-out third."""
     sample = examples(docs, labels, ~held_out(F.col("doc_id"), 3, 1))
     # the sample is bounded: one task reads it and trains, and the driver gets a network of fixed size
-    made = sample.coalesce(1).mapInArrow(_train_in_task, "parameters binary").collect()
+    made = sample.coalesce(1).mapInArrow(releasing(_train_in_task), "parameters binary").collect()
     return Network(p=pickle.loads(made[0]["parameters"])) if made else train([], [])

@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from barline.llm import mixing, packing
+from barline.llm import common, mixing, packing
 
 from . import cases
 
@@ -192,3 +193,21 @@ def test_word_pattern():
 
     text = "a\x1cb \x85c\x0bd e\x00 f"
     assert [w.encode() for w in re.findall(WORD, text)] == text.encode().split()
+
+
+def test_texts_become_pythons_by_slices(monkeypatch):
+    monkeypatch.setattr(packing, "TEXTS", 10)
+    texts = ["aaaa", "", "éé", "b" * 30, "c", "dddddddddd", ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "source": ["s"] * 7, "text": texts})
+    found = list(packing._slices(batch))
+    assert [f[0] for f in found] == [[0, 1, 2], [3], [4], [5, 6]]
+    assert [t for f in found for t in f[2]] == texts and list(packing._slices(batch.slice(0, 0))) == []
+    assert [f[2] for f in packing._slices(batch.slice(4))] == [["c"], ["dddddddddd", ""]]
+
+
+def test_a_worker_releases_its_memory_after_its_rows(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "release", lambda: done.append(len(done)))
+    rows = common.releasing(lambda batches: (b * 2 for b in batches))(iter([1, 2]))
+    assert next(rows) == 2 and not done
+    assert list(rows) == [4] and done == [0]
