@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import counts as C
-from .common import Rolling, hashed_words, kept, mixed, parts_for, release, releasing, stored, texts
+from .common import Rolling, hashed_words, kept, mixed, parts_for, release, releasing, shuffles_freed, stored, texts
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, DAMP = 5, 0.8, 12, 3, 0.1
@@ -45,6 +45,8 @@ MEETING = 512
 NEAREST, NOISE = 8, 8
 #: Characters of a word, roughly; sets the size of buckets, no result.
 WORD_CHARS = 6
+#: Keys that are broadcast at most, to pick their rows without an exchange of all; sets no result.
+FEW = 100_000
 
 
 def _shingles(texts_: list[str], n: int):
@@ -342,6 +344,11 @@ def _named(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     return named.select(*members.columns, F.coalesce("component", "row_key").alias("component"))
 
 
+def _of(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is among ``keys``: without an exchange of the rows if the keys are few."""
+    return rows.join(keys.hint("broadcast" if keys.count() <= FEW else "merge"), column, "left_semi")
+
+
 def _dealt(members: DataFrame, classes: DataFrame | None, sides: DataFrame | None, turn: int) -> DataFrame:
     """Members of the ``n`` of buckets that hold several classes; with ``sides`` also their samples, dealt to blocks."""
     open_ = _named(members.select("bucket", "row_key"), classes)
@@ -360,14 +367,8 @@ def _meetings(members: DataFrame, classes: DataFrame | None, sides: DataFrame, t
     return dealt.mapInArrow(_propose(SAMPLES, classes is None, turn), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = 4_000_000, bucket_items: int = 4_000_000) -> DataFrame:
-    """One row per input row: doc_id, row_key (of id and text), class_id, n_copies, keeper.
-
-    class_id is the least doc_id of the class (null only if all its ids are), keeper marks the rows whose
-    row_key stands for the class; identical rows share a row_key. Words are cut at white space and compared
-    in lower case, of very long texts all. Documents without words (null, empty) are copies of each other and of nothing else. Other
-    columns are ignored; an empty table gives an empty result.
-    """
+def _linked(docs: DataFrame, similarity: float, chunk_chars: int, bucket_items: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(sketches of all rows, the representative of each digest, the class of each linked representative; None without links)."""
     key = docs.schema["doc_id"].dataType.simpleString()
     plain = texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
     chars, n_docs = plain.agg(F.sum(F.length("text")), F.count("*")).first()
@@ -386,12 +387,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
     spread = copies.where("samples IS NOT NULL").select("row_key", F.explode(bands).alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = kept(spread.join(shared, "bucket"), "members")
-    wanted = members.select("row_key").distinct()
-    sides = kept(wanted.join(copies.select("row_key", "samples"), "row_key"), "samples")
+    wanted = kept(members.select("row_key").distinct(), "wanted")
+    sides = kept(_of(copies.select("row_key", "samples"), wanted, "row_key"), "samples")
     # identical rows share a row_key: one of them
-    vectors = kept(sketches.where("items IS NOT NULL").join(wanted, "row_key", "left_semi").groupBy("row_key").agg(F.first("items").alias("items"), F.first("weights").alias("weights"), F.first("alone").alias("alone")), "vectors")
+    vectors = kept(_of(sketches.where("items IS NOT NULL"), wanted, "row_key").groupBy("row_key").agg(F.first("items").alias("items"), F.first("weights").alias("weights"), F.first("alone").alias("alone")), "vectors")
 
-    # no join of the rounds broadcasts: what they relate grows with the corpus, and the driver would build every relation
+    # no join of the rounds broadcasts more than FEW keys: what they relate grows with the corpus, and the driver would build every relation
     sets = vectors.select(F.col("row_key").alias("b"), F.col("items").alias("b_items"), F.col("weights").alias("b_weights"))
     classes, tested, turn, last = None, [], 0, False
     while True:
@@ -400,7 +401,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
             met = met.join(docs.sparkSession.read.parquet(*tested).hint("merge"), ["a", "b"], "left_anti")
         met, path = stored(met, "met")
         tested.append(path)
-        paired = met.join(sets.select(*(F.col(c).alias(c.replace("b", "a", 1)) for c in sets.columns)).hint("merge"), "a").join(sets.hint("merge"), "b")
+        # later rounds propose few pairs: only the sets of these travel
+        own = sets if met.count() > FEW // 2 else _of(sets, met.select("b").union(met.select("a")).distinct(), "b")
+        paired = met.join(own.select(*(F.col(c).alias(c.replace("b", "a", 1)) for c in own.columns)).hint("merge"), "a").join(own.hint("merge"), "b")
         new = kept(paired.mapInArrow(_verify(similarity), "a long, b long"), "links")
         none = new.isEmpty()
         if not none:
@@ -411,7 +414,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars
             break
         last = none
         turn += 1
+    return sketches, copies, classes
 
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, chunk_chars: int = 4_000_000, bucket_items: int = 4_000_000) -> DataFrame:
+    """One row per input row: doc_id, row_key (of id and text), class_id, n_copies, keeper.
+
+    class_id is the least doc_id of the class (null only if all its ids are), keeper marks the rows whose
+    row_key stands for the class; identical rows share a row_key. Words are cut at white space and compared
+    in lower case, of very long texts all. Documents without words (null, empty) are copies of each other and of nothing else. Other
+    columns are ignored; an empty table gives an empty result.
+    """
+    # every job but the last writes its rows: what it shuffled needn't stay beside what the next ones shuffle
+    with shuffles_freed(docs.sparkSession):
+        sketches, copies, classes = _linked(docs, similarity, chunk_chars, bucket_items)
     named = copies.withColumn("component", F.col("row_key")) if classes is None else copies.join(classes.hint("merge"), copies["row_key"] == classes["node"], "left").withColumn("component", F.coalesce("component", "row_key"))
     heads = named.groupBy("component").agg(F.min(F.struct("unknown", "doc_id", "row_key")).alias("h"), F.sum("n").alias("n_copies"))
     whole = named.select("digest", "component").join(heads, "component").select("digest", F.col("h.doc_id").alias("class_id"), F.col("h.row_key").alias("head"), "n_copies")

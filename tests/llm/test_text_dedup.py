@@ -199,3 +199,32 @@ def test_counts_are_added_up_in_ranges():
         totals.update(dict.fromkeys(x.tolist(), i + 1))
     for i, x in ((0, chunks[0]), (59, chunks[59])):
         assert C.totals(found.filter(pc.equal(found["chunk"], i)), x)[:500].tolist() == [totals[v] for v in x[:500].tolist()]
+
+
+def test_near_duplicates_leave_no_shuffle_of_earlier_jobs(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        found = [files.apply(i) for i in range(files.size())]
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    g = random.Random(11)
+    texts = [" ".join(cases.prose(g, 400)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t + " x" * k) for i, t in enumerate(texts) for k in range(3)], "doc_id long, text string")
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffled(), spark.conf.get(setting)
+    found = near_dedup.near_duplicates(docs)
+    left = sum(size for name, size in shuffled().items() if name not in before)
+    assert left < 20_000  # counts of one row a task; the texts alone are 200 kB
+    assert spark.conf.get(setting) == was
+    assert found.select("class_id").distinct().count() == 30
+
+
+def test_near_duplicates_with_few_or_many_keys(spark, monkeypatch):
+    g = random.Random(12)
+    rows = [(i * 10 + k, t + " x" * k) for i, t in enumerate(" ".join(cases.prose(g, 60)) for _ in range(20)) for k in range(i % 4)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, rows[1][1])], "doc_id long, text string")
+    few = sorted(map(str, near_dedup.near_duplicates(docs).collect()))
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    assert sorted(map(str, near_dedup.near_duplicates(docs).collect())) == few and len(few) == len(rows) + 2
