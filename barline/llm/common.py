@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,16 @@ def releasing(work):
     return run
 
 
+def text_slices(batch: pa.RecordBatch, size: int, column: str = "text", length=pc.binary_length):
+    """Consecutive rows of a batch, of ``size`` bytes (by ``length``) of text together or of one row: what becomes Python's objects at once."""
+    lengths = pc.fill_null(length(batch.column(column)), 0)
+    ends, at = np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def texts(df: DataFrame, *columns: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key, the named columns and the text (null: empty), whatever else the table holds."""
     return df.select(F.col(key).alias("doc_id"), *columns, F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, n_words, parts_for
+from .common import kept, n_words, parts_for, releasing
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -167,7 +167,7 @@ def mix(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, shard_w
             to = tree.shards_of(b.column("i").to_numpy(), b.column("draw").to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.int64())], names=[*b.schema.names, "shard"])
 
-    placed = drawn.mapInArrow(place, T.StructType([*drawn.schema.fields, T.StructField("shard", T.LongType())]))
+    placed = drawn.mapInArrow(releasing(place), T.StructType([*drawn.schema.fields, T.StructField("shard", T.LongType())]))
     order = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "i", "draw", "shard"), "i", "draw")
     draws = placed.withColumn("position", F.row_number().over(order)).select("doc_id", "row_key", "copy", "block", "pass", "words", "shard", "position", "i")
     return documents.select("doc_id", "source", "row_key", "copy", "size", "source_size", "target", "i"), draws

@@ -20,14 +20,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, parts_for, releasing, texts
+from .common import kept, parts_for, releasing, text_slices, texts
 
 LENGTH, END = 1024, 0
 BLOCK, PART, QUANTUM = 1 << 16, 1 << 22, 256
@@ -129,12 +128,8 @@ class Encoder:
 
 def _slices(batch: pa.RecordBatch):
     """(doc_ids, sources, texts) of consecutive rows, of TEXTS bytes of text together or of one row: only these become Python's."""
-    ends, at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)), 0
-    while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXTS, side="right")))
-        part = batch.slice(at, stop - at)
+    for part in text_slices(batch, TEXTS):
         yield tuple(part.column(n).to_pylist() for n in ("doc_id", "source", "text"))
-        at = stop
 
 
 def _tokenise(path: str, ids: pa.DataType):

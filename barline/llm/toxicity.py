@@ -15,10 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import releasing
+from .common import releasing, text_slices
 
 WINDOW, STRIDE = 32, 24
 #: The labelled rows that training may see: at most so many of each label, in order of a hash, of at most so many characters.
@@ -26,9 +27,10 @@ TRAIN_ROWS, TRAIN_CHARS = 1500, 4000
 #: Lengths of the character runs, a mark at either edge of a word counted.
 RUNS = (3, 4, 5, 6)
 #: Words whose features are worked out at once, and windows read at once.
-WORD_BLOCK, WINDOW_BLOCK = 50_000, 2048
-#: Characters of the texts that a task works on at once; a longer text alone.
-TEXT_BLOCK = 4_000_000
+WORD_BLOCK, WINDOW_BLOCK = 5_000, 2048
+#: Characters of the texts that a task works on at once; a longer text alone. Workers keep part of what they took, so this bounds what
+#: lies idle too; scores are those of larger blocks but for the rounding of products of matrices.
+TEXT_BLOCK = 500_000
 
 
 @dataclass
@@ -189,8 +191,8 @@ def windows(n: int) -> list[int]:
     return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
 
 
-def _lay_out(numbers: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(windows x WINDOW numbers with -1 beyond short texts, document of each window); no window without words."""
+def _spans(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each window, the end of its text, its document); no window without words."""
     starts, doc, stop, at = [], [], [], 0
     for i, n in enumerate(lengths):
         if n:
@@ -199,11 +201,14 @@ def _lay_out(numbers: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.nd
             doc += [i] * len(own)
             stop += [at + n] * len(own)
         at += n
-    if not starts:
-        return np.empty((0, WINDOW), np.int64), np.empty(0, np.int64)
-    place = np.array(starts)[:, None] + np.arange(WINDOW)
-    inside = place < np.array(stop)[:, None]
-    return np.where(inside, numbers[np.minimum(place, len(numbers) - 1)], -1), np.array(doc)
+    return np.array(starts, np.int64), np.array(stop, np.int64), np.array(doc, np.int64)
+
+
+def _lay_out(numbers: np.ndarray, starts: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """windows x WINDOW numbers, -1 beyond short texts."""
+    place = starts[:, None] + np.arange(WINDOW)
+    inside = place < stop[:, None]
+    return np.where(inside, numbers[np.minimum(place, len(numbers) - 1)], -1)
 
 
 def _cut(texts: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
@@ -223,26 +228,14 @@ def logits(net: Network, texts: list[str]) -> np.ndarray:
     out = np.full(len(texts), -np.inf)
     if words:
         table = np.vstack([embed(net, words[i : i + WORD_BLOCK])[0] for i in range(0, len(words), WORD_BLOCK)])
-        ids, doc = _lay_out(numbers, lengths)
         wide = project(net, table)
-        for i in range(0, len(ids), WINDOW_BLOCK):
-            np.maximum.at(out, doc[i : i + WINDOW_BLOCK], forward(net, wide, ids[i : i + WINDOW_BLOCK]))
+        starts, stop, doc = _spans(lengths)
+        for i in range(0, len(doc), WINDOW_BLOCK):
+            j = i + WINDOW_BLOCK
+            np.maximum.at(out, doc[i:j], forward(net, wide, _lay_out(numbers, starts[i:j], stop[i:j])))
     return np.where(np.isfinite(out), out, net.p["o0"][0])
 
 
-def blocks(texts: list[str]):
-    """Consecutive texts of TEXT_BLOCK characters together, one text at least."""
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > TEXT_BLOCK:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
-
-
 def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, batch: int = 64, rate: float = 4e-3, least: int = 200) -> Network:
     """Fit by Adam on documents; only the window that speaks loudest of each document learns. Few documents are
     seen more often, so that there are ``least`` steps.
@@ -266,9 +259,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 8, b
         for i in range(0, len(order), batch):
             pick = order[i : i + batch]
             words, numbers, lengths = _cut([texts[j] for j in pick])
-            ids, doc = _lay_out(numbers, lengths)
-            if not len(ids):
+            starts, stop, doc = _spans(lengths)
+            if not len(doc):
                 continue
+            ids = _lay_out(numbers, starts, stop)
             table, (row, runs, share) = embed(net, words)
             wide = project(net, table)
             z = forward(net, wide, ids)
@@ -315,6 +309,17 @@ def _train_in_task(batches):
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels).p)], pa.binary())], names=["parameters"])
 
 
+def _scored(net, kept: list[str], text: str, out: str):
+    """Batches with scores, worked on by slices of TEXT_BLOCK characters; net: an object whose ``value`` is the network."""
+
+    def run(batches):
+        for part in (p for b in batches for p in text_slices(b, TEXT_BLOCK, text, pc.utf8_length)):
+            z = logits(net.value, [t or "" for t in part.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(1 / (1 + np.exp(-z.astype(np.float64))))], names=[*kept, out])
+
+    return releasing(run)
+
+
 def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a column ``out`` in [0, 1], in the place of one of that name.
 
@@ -324,14 +329,8 @@ def score(docs: DataFrame, net: Network, text: str = "text", out: str = "score")
     """
     kept = [c for c in docs.columns if c != out]
     frozen = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
-
-    def run(batches):
-        for b in batches:
-            z = np.concatenate([logits(frozen.value, part) for part in blocks([t or "" for t in b.column(text).to_pylist()])] or [np.empty(0)])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(1 / (1 + np.exp(-z.astype(np.float64))))], names=[*kept, out])
-
     schema = docs.select(*kept).schema.add(out, "double")
-    return docs.select(*kept).mapInArrow(releasing(run), schema)
+    return docs.select(*kept).mapInArrow(_scored(frozen, kept, text, out), schema)
 
 
 def held_out(c: Column, n: int, r: int) -> Column:

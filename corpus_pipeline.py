@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import mixing, near_dedup, packing, secrets, toxicity
-from barline.llm.common import kept
+from barline.llm.common import kept, releasing, text_slices
 
 #: No stage but the reading of tables has a form in SQL; see tests/llm for the brute-force versions.
 ORACLE_SQL = None
 TOXIC = 0.7
+#: Bytes of text that a task cuts at once; sets no result.
+SLICE = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns, size = docs.columns, mixing.BLOCK_WORDS
 
     def cut(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in text_slices(batch, SLICE)):
             texts = []
             for t, blocks in zip(b.column("text").to_pylist(), b.column("__blocks").to_pylist()):
                 if blocks is None:
@@ -62,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     texts.append(b" ".join(w for k in blocks for w in words[k["block"] * size : k["block"] * size + k["words"]]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns], names=columns)
 
-    mixed = met.mapInArrow(cut, docs.schema)
+    mixed = met.mapInArrow(releasing(cut), docs.schema)
     return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else mixed
 
 

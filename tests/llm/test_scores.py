@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barline.llm import quality, toxicity
@@ -126,3 +128,28 @@ def test_quality_of_awkward_documents(spark, labelled):
     assert len(rows) == 11 and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if r.doc_id in (3, 4)}) == 1
     assert quality.score(cases.nothing(spark), model).count() == 0
+
+
+def test_toxicity_reads_bounded_text_at_once(monkeypatch):
+    read = []
+    monkeypatch.setattr(toxicity, "logits", lambda net, texts: read.append([len(t) for t in texts]) or np.zeros(len(texts)))
+    lengths = [200_000, None, 200_000, 200_000, 700_000, 0, 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([n if n is None else "a" * n for n in lengths])], names=["doc_id", "text"])
+    holder = type("Holder", (), {"value": None})
+    out = pa.Table.from_batches(toxicity._scored(holder, ["doc_id", "text"], "text", "score")(iter([batch, batch.slice(0, 0)])))
+    assert read == [[200_000, 0, 200_000], [200_000], [700_000], [0, 100]]
+    assert out.column_names == ["doc_id", "text", "score"] and out["doc_id"].to_pylist() == list(range(7))
+
+
+def test_toxicity_scores_a_batch_in_bounded_memory():
+    net = toxicity.Network().start(5)
+    words = [f"w{i}x{i * 7919 % 10007}" for i in range(40_000)]
+    texts = [" ".join(words[i * 577 % 39_000 :][:500]) for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    run = toxicity._scored(type("Holder", (), {"value": net}), ["text"], "text", "score")
+    tracemalloc.start()
+    found = np.concatenate([b.column("score").to_numpy() for b in run(iter([batch]))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(found, 1 / (1 + np.exp(-toxicity.logits(net, texts))), rtol=1e-5)
+    assert peak < 27e6, peak
