@@ -231,3 +231,27 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(columns) == sorted(df.columns)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     assert got == rows_of(columns, cur.fetchall()) and got
+
+
+def test_targets_and_panel_of_an_order_list_are_worked_out_once(spark):
+    read = {k: spark.sparkContext.accumulator(0) for k in ("targets", "panel")}
+
+    def watched(df, name):
+        seen = read[name]
+
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(count, df.schema)
+
+    d = weekdays(2)
+    goals = [(0, x, i, "YEW", 0.5, True) for i, x in enumerate(d)] + [(0, d[1], 1, "ASH", 0.25, True)]
+    targets = spark.createDataFrame(goals, "trial int, date date, pos int, ticker string, weight double, flag boolean")
+    panel = spark.createDataFrame([("YEW", 0, 8.0), ("YEW", 1, 10.0), ("ASH", 0, 5.0), ("ASH", 1, None), ("BOX", 1, None)], "ticker string, pos int, close double")
+    daily = spark.createDataFrame([(0, 1, 1.0, False)], "trial int, pos int, scale double, breaker boolean")
+    held = spark.createDataFrame([(0, "BOX", 3), (0, "ASH", 20), (0, "ALIEN", 1)], "trial int, ticker string, shares bigint")
+    out = orders.plan_orders(watched(targets, "targets"), watched(panel, "panel"), daily, held, 1000.0, min_notional=1.0)
+    assert {(r["side"], r["ticker"], r["quantity"]) for r in out.collect()} == {("BUY", "YEW", 50), ("BUY", "ASH", 30)}
+    assert {k: v.value for k, v in read.items()} == {"targets": 3, "panel": 5}
