@@ -220,6 +220,21 @@ def test_new_rows_of_one_key_need_an_order(spark, tmp_path):
     assert wh.read("prices").first()["close"] == 2
 
 
+def test_an_upsert_without_an_order_sorts_no_rows(spark, tmp_path):
+    d = weekdays(2)
+    of = lambda c, note="": spark.createDataFrame([(x, "A", None, note, c) for x in d[:1]] + [(None, "A", c, None, c)], "date date, ticker string, close double, note string, v double")
+    old, new = of(1.0, "old"), of(2.0, "new").where("date IS NOT NULL")
+    got = {tuple(r) for r in merge_upsert(old, new, ["date", "ticker"]).collect()}
+    assert got == {(d[0], "A", None, "new", 2.0), (None, "A", 1.0, None, 1.0)}  # whole rows, nulls too
+    plain = merge_upsert(old.drop("note"), new.drop("note"), ["date", "ticker"])
+    assert "SortAggregate" not in plain._jdf.queryExecution().executedPlan().toString()
+    wh = Warehouse(spark, str(tmp_path / "wh"))
+    first = spark.createDataFrame(bars("A", d, [1, 2]), schema.PRICES)
+    assert wh.write("prices", first) == 2 and wh.write("prices", first.withColumn("close", F.lit(7.0)).limit(1)) == 2
+    assert sorted(r["close"] for r in wh.read("prices").collect()) in ([1, 7], [2, 7])
+    assert wh.write("prices", first, replace=True) == 2 and sorted(r["close"] for r in wh.read("prices").collect()) == [1, 2]
+
+
 def test_later_rows_win_within_one_batch(spark):
     old = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "ticker string, v double")
     new = spark.createDataFrame([("A", 3.0, 2), ("A", 4.0, 1), ("C", None, 1)], "ticker string, v double, seq int")
