@@ -449,3 +449,24 @@ def test_trials_share_no_exchange_of_their_own(market):
     plan = backtest.build_targets(market, momentum(lookback=5, skip=1), rows, backtest.trial_frame(market, rows))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [trial" in text and "SortMergeJoin" not in text
+
+
+def test_equal_weights_need_no_sort_by_leg(spark):
+    rows = [(day, f"T{i}", s) for day, scores in (("d", [1.0, 2.0, 3.0, 4.0, None]), ("e", [None] * 5), ("f", [2.0, 2.0, None, None, None])) for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "date string, ticker string, score double")
+    out = construct.target_weights(df, long_q=0.5, short_q=0.25, max_weight=0.3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("Sort [") == 1  # places with their number, then totals with decisions
+    got = {(r["date"], r["ticker"]): r["weight"] for r in out.collect()}
+    assert [got["d", f"T{i}"] for i in range(5)] == [-0.3, 0.0, 0.25, 0.25, 0.0]
+    assert [got["e", f"T{i}"] for i in range(5)] == [None] * 5
+    assert [got["f", f"T{i}"] for i in range(5)] == [0.25, 0.25, 0.0, 0.0, 0.0]
+
+
+def test_the_end_of_a_holding_shares_the_pass_of_its_growth(spark):
+    layout = "trial bigint, date date, pos int, ticker string, weight double, flag boolean, close double, returns double"
+    targets = spark.createDataFrame([(0, x, i, "ELM", 1.0, True, 5.0 if i < 2 else None, 0.1) for i, x in enumerate(weekdays(4))], layout)
+    out = bk.with_holdings(targets, 0)
+    assert [r["held"] for r in out.orderBy("pos").collect()] == pytest.approx([1.0, 1.0, 0.0, 0.0])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 3
